@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavelspark.operators import splitting
+
 
 def _turn() -> Column:
     """The place of a log row in its log."""
@@ -23,15 +25,13 @@ def watch_upsert(log: DataFrame, auctions: DataFrame, watchlist: DataFrame | Non
     log = log.select("id", *key, "op", "created_at")
     if watchlist is not None:
         log = watchlist.select("id", *key, F.lit("add").alias("op"), "created_at").unionByName(log)
-    known = auctions.select(F.col("id").alias("auction_id"))
-    valid = log.join(known, "auction_id", "left_semi")
-    removed = valid.groupBy(*key).agg(F.max(F.when(F.col("op") == "remove", _turn())).alias("removed"))
-    standing = valid.where(F.col("op") == "add").join(removed, key).where(
+    removed = log.where(F.col("op") == "remove").groupBy(*key).agg(F.max(_turn()).alias("removed"))
+    standing = splitting.salted_join(log.where(F.col("op") == "add"), removed, key).where(
         F.col("removed").isNull() | (_turn() > F.col("removed"))
     )
-    return standing.groupBy(*key).agg(
-        F.min(_turn()).alias("first"), F.max("created_at").alias("created_at")
-    ).select(F.col("first.id").alias("id"), *key, "created_at")
+    rows = standing.groupBy(*key).agg(F.min(_turn()).alias("first"), F.max("created_at").alias("created_at"))
+    known = auctions.select(F.col("id").alias("auction_id"))
+    return rows.join(known, "auction_id", "left_semi").select(F.col("first.id").alias("id"), *key, "created_at")
 
 
 def auto_bid_upsert(log: DataFrame, auctions: DataFrame, auto_bids: DataFrame | None = None) -> DataFrame:
@@ -50,7 +50,9 @@ def auto_bid_upsert(log: DataFrame, auctions: DataFrame, auto_bids: DataFrame |
         )
         log = stored.unionByName(log)
     prices = auctions.select(F.col("id").alias("auction_id"), "current_price")
-    valid = log.join(prices, "auction_id").where(
+    valid = splitting.salted_join(log, prices, ["auction_id"]).where(
+        F.col("current_price").isNotNull()
+    ).where(
         ~F.col("checked") | (F.col("op") == "stop") | (F.col("max_amount") > F.col("current_price"))
     )
     states = F.col("op") != "stop"
@@ -70,12 +72,15 @@ def auto_bid_upsert(log: DataFrame, auctions: DataFrame, auto_bids: DataFrame |
     )
 
 
-def _patched(table: DataFrame, patches: DataFrame, columns: list[str]) -> DataFrame:
-    """COALESCE(patch, old) per column. Of several patches to a row the last non-NULL value stays."""
-    latest = patches.groupBy("id").agg(
-        *(F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", "patch_id", c))).alias(f"new_{c}") for c in columns)
-    )
-    joined = table.join(latest, "id", "left")
+def _latest(columns: list[str]) -> list[Column]:
+    """Of several patches to a column, the last that is not NULL."""
+    return [F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", "patch_id", c))).alias(f"new_{c}") for c in columns]
+
+
+def _overlay(table: DataFrame, latest: DataFrame, columns: list[str]) -> DataFrame:
+    """COALESCE(patch, old) per column."""
+    once = latest.groupBy("id").agg(*(F.max(f"new_{c}").alias(f"new_{c}") for c in columns))
+    joined = table.join(once, "id", "left")
     return joined.select(
         *(F.coalesce(F.col(f"new_{c}")[c], F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns)
     )
@@ -88,7 +93,8 @@ def auction_patch(auctions: DataFrame, patches: DataFrame, users: DataFrame) ->
     """
     columns = ["title", "description", "image_url", "end_time", "status"]
     given = patches.withColumn("image_url", F.nullif("image_url", F.lit("")))
-    return _patched(auctions, _authorised(given, auctions, users).withColumnRenamed("auction_id", "id"), columns)
+    by_author = given.groupBy("auction_id", "user_id").agg(*_latest(columns))
+    return _overlay(auctions, _authorised(by_author, auctions, users).withColumnRenamed("auction_id", "id"), columns)
 
 
 def _authorised(requests: DataFrame, auctions: DataFrame, users: DataFrame) -> DataFrame:
@@ -106,7 +112,8 @@ def _authorised(requests: DataFrame, auctions: DataFrame, users: DataFrame) -> D
 def profile_patch(users: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply (patch_id, user_id, created_at, new values) to the columns users may change themselves."""
     columns = [c for c in ("full_name", "phone", "address", "password_hash") if c in users.columns]
-    return _patched(users, patches.withColumnRenamed("user_id", "id"), columns)
+    latest = patches.groupBy(F.col("user_id").alias("id")).agg(*_latest(columns))
+    return _overlay(users, latest, columns)
 
 
 def mark_read(notifications: DataFrame, acks: DataFrame) -> DataFrame:

@@ -43,25 +43,25 @@ def _tests(rows: DataFrame, expiry: bool, buy_now: bool) -> DataFrame:
     )
 
 
-# Largest amount first, among equal amounts the earliest: only that one was accepted.
-_PEAK = F.struct(
-    F.col("amount").alias("amount"),
-    (-micros(F.col("created_at"))).alias("time"),
-    (-F.col("id")).alias("order"),
-    F.col("bidder_id").alias("bidder"),
-)
+def _peak() -> Column:
+    """Largest amount first, among equal amounts the earliest: only that one was accepted."""
+    return F.struct(
+        F.col("amount").alias("amount"),
+        (-micros(F.col("created_at"))).alias("time"),
+        (-F.col("id")).alias("order"),
+        F.col("bidder_id").alias("bidder"),
+    )
 
 
-def _run(
-    auctions: DataFrame, attempts: DataFrame, opening: str, expiry: bool, buy_now: bool, split: Split,
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    hot = splitting.oversized(attempts, "auction_id", "created_at", split)
-    rules = _rules(auctions, opening, keep)
-    group = ["auction_id", "slice"]
+_GROUP = ["auction_id", "slice"]
+
+
+def _from_earlier(hot: DataFrame, attempts: DataFrame, rules: DataFrame, expiry: bool, buy_now: bool) -> DataFrame:
+    """What each slice of the cut auctions must know of the others.
 
-    # Attempts on cut auctions only. `hot` is bounded, so are its auctions: broadcast joins and
-    # map-side aggregation, no row of these attempts is shuffled here.
+    `hot` is bounded, so are its auctions and slices: broadcast joins and map-side aggregation
+    only, no row of these auctions' attempts is shuffled here.
+    """
     few = rules.join(F.broadcast(hot.select("auction_id")), "auction_id", "left_semi")
     pressed = _tests(
         splitting.only_oversized(attempts, hot, "auction_id", "created_at").join(F.broadcast(few), "auction_id"),
@@ -71,40 +71,54 @@ def _run(
     peaks = (
         pressed.join(F.broadcast(closed), "auction_id", "left")
         .where(F.col("contends") & ~_yes(F.col("place") > F.col("closed_at")))
-        .groupBy(*group)
-        .agg(F.max(_PEAK).alias("peak"))
+        .groupBy(*_GROUP)
+        .agg(F.max(_peak()).alias("peak"))
+        .checkpoint()
     )
+    final = peaks.groupBy("auction_id").agg(F.max("peak").alias("last_peak"))
     # Every slice gets a row, also one without contenders, so that it learns of the earlier ones.
     every_slice = hot.select("auction_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    carried = splitting.earlier_slices(every_slice.join(F.broadcast(peaks), group, "left"), "auction_id", "peak")
-    final = peaks.groupBy("auction_id").agg(F.max("peak").alias("last_peak"))
-    from_earlier = (
-        carried.withColumnRenamed("peak", "earlier_peak")
+    return (
+        splitting.earlier_slices(every_slice.join(F.broadcast(peaks), _GROUP, "left"), "auction_id", "peak")
+        .withColumnRenamed("peak", "earlier_peak")
         .join(F.broadcast(closed), "auction_id", "left")
         .join(F.broadcast(final), "auction_id", "left")
     )
 
-    # All attempts: one shuffle on (auction, slice), shared by the join and every window.
-    rows = _tests(
-        splitting.cut(attempts, hot, "auction_id", "created_at").join(
-            splitting.spread(rules, hot, "auction_id"), group, "left"
-        ),
-        expiry, buy_now,
+
+def _run(
+    auctions: DataFrame, attempts: DataFrame, opening: str, expiry: bool, buy_now: bool, split: Split,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """All attempts with what decides on them. One shuffle on (auction, slice) serves join and windows."""
+    hot = splitting.oversized(attempts, "auction_id", "created_at", split)
+    rules = _rules(auctions, opening, keep)
+    rows = splitting.cut(attempts, hot, "auction_id", "created_at").join(
+        splitting.spread(rules, hot, "auction_id"), _GROUP, "left"
     )
-    in_order = Window.partitionBy(*group).orderBy("created_at", "id")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("over", _yes(F.max("closing").over(before)))
-    rows = rows.join(F.broadcast(from_earlier), group, "left").withColumn(
-        "over", F.col("over") | _yes(F.col("place") > F.col("closed_at"))
+    if hot is None:
+        closed_earlier, earlier_peak, last_peak = F.lit(False), None, None
+    else:
+        carried = _from_earlier(hot, attempts, rules, expiry, buy_now)
+        rows = rows.join(F.broadcast(carried), _GROUP, "left")
+        closed_earlier = _yes(F.col("place") > F.col("closed_at"))
+        earlier_peak, last_peak = F.col("earlier_peak"), F.col("last_peak")
+
+    before = Window.partitionBy(*_GROUP).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    tested = _tests(rows, expiry, buy_now)
+    dated = tested.select("*", (_yes(F.max("closing").over(before)) | closed_earlier).alias("over"))
+    contender = F.when(F.col("contends") & ~F.col("over"), _peak())
+    best = F.max(contender).over(before)
+    leader = F.max(contender).over(Window.partitionBy(*_GROUP))
+    peaked = dated.select(
+        "*",
+        (best if earlier_peak is None else F.greatest(best, earlier_peak)).alias("best"),
+        (leader if last_peak is None else F.coalesce(last_peak, leader)).alias("leader"),
     )
-    contender = F.when(F.col("contends") & ~F.col("over"), _PEAK)
-    return (
-        rows.withColumn("best", F.greatest(F.max(contender).over(before), F.col("earlier_peak")))
-        .withColumn(
-            "leader", F.coalesce(F.col("last_peak"), F.max(contender).over(Window.partitionBy(*group)))
-        )
-        .withColumn("price_before", F.greatest(F.col("opening_price"), F.col("best.amount")))
-        .withColumn("accepted", F.col("contends") & ~F.col("over") & (F.col("amount") > F.col("price_before")))
+    price = F.greatest("opening_price", "best.amount")
+    return peaked.select(
+        "*", price.alias("price_before"),
+        (F.col("contends") & ~F.col("over") & (F.col("amount") > price)).alias("accepted"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.functions.times import micros
+from gavelspark.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -31,24 +32,28 @@ class Split:
 DEFAULT = Split()
 
 
-def oversized(log: DataFrame, key: str, at: str, split: Split = DEFAULT) -> DataFrame:
-    """(key, first, span, slices) of the groups to cut."""
+def oversized(log: DataFrame, key: str, at: str, split: Split = DEFAULT) -> DataFrame | None:
+    """(key, first, span, slices) of the groups to cut, None when there are none.
+
+    Runs now, as later plans depend on it: a count per key, and the time span of what is too large.
+    The bounded result is kept in the shared folder, so no later plan repeats these passes.
+    """
+    shared_dir(log.sparkSession)
     sizes = log.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     fair = F.greatest(F.lit(split.min_rows), F.ceil(sizes.agg(F.sum("n")).scalar() / split.share))
-    hot = sizes.withColumn("fair", fair).where(F.col("n") > F.col("fair"))
-    spans = (
-        log.join(F.broadcast(hot), key)
+    large = sizes.where(F.col("n") > split.min_rows).withColumn("fair", fair).where("n > fair").checkpoint()
+    if large.isEmpty():
+        return None
+    first, last = F.min(at), F.max(at)
+    return (
+        log.join(F.broadcast(large), key)
         .groupBy(key)
         .agg(
-            F.first("n").alias("n"), F.first("fair").alias("fair"),
-            F.min(at).alias("first"), F.max(at).alias("last"),
+            first.alias("first"),
+            (micros(last) - micros(first) + 1).alias("span"),
+            F.ceil(split.fan * F.first("n") / F.first("fair")).cast("int").alias("slices"),
         )
-    )
-    return spans.select(
-        key,
-        "first",
-        (micros(F.col("last")) - micros(F.col("first")) + 1).alias("span"),
-        F.ceil(split.fan * F.col("n") / F.col("fair")).cast("int").alias("slices"),
+        .checkpoint()
     )
 
 
@@ -58,20 +63,27 @@ def _slice(at: Column) -> Column:
     return F.coalesce(F.least(F.floor(share * F.col("slices")).cast("int"), F.col("slices") - 1), F.lit(0))
 
 
-def cut(log: DataFrame, hot: DataFrame, key: str, at: str) -> DataFrame:
-    """The log with its `slice`; groups that are not cut are all slice 0."""
-    return log.join(F.broadcast(hot), key, "left").withColumn("slice", _slice(F.col(at))).drop(
-        "first", "span", "slices"
-    )
+def cut(log: DataFrame, hot: DataFrame | None, key: str, at: str, row: str = "id") -> DataFrame:
+    """The log with its `slice`; groups that are not cut are all slice 0.
+
+    Rows without a key are no group: they get slices of their own, to spread them.
+    """
+    apart = F.pmod(F.hash(row), F.lit(1024))
+    if hot is None:
+        return log.withColumn("slice", F.when(F.col(key).isNull(), apart).otherwise(0))
+    number = F.when(F.col(key).isNull(), apart).otherwise(_slice(F.col(at)))
+    return log.join(F.broadcast(hot), key, "left").withColumn("slice", number).drop("first", "span", "slices")
 
 
 def only_oversized(log: DataFrame, hot: DataFrame, key: str, at: str) -> DataFrame:
-    """The rows of the cut groups, with their `slice`. Empty when nothing is cut."""
+    """The rows of the cut groups, with their `slice`."""
     return log.join(F.broadcast(hot), key).withColumn("slice", _slice(F.col(at))).drop("first", "span", "slices")
 
 
-def spread(parents: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+def spread(parents: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
     """One copy of a parent row per slice of its group, so that children join on (key, slice)."""
+    if hot is None:
+        return parents.withColumn("slice", F.lit(0))
     copies = F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)
     return (
         parents.join(F.broadcast(hot.select(key, "slices")), key, "left")
@@ -84,3 +96,14 @@ def earlier_slices(per_slice: DataFrame, key: str, value: str) -> DataFrame:
     """Per (key, slice), the maximum of `value` over the slices before it. One row per slice in."""
     before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.withColumn(value, F.max(value).over(before))
+
+
+def salted_join(rows: DataFrame, parents: DataFrame, key: list[str], row: str = "id", salts: int = 8) -> DataFrame:
+    """`rows` left-joined to `parents` on `key`, for rows that are aggregated by that key next.
+
+    On the bare key the join would already place a group in one task, and the aggregation would
+    reuse that placement. With the salt each task combines its part of a group before the shuffle.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.hash(row), F.lit(salts)))
+    copies = parents.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*key, "salt"], "left").drop("salt")
