@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gavelspark.functions.text import money, zero_to_null
 from gavelspark.functions.times import micros
 
-_STATE = "price long, leader long, bids int, closed boolean, title string"
-_EVENT = (
-    "event_type string, auction_id long, bid_id long, user_id long, cents long, total_bids int, "
-    "auction_won boolean, at long, auction_title string"
+_STATE = "price long, leader long, bids int, closed boolean"
+_RULING = (
+    "auction_id long, bid_id long, bidder_id long, cents long, total_bids int, displaced long, "
+    "closes boolean, at long"
 )
-_COLUMNS = [part.split()[0] for part in _EVENT.split(", ")]
+_ruling = Row(*(part.split()[0] for part in _RULING.split(", ")))
 
 
 class AuctionDesk(StatefulProcessor):
-    """Judges attempts in order of (at, id) within a batch, from where the last batch left off."""
+    """Judges attempts in order of (at, id) within a batch, from where the last batch left off.
+
+    Of a batch it keeps the attempts that beat all earlier ones, which are those it accepts; the
+    others are dropped as they come, so a busy auction costs its accepted bids, not its attempts.
+    """
 
     def __init__(self, close_on_expiry: bool):
         self.close_on_expiry = close_on_expiry
@@ -30,47 +34,49 @@ class AuctionDesk(StatefulProcessor):
         self.handle = handle
         self.auction = handle.getValueState("auction", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        first = batch.iloc[0]
-        if self.auction.exists():
-            price, leader, bids, closed, title = self.auction.get()
-        else:
-            price, leader, bids, closed, title = int(first.opening), None, 0, first.status != "active", first.title
-            if self.close_on_expiry and not closed:
-                self.handle.registerTimer(int(first.end_at) // 1000 + 1)
-        end, seller, buy_now = int(first.end_at), int(first.seller_id), int(first.buy_now)
-
-        events = []
-        for bid, bidder, cents, at in zip(*(batch[c].tolist() for c in ("id", "bidder_id", "cents", "at"))):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.auction.get()
+        price, leader, bids, closed = stored or (None, None, 0, False)
+        late, buy_now, ascent = False, 0, []
+        for row in rows:
+            if price is None:
+                price, closed = row.opening, row.status != "active"
+                if self.close_on_expiry and not closed:
+                    self.handle.registerTimer(row.end_at // 1000 + 1)
+            buy_now = row.buy_now
+            if row.at > row.end_at:
+                late = True
+            elif not closed and row.bidder_id != row.seller_id and row.cents > price:
+                place = bisect(ascent, (row.at, row.id))
+                if place and ascent[place - 1][2] >= row.cents:
+                    continue
+                beaten = place
+                while beaten < len(ascent) and ascent[beaten][2] <= row.cents:
+                    beaten += 1
+                ascent[place:beaten] = [(row.at, row.id, row.cents, row.bidder_id)]
+        for at, bid, cents, bidder in ascent:
+            bids, closed = bids + 1, 0 < buy_now <= cents
+            yield _ruling(key[0], bid, bidder, cents, bids, leader if leader != bidder else None, closed, at)
+            price, leader = cents, bidder
             if closed:
                 break
-            if at > end:
-                closed = True
-            elif bidder != seller and cents > price:
-                bids += 1
-                bought = 0 < buy_now <= cents
-                events.append(("new-bid", key[0], bid, bidder, cents, bids, bought, at, title))
-                if leader is not None and leader != bidder:
-                    events.append(("outbid", key[0], bid, leader, cents, None, None, at, title))
-                if bought:
-                    events.append(("auction-closed", key[0], bid, bidder, cents, None, None, at, title))
-                price, leader, closed = cents, bidder, bought
-        self.auction.update((price, leader, bids, closed, title))
-        yield pd.DataFrame(events, columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        price, leader, bids, closed, title = self.auction.get()
+        self.auction.update((price, leader, bids, closed or late))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        price, leader, bids, closed = self.auction.get()
         if not closed:
-            self.auction.update((price, leader, bids, True, title))
+            self.auction.update((price, leader, bids, True))
             at = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000
-            row = ("auction-closed", key[0], None, leader, price if leader is not None else 0, None, None, at, title)
-            yield pd.DataFrame([row], columns=_COLUMNS)
+            yield _ruling(key[0], None, leader, 0 if leader is None else price, bids, None, True, at)
 
     def close(self) -> None:
         pass
 
 
+def _cents(amount: Column) -> Column:
+    return (amount * 100).cast("long")
+
+
 def bid_events(
     attempts: DataFrame, auctions: DataFrame, *, close_on_expiry: bool = False, lateness: str = "0 seconds"
 ) -> DataFrame:
@@ -79,27 +85,46 @@ def bid_events(
     `user_id` is the bidder, the displaced leader, or the winner. With `close_on_expiry` an
     auction that saw an attempt also closes when the stream's time passes its end.
     """
-    def cents(column: str):
-        return (F.col(column) * 100).cast("long")
-
     rules = auctions.select(
-        F.col("id").alias("auction_id"), "seller_id", "title", "status", micros(F.col("end_time")).alias("end_at"),
-        cents("starting_price").alias("opening"),
-        F.coalesce((zero_to_null(F.col("buy_now_price")) * 100).cast("long"), F.lit(0)).alias("buy_now"),
+        F.col("id").alias("auction_id"), "seller_id", "status", micros(F.col("end_time")).alias("end_at"),
+        _cents(F.col("starting_price")).alias("opening"),
+        F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
     )
     rows = attempts.where(F.col("amount") > 0)
+    clock = []
     if close_on_expiry:
         rows = rows.withColumn("clock", F.col("created_at").cast("timestamp")).withWatermark("clock", lateness)
+        clock = ["clock"]
     judged = rows.select(
-        "id", "auction_id", "bidder_id", cents("amount").alias("cents"), micros(F.col("created_at")).alias("at"),
-        *(["clock"] if close_on_expiry else []),
+        "id", "auction_id", "bidder_id", _cents(F.col("amount")).alias("cents"), micros(F.col("created_at")).alias("at"),
+        *clock,
     ).join(rules, "auction_id")
-    events = judged.groupBy("auction_id").transformWithStateInPandas(
-        AuctionDesk(close_on_expiry), _EVENT, "append", "EventTime" if close_on_expiry else "None"
+    rulings = judged.groupBy("auction_id").transformWithState(
+        AuctionDesk(close_on_expiry), _RULING, "append", "EventTime" if close_on_expiry else "None"
+    )
+    placed = F.col("bid_id").isNotNull()
+    nothing = F.lit(None)
+
+    def event(kind: str, user: str, total: Column = nothing, won: Column = nothing) -> Column:
+        return F.struct(
+            F.lit(kind).alias("event_type"), F.col(user).alias("user_id"), total.cast("int").alias("total_bids"),
+            won.cast("boolean").alias("auction_won"),
+        )
+
+    events = F.array(
+        F.when(placed, event("new-bid", "bidder_id", F.col("total_bids"), F.col("closes"))),
+        F.when(F.col("displaced").isNotNull(), event("outbid", "displaced")),
+        F.when(F.col("closes"), event("auction-closed", "bidder_id")),
     )
-    return events.select(
-        "event_type", "auction_id", "bid_id", "user_id", (F.col("cents") / 100).cast("decimal(10,2)").alias("amount"),
-        "total_bids", "auction_won", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "auction_title",
+    titles = auctions.select(F.col("id").alias("auction_id"), F.col("title").alias("auction_title"))
+    return (
+        rulings.withColumn("event", F.explode(F.filter(events, lambda e: e.isNotNull())))
+        .join(titles, "auction_id")
+        .select(
+            "event.event_type", "auction_id", "bid_id", "event.user_id",
+            (F.col("cents") / 100).cast("decimal(10,2)").alias("amount"), "event.total_bids", "event.auction_won",
+            F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "auction_title",
+        )
     )
 
 
