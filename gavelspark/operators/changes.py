@@ -133,22 +133,26 @@ def mark_read(notifications: DataFrame, acks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tables:
-    """The tables a delete can reach."""
+    """The tables a delete can reach; those that depend on users and auctions may be left out."""
 
     users: DataFrame
     auctions: DataFrame
-    bids: DataFrame
-    watchlist: DataFrame
-    notifications: DataFrame
-    auto_bids: DataFrame
+    bids: DataFrame | None = None
+    watchlist: DataFrame | None = None
+    notifications: DataFrame | None = None
+    auto_bids: DataFrame | None = None
 
 
-def _without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+def _without(rows: DataFrame | None, column: str, gone: DataFrame) -> DataFrame | None:
+    if rows is None:
+        return None
     return rows.join(gone.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
 
 
-def _cleared(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+def _cleared(rows: DataFrame | None, column: str, gone: DataFrame) -> DataFrame | None:
     """References to what is gone become NULL."""
+    if rows is None:
+        return None
     lost = gone.select(F.col("id").alias(column), F.lit(True).alias("lost")).distinct()
     return rows.join(lost, column, "left").withColumn(
         column, F.when(F.col("lost").isNull(), F.col(column))

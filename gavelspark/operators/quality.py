@@ -213,16 +213,30 @@ REFERENCES = [
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, id, missing_id) of rows that refer to an absent parent; NULL refers to none."""
+    """(table_name, column_name, id, missing_id) of rows that refer to an absent parent, one pass per table.
+
+    A NULL refers to none.
+    """
     reports = []
-    for child, column, parent in REFERENCES:
-        if child in tables and parent in tables:
-            refers = tables[child].where(F.col(column).isNotNull()).select(
-                F.lit(child).alias("table_name"), F.lit(column).alias("column_name"), "id",
-                F.col(column).cast("long").alias("missing_id"),
+    for name, rows in tables.items():
+        links = [(column, parent) for child, column, parent in REFERENCES if child == name and parent in tables]
+        found = []
+        for column, parent in links:
+            present = tables[parent].select(F.col("id").alias(column), F.lit(True).alias(f"has_{column}"))
+            rows = rows.join(present, column, "left")
+            found.append(
+                F.when(
+                    F.col(column).isNotNull() & F.col(f"has_{column}").isNull(),
+                    F.struct(F.lit(column).alias("column_name"), F.col(column).cast("long").alias("missing_id")),
+                )
+            )
+        if links:
+            missing = F.filter(F.array(*found), lambda link: link.isNotNull())
+            reports.append(
+                rows.select("id", F.explode(missing).alias("link")).select(
+                    F.lit(name).alias("table_name"), "link.column_name", "id", "link.missing_id"
+                )
             )
-            have = tables[parent].select(F.col("id").cast("long").alias("missing_id"))
-            reports.append(refers.join(have, "missing_id", "left_anti"))
     return _stack(reports)
 
 

@@ -53,7 +53,7 @@ def bid_history(bids: DataFrame, users: DataFrame, auctions: DataFrame) -> DataF
 def bidder_ranking(users: DataFrame, bids: DataFrame) -> DataFrame:
     """By money bid, unlike the leaderboard by number of bids."""
     totals = bids.groupBy(F.col("bidder_id").alias("id")).agg(
-        F.count("id").alias("total_bids_placed"),
+        F.count("*").alias("total_bids_placed"),
         F.sum("amount").alias("total_amount_bid"),
         F.max("amount").alias("highest_single_bid"),
     )

@@ -17,8 +17,10 @@ DAY = 86_400
 Query = Callable[[AuctionData], DataFrame]
 
 
-def _tables(d: AuctionData) -> changes.Tables:
-    return changes.Tables(d.users, d.auction_items, d.bids, d.watchlist, d.notifications, d.auto_bids)
+def _tables(d: AuctionData, table: str) -> changes.Tables:
+    """What a delete needs to give the new state of `table`."""
+    dependent = {table: getattr(d, table)} if table not in ("users", "auctions") else {}
+    return changes.Tables(d.users, d.auction_items, **dependent)
 
 
 def _lines(rows: DataFrame, *columns: str) -> DataFrame:
@@ -31,11 +33,11 @@ def _validated(kind: str, source: str) -> Query:
 
 
 def _deleted_auctions(table: str) -> Query:
-    return lambda d: getattr(changes.delete_auctions(_tables(d), sample(d, "auction_deletions")), table)
+    return lambda d: getattr(changes.delete_auctions(_tables(d, table), sample(d, "auction_deletions")), table)
 
 
 def _deleted_users(table: str) -> Query:
-    return lambda d: getattr(changes.delete_users(_tables(d), sample(d, "user_deletions")), table)
+    return lambda d: getattr(changes.delete_users(_tables(d, table), sample(d, "user_deletions")), table)
 
 
 REPORTS: dict[str, Query] = {

@@ -14,9 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "gavelspark", master: str | None = None, **extra: str) -> SparkSession:
@@ -31,9 +31,13 @@ def build_session(app: str = "gavelspark", master: str | None = None, **extra: s
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. Only a session without one (a test) gets a local folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="gavelspark-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gavelspark-"))
+    return (configured or context.getCheckpointDir()).rstrip("/")
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streams with state of their own need the RocksDB store; it is chosen when a query starts."""
+    spark.conf.set(_STATE_STORE, _ROCKSDB)

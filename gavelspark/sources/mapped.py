@@ -103,19 +103,22 @@ class AuctionData:
     @cached_property
     def auction_items(self) -> DataFrame:
         # One pre-aggregated pass over the lines gives price, count and leader: the leader is the
-        # largest amount, and among equal amounts the first line.
+        # largest amount, and among equal amounts the first line. Price and count stay apart from
+        # it: without the leader they are a hash aggregation.
         lead = F.struct(
             F.col("l_extendedprice").cast(MONEY).alias("amount"),
             (-F.col("l_linenumber")).alias("line"),
             (-F.col("l_partkey")).alias("part"),
             (-F.col("l_suppkey")).alias("supplier"),
         )
-        tally = self._read("lineitem").groupBy("l_orderkey").agg(F.max(lead).alias("lead"), F.count("*").alias("n"))
+        tally = self._read("lineitem").groupBy("l_orderkey").agg(
+            F.max(lead).alias("lead"), F.max(F.col("l_extendedprice").cast(MONEY)).alias("top"), F.count("*").alias("n")
+        )
         biddable = F.col("status").isin("active", "closed")
         return (
             self._listing.join(tally, F.col("id") == F.col("l_orderkey"), "left")
             .withColumn("n", F.when(biddable, F.col("n")))
-            .withColumn("current_price", F.when(biddable, F.col("lead.amount")))
+            .withColumn("current_price", F.when(biddable, F.col("top")))
             .select(
                 "id", "seller_id", "category_id", "title", "description", "image_url", "starting_price",
                 "reserve_price", F.coalesce("current_price", "starting_price").alias("current_price"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavelspark.session import shared_dir
+from gavelspark.session import keep_state_on_disk, shared_dir
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -36,6 +36,7 @@ def read_log(
 def append_run(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into a Parquet table, and read that table."""
     spark = stream.sparkSession
+    keep_state_on_disk(spark)
     out = fresh_folder(spark, name)
     _finish(
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows"), f"{out}/progress"
