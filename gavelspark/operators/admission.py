@@ -91,7 +91,7 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
         .select("id", "client", "run", "time", (~F.col("crowded")).alias("seed"))
         .repartition("client", "run")
         .sortWithinPartitions("client", "run", "time", "id")
-        .mapInPandas(_walker(limit, width), "id long, client long, time long, admitted boolean")
+        .mapInPandas(_walker(limit, width), calm.schema)
     )
     return calm.unionByName(followed).select(
         "id", "client", F.timestamp_micros("time").cast("timestamp_ntz").alias("at"), "admitted"

@@ -102,9 +102,9 @@ def _authorised(requests: DataFrame, auctions: DataFrame, users: DataFrame) -> D
     owners = auctions.select(F.col("id").alias("auction_id"), F.col("seller_id").alias("owner_id"))
     admins = users.where(F.col("role") == "admin").select(F.col("id").alias("user_id"), F.lit(True).alias("admin"))
     return (
-        requests.join(owners, "auction_id")
+        splitting.salted_join(requests, owners, ["auction_id"], row="user_id")
         .join(admins, "user_id", "left")
-        .where((F.col("user_id") == F.col("owner_id")) | F.col("admin"))
+        .where((F.col("user_id") == F.col("owner_id")) | (F.col("owner_id").isNotNull() & F.col("admin")))
         .drop("owner_id", "admin")
     )
 

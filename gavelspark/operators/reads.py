@@ -163,6 +163,13 @@ def all_users(users: DataFrame) -> DataFrame:
     ).orderBy(F.desc("created_at"), "id")
 
 
+def profile(users: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """What users see of themselves."""
+    return _only(users, "id", keys).select(
+        "id", "username", "email", "full_name", "phone", "address", "role", "created_at"
+    )
+
+
 def all_auctions(auctions: DataFrame, users: DataFrame, categories: DataFrame) -> DataFrame:
     return (
         auctions.join(_named(users, "seller_id", "seller_name"), "seller_id")

@@ -81,6 +81,7 @@ READS: dict[str, Query] = {
     "my_auctions": lambda d: reads.my_auctions(d.auction_items, d.categories, d.users),
     "all_bids": lambda d: reads.all_bids(d.bids, d.users, d.auction_items),
     "all_users": lambda d: reads.all_users(d.users),
+    "profile": lambda d: reads.profile(d.users),
     "all_auctions": lambda d: reads.all_auctions(d.auction_items, d.users, d.categories),
     "watchlist_items": lambda d: reads.watchlist_items(d.watchlist, d.auction_items, d.categories),
     "is_watching": lambda d: reads.is_watching(sample(d, "watch_pairs"), d.watchlist),
@@ -182,6 +183,7 @@ STREAMS: dict[str, Query] = {
     "stream_auction_price": runs.auction_price,
     "stream_auto_close": runs.expiry_events,
     "stream_notices": runs.notices,
+    "stream_unread": runs.unread,
     "rate_limit_stream": lambda d: runs.admitted(d, 2, DAY),
 }
 

@@ -36,11 +36,12 @@ class Limiter(StatefulProcessor):
 
 def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """A stream (id, client, at) with whether each request is admitted."""
+    client = requests.schema["client"].dataType.simpleString()
     judged = (
         requests.select("id", "client", micros(F.col("at")).alias("time"))
         .groupBy("client")
         .transformWithStateInPandas(
-            Limiter(limit, seconds * 1_000_000), "id long, client long, time long, admitted boolean", "append", "None"
+            Limiter(limit, seconds * 1_000_000), f"id long, client {client}, time long, admitted boolean", "append", "None"
         )
     )
     return judged.select("id", "client", F.timestamp_micros("time").cast("timestamp_ntz").alias("at"), "admitted")

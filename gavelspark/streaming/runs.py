@@ -34,6 +34,11 @@ def notices(d: AuctionData) -> DataFrame:
     return logs.append_run(desk.notices(events), "notices")
 
 
+def unread(d: AuctionData) -> DataFrame:
+    """Unread notices per user, counted from the stored output of the notice stream."""
+    return logs.update_run(boards.unread(_streamed(notices(d), "notices")), ["user_id"], "unread")
+
+
 def live_board(d: AuctionData) -> DataFrame:
     newest = boards.newest_bids(_streamed(d.attempts, "attempts"))
     return boards.board(logs.update_run(newest, ["auction_id", "bidder_id"], "board"))

@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.test_named_queries import FOLDER
 
-STREAMED = {"bid_stream", "stream_live_board", "stream_auction_price", "stream_auto_close", "stream_notices", "rate_limit_stream"}
+STREAMED = {"bid_stream", "stream_live_board", "stream_auction_price", "stream_auto_close", "stream_notices", "stream_unread",
+            "rate_limit_stream"}
 
 
 def plan(frame):
