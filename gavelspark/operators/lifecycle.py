@@ -67,7 +67,7 @@ def _from_earlier(hot: DataFrame, attempts: DataFrame, rules: DataFrame, expiry:
         splitting.only_oversized(attempts, hot, "auction_id", "created_at").join(F.broadcast(few), "auction_id"),
         expiry, buy_now,
     )
-    closed = pressed.where("closing").groupBy("auction_id").agg(F.min("place").alias("closed_at"))
+    closed = pressed.where("closing").groupBy("auction_id").agg(F.min("place").alias("closed_at")).checkpoint()
     peaks = (
         pressed.join(F.broadcast(closed), "auction_id", "left")
         .where(F.col("contends") & ~_yes(F.col("place") > F.col("closed_at")))
