@@ -96,3 +96,8 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     return calm.unionByName(followed).select(
         "id", "client", F.timestamp_micros("time").cast("timestamp_ntz").alias("at"), "admitted"
     )
+
+
+def guarded(requests: DataFrame, kind: str) -> DataFrame:
+    """The log under the limit in use for `kind`; every kind counts for itself."""
+    return rate_limit(requests, *LIMITS[kind])

@@ -197,6 +197,24 @@ def winning_flags(accepted: DataFrame) -> DataFrame:
     )
 
 
+def auctions_after(auctions: DataFrame, replay: DataFrame) -> DataFrame:
+    """The snapshot a replay leaves: price, number of bids, and what a purchase or a late attempt closed."""
+    accepted = F.col("outcome") == "ok"
+    moved = replay.groupBy(F.col("auction_id").alias("id")).agg(
+        F.max(F.when(accepted, F.col("amount"))).alias("price"),
+        F.count_if(accepted).cast("int").alias("bids"),
+        F.max(F.when(F.col("bought"), F.col("bidder_id"))).alias("buyer_id"),
+        F.bool_or(F.col("bought") | (F.col("outcome") == "ended")).alias("closed"),
+    )
+    return auctions.join(moved, "id", "left").select(
+        "id",
+        F.coalesce("price", "current_price").alias("current_price"),
+        F.coalesce("bids", F.lit(0)).alias("total_bids"),
+        F.when(F.col("closed"), "closed").otherwise(F.col("status")).alias("status"),
+        F.col("buyer_id").alias("winner_id"),
+    )
+
+
 def buy_now_close(replay: DataFrame) -> DataFrame:
     """Auctions that an accepted bid at or above the buy-now price closed."""
     return replay.where("bought").select(

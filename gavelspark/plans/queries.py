@@ -104,6 +104,7 @@ LIFECYCLE: dict[str, Query] = {
     "auto_close": lambda d: lifecycle.auto_close(d.auction_items, d.bids, d.users, d.as_of),
     "auto_close_events": lambda d: lifecycle.auto_close_events(d.auction_items, d.bids, d.users, d.as_of),
     "auto_close_notices": lambda d: lifecycle.auto_close_notices(d.auction_items, d.bids, d.users, d.as_of),
+    "auctions_after": lambda d: lifecycle.auctions_after(d.opening, d.replay),
     "buy_now_close": lambda d: lifecycle.buy_now_close(d.replay),
     "outbid_notices": lambda d: lifecycle.outbid_notices(d.replay),
     "won_notices": lambda d: lifecycle.won_notices(d.auction_items.where(F.col("status") == "closed"), d.as_of),
@@ -175,6 +176,7 @@ QUALITY: dict[str, Query] = {
         d.auction_items, lifecycle.accepted_bids(d.replay).select("auction_id", "amount", "is_winning")
     ),
     "rate_limit": lambda d: admission.rate_limit(d.requests, 2, DAY),
+    "rate_limit_register": lambda d: admission.guarded(d.requests, "register"),
 }
 
 STREAMS: dict[str, Query] = {

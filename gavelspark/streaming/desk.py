@@ -40,8 +40,8 @@ class AuctionDesk(StatefulProcessor):
         late, buy_now, ascent = False, 0, []
         for row in rows:
             if price is None:
-                price, closed = row.opening, row.status != "active"
-                if self.close_on_expiry and not closed:
+                price = row.opening
+                if self.close_on_expiry:
                     self.handle.registerTimer(row.end_at // 1000 + 1)
             buy_now = row.buy_now
             if row.at > row.end_at:
@@ -85,8 +85,10 @@ def bid_events(
     `user_id` is the bidder, the displaced leader, or the winner. With `close_on_expiry` an
     auction that saw an attempt also closes when the stream's time passes its end.
     """
-    rules = auctions.select(
-        F.col("id").alias("auction_id"), "seller_id", "status", micros(F.col("end_time")).alias("end_at"),
+    # Auctions that are not open and, where nothing closes by time, attempts that can never count
+    # are dropped before they reach Python.
+    rules = auctions.where(F.col("status") == "active").select(
+        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"),
         _cents(F.col("starting_price")).alias("opening"),
         F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
     )
@@ -99,6 +101,9 @@ def bid_events(
         "id", "auction_id", "bidder_id", _cents(F.col("amount")).alias("cents"), micros(F.col("created_at")).alias("at"),
         *clock,
     ).join(rules, "auction_id")
+    if not close_on_expiry:
+        late = F.col("at") > F.col("end_at")
+        judged = judged.where(late | ((F.col("bidder_id") != F.col("seller_id")) & (F.col("cents") > F.col("opening"))))
     rulings = judged.groupBy("auction_id").transformWithState(
         AuctionDesk(close_on_expiry), _RULING, "append", "EventTime" if close_on_expiry else "None"
     )
