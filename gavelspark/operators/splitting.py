@@ -72,7 +72,9 @@ def cut(log: DataFrame, hot: DataFrame | None, key: str, at: str, row: str = "id
     if hot is None:
         return log.withColumn("slice", F.when(F.col(key).isNull(), apart).otherwise(0))
     number = F.when(F.col(key).isNull(), apart).otherwise(_slice(F.col(at)))
-    return log.join(F.broadcast(hot), key, "left").withColumn("slice", number).drop("first", "span", "slices")
+    sliced = log.join(F.broadcast(hot), key, "left").withColumn("slice", number).drop("first", "span", "slices")
+    # Said outright, as a log that comes distributed by its key alone would satisfy what follows.
+    return sliced.repartition(key, "slice")
 
 
 def only_oversized(log: DataFrame, hot: DataFrame, key: str, at: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Every operator as a named query over the whole tables of a data folder."""
+"""Every operator as a named query over the whole tables of a data folder.
+
+Bids that are read without their leading flag are taken as `attempts`, which saves deriving it.
+"""
 
 from __future__ import annotations
 
@@ -49,21 +52,21 @@ REPORTS: dict[str, Query] = {
     "auction_full": lambda d: reports.auction_full(d.auction_items, d.users, d.categories),
     "bid_history_full": lambda d: reports.bid_history_full(d.bids, d.auction_items, d.users),
     "highest_bidder": lambda d: reports.highest_bidder(d.auction_items, d.bids, d.users),
-    "user_activity": lambda d: reports.user_activity(d.users, d.bids),
+    "user_activity": lambda d: reports.user_activity(d.users, d.attempts),
     "category_stats": lambda d: reports.category_stats(d.categories, d.auction_items),
-    "top_bidders": lambda d: reports.top_bidders(d.users, d.bids),
+    "top_bidders": lambda d: reports.top_bidders(d.users, d.attempts),
     "most_competitive": lambda d: reports.most_competitive(d.auction_items, d.users, d.categories),
     "category_avg_bids": lambda d: reports.category_avg_bids(d.categories, d.auction_items),
-    "dual_participants": lambda d: reports.dual_participants(d.users, d.auction_items, d.bids),
+    "dual_participants": lambda d: reports.dual_participants(d.users, d.auction_items, d.attempts),
     "seller_revenue": lambda d: reports.seller_revenue(d.users, d.auction_items),
     "above_average": lambda d: reports.above_average(d.auction_items),
-    "never_bid": lambda d: reports.never_bid(d.users, d.bids),
-    "unique_bidders": lambda d: reports.unique_bidders(d.auction_items, d.bids),
-    "latest_bid_per_user": lambda d: reports.latest_bid_per_user(d.bids, d.users, d.auction_items),
-    "self_bids": lambda d: reports.self_bids(d.bids, d.auction_items, d.users),
+    "never_bid": lambda d: reports.never_bid(d.users, d.attempts),
+    "unique_bidders": lambda d: reports.unique_bidders(d.auction_items, d.attempts),
+    "latest_bid_per_user": lambda d: reports.latest_bid_per_user(d.attempts, d.users, d.auction_items),
+    "self_bids": lambda d: reports.self_bids(d.attempts, d.auction_items, d.users),
     "overdue_active": lambda d: reports.overdue_active(d.auction_items, d.as_of),
     "winner_report": lambda d: reports.winner_report(d.auction_items, d.users),
-    "most_active": lambda d: reports.most_active(d.auction_items, d.categories, d.users, d.bids),
+    "most_active": lambda d: reports.most_active(d.auction_items, d.categories, d.users, d.attempts),
     "winning_investment": lambda d: reports.winning_investment(d.users, d.bids),
     "category_volume": lambda d: reports.category_volume(d.categories, d.auction_items),
 }
@@ -71,7 +74,7 @@ REPORTS: dict[str, Query] = {
 READS: dict[str, Query] = {
     "v_active_auctions": lambda d: reads.active_listing(d.auction_items, d.users, d.categories),
     "v_bid_history": lambda d: reads.bid_history(d.bids, d.users, d.auction_items),
-    "v_top_bidders": lambda d: reads.bidder_ranking(d.users, d.bids),
+    "v_top_bidders": lambda d: reads.bidder_ranking(d.users, d.attempts),
     "catalogue": lambda d: reads.catalogue(
         d.auction_items, d.users, d.categories, status="active", search="urgent"
     ),

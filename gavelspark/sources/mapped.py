@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelspark.functions.times import naive
@@ -45,36 +45,59 @@ class AuctionData:
         return self._read("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
 
     @cached_property
-    def bids(self) -> DataFrame:
-        # Ids are order * 100 + position, which only holds for orders of fewer than 100 lines:
-        # that bounds each window group here, and an order beyond it stops the job.
-        lines = self._read("lineitem").join(
-            self._read("orders").where(F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", "o_orderdate"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        ).withColumn("amount", F.col("l_extendedprice").cast(MONEY))
-        place = Window.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"
-        )
-        best = Window.partitionBy("l_orderkey").orderBy(F.desc("amount"), F.asc("seq"))
-        placed = lines.withColumn("seq", F.row_number().over(place))
-        return placed.select(
-            (F.col("l_orderkey") * 100 + F.when(F.col("seq") < 100, F.col("seq")).otherwise(
-                F.raise_error(F.lit("an order has 100 or more lines; bid ids would collide")).cast("int")
-            )).alias("id"),
+    def _lines(self) -> DataFrame:
+        """Order lines as bids. Ids and times come from a line alone: no order is ranked in one task."""
+        content = F.concat_ws(
+            "|",
+            *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+            F.col("l_extendedprice").cast("decimal(12,2)").cast("string"),
+            F.col("l_quantity").cast("int").cast("string"),
+            F.col("l_shipdate").cast("string"),
+        )
+        # Lines have no key. Their fingerprint is one, and the line number above it lets ids rise with time.
+        fingerprint = F.conv(F.substring(F.md5(content), 1, 14), 16, 10).cast("long")
+        return self._read("lineitem").select(
+            (F.col("l_linenumber").cast("long") * 2**56 + fingerprint).alias("id"),
             F.col("l_orderkey").alias("auction_id"),
             F.col("l_suppkey").alias("bidder_id"),
-            "amount",
-            (F.row_number().over(best) == 1).alias("is_winning"),
+            F.col("l_extendedprice").cast(MONEY).alias("amount"),
             (
-                F.col("o_orderdate")
-                + F.make_dt_interval(F.col("seq") * 6)
+                F.make_dt_interval(F.col("l_linenumber") * 5)
                 + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("l_partkey") % 86400).cast("decimal(18,6)"))
-            ).alias("created_at"),
+            ).alias("after"),
+        )
+
+    @cached_property
+    def _tally(self) -> DataFrame:
+        # Price and count stay apart from the leader: without it they are a hash aggregation.
+        return self._lines.groupBy(F.col("auction_id").alias("tallied")).agg(
+            F.max(F.struct("amount", "id", "bidder_id")).alias("lead"), F.max("amount").alias("top"),
+            F.count("*").alias("n"),
+        )
+
+    @cached_property
+    def _bid_on(self) -> DataFrame:
+        return self._read("orders").where(F.col("o_orderstatus").isin("O", "F")).select(
+            F.col("o_orderkey").alias("auction_id"), F.col("o_orderdate").alias("start")
         )
 
     @cached_property
     def attempts(self) -> DataFrame:
-        return self.bids.drop("is_winning")
+        """Bids before anyone said which of them lead."""
+        return self._lines.join(self._bid_on, "auction_id").select(
+            "id", "auction_id", "bidder_id", "amount", (F.col("start") + F.col("after")).alias("created_at")
+        )
+
+    @cached_property
+    def bids(self) -> DataFrame:
+        """The largest amount leads, of equal ones the highest id."""
+        parents = self._bid_on.join(
+            self._tally.select(F.col("tallied").alias("auction_id"), F.col("lead.id").alias("lead_id")), "auction_id"
+        )
+        return self._lines.join(parents, "auction_id").select(
+            "id", "auction_id", "bidder_id", "amount", (F.col("id") == F.col("lead_id")).alias("is_winning"),
+            (F.col("start") + F.col("after")).alias("created_at"),
+        )
 
     @cached_property
     def _listing(self) -> DataFrame:
@@ -102,33 +125,15 @@ class AuctionData:
 
     @cached_property
     def auction_items(self) -> DataFrame:
-        # One pre-aggregated pass over the lines gives price, count and leader: the leader is the
-        # largest amount, and among equal amounts the first line. Price and count stay apart from
-        # it: without the leader they are a hash aggregation.
-        lead = F.struct(
-            F.col("l_extendedprice").cast(MONEY).alias("amount"),
-            (-F.col("l_linenumber")).alias("line"),
-            (-F.col("l_partkey")).alias("part"),
-            (-F.col("l_suppkey")).alias("supplier"),
-        )
-        tally = self._read("lineitem").groupBy("l_orderkey").agg(
-            F.max(lead).alias("lead"), F.max(F.col("l_extendedprice").cast(MONEY)).alias("top"), F.count("*").alias("n")
-        )
         biddable = F.col("status").isin("active", "closed")
-        return (
-            self._listing.join(tally, F.col("id") == F.col("l_orderkey"), "left")
-            .withColumn("n", F.when(biddable, F.col("n")))
-            .withColumn("current_price", F.when(biddable, F.col("top")))
-            .select(
-                "id", "seller_id", "category_id", "title", "description", "image_url", "starting_price",
-                "reserve_price", F.coalesce("current_price", "starting_price").alias("current_price"),
-                "buy_now_price", "start_time", "end_time", "status",
-                F.when((F.col("status") == "closed") & (F.col("id") % 7 != 0), -F.col("lead.supplier")).alias(
-                    "winner_id"
-                ),
-                F.coalesce("n", F.lit(0)).cast("int").alias("total_bids"),
-                "created_at",
-            )
+        won = (F.col("status") == "closed") & (F.col("id") % 7 != 0)
+        return self._listing.join(self._tally, F.col("id") == F.col("tallied"), "left").select(
+            "id", "seller_id", "category_id", "title", "description", "image_url", "starting_price", "reserve_price",
+            F.coalesce(F.when(biddable, F.col("top")), "starting_price").alias("current_price"),
+            "buy_now_price", "start_time", "end_time", "status",
+            F.when(won, F.col("lead.bidder_id")).alias("winner_id"),
+            F.coalesce(F.when(biddable, F.col("n")), F.lit(0)).cast("int").alias("total_bids"),
+            "created_at",
         )
 
     @cached_property
