@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -32,11 +35,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+@contextmanager
+def shuffle_files_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Queries begun here remove their shuffle files when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: computed once, and not lost with an executor."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    with shuffle_files_end_with_their_query(spark):
+        df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def written_by_key(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As `written`, laid out so that joins and groupings on the key read it without a shuffle."""
+    spark = df.sparkSession
+    folder, name = shared_folder(spark), f"by_{key}_{uuid.uuid4().hex}"
+    with shuffle_files_end_with_their_query(spark):
+        (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name))
+    return spark.table(name)
 
 
 def word_count(text: Column) -> Column:
