@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import quality_rules
+from gavelspark.llm import jaccard_join, quality_rules
 from gavelspark.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,8 +17,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
 ]
 
 # Forests, fingerprints and content-defined chunks have no SQL form; the stages are tested against brute force.
