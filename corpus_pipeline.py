@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import jaccard_join, quality_rules
+from gavelspark.llm import decontaminate, jaccard_join, quality_rules
 from gavelspark.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", no_benchmarks),
 ]
 
 # Forests, fingerprints and content-defined chunks have no SQL form; the stages are tested against brute force.

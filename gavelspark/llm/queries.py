@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import jaccard_join, quality_rules
+from gavelspark.llm import decontaminate, jaccard_join, quality_rules
 from gavelspark.llm.shared import table
 
 
@@ -20,9 +20,14 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, folder, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_decontamination": op6_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,10 +43,10 @@ WITH RECURSIVE texts AS (
 ), tokens AS (
     SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets
 ), met AS (
-    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS both
+    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS common
     FROM tokens x JOIN tokens y USING (token) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
 ), links AS (
-    SELECT a, b FROM met WHERE 100 * both >= 80 * (na + nb - both)
+    SELECT a, b FROM met WHERE 100 * common >= 80 * (na + nb - common)
 ), reach(a, b) AS (
     SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 )
