@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, jaccard_join, quality_rules
+from gavelspark.llm import decontaminate, jaccard_join, quality_rules, substring_dedup
 from gavelspark.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,6 +22,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs)
 
 
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has."""
+    return substring_dedup.deduplicated(docs)
+
+
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -30,6 +35,7 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("n-gram Jaccard join", near_copies),
+    ("substring dedup", no_repeats),
     ("benchmark decontamination", no_benchmarks),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, jaccard_join, quality_rules
+from gavelspark.llm import decontaminate, jaccard_join, quality_rules, substring_dedup
 from gavelspark.llm.shared import table
 
 
@@ -24,10 +24,15 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.shortened(table(spark, folder, "documents"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
