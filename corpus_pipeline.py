@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, jaccard_join, quality_rules, substring_dedup
+from gavelspark.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup
 from gavelspark.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,11 +32,17 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all sources: documents as often as their source's target takes them, by shard."""
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("n-gram Jaccard join", near_copies),
     ("substring dedup", no_repeats),
     ("benchmark decontamination", no_benchmarks),
+    ("mixing sources to target weights", mixture),
 ]
 
 # Forests, fingerprints and content-defined chunks have no SQL form; the stages are tested against brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, jaccard_join, quality_rules, substring_dedup
+from gavelspark.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup
 from gavelspark.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(docs, forest)
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, folder, "documents"))
 
@@ -30,12 +34,75 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH sizes AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), grouped AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+    FROM sizes GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS all_size FROM grouped
+), ordered AS (
+    SELECT *, CAST(sum(weight) OVER () AS BIGINT) AS all_weight,
+        all_size - CAST(coalesce(sum(cap) OVER before, 0) AS BIGINT) AS size_left,
+        CAST(sum(weight) OVER () AS BIGINT) - CAST(coalesce(sum(weight) OVER before, 0) AS BIGINT) AS weight_left
+    FROM weighed WINDOW before AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), filled AS (
+    SELECT *, cap * weight_left <= size_left * weight AS is_full FROM ordered
+), rest AS (
+    SELECT CAST(coalesce(sum(cap) FILTER (is_full), 0) AS BIGINT) AS cap_full, CAST(coalesce(sum(weight) FILTER (is_full), 0) AS BIGINT) AS weight_full
+    FROM filled
+), sources AS (
+    SELECT source, rank, source_size, CAST(greatest(1, least(65536, ceil(docs / 256))) AS BIGINT) AS blocks,
+        CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+             ELSE CAST((all_size - cap_full) * weight AS DOUBLE) / CAST(all_weight - weight_full AS DOUBLE) END AS target
+    FROM filled, rest
+), parts AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds FROM sources
+), docs AS (
+    SELECT doc_id, size, source_size, target, rank, rounds, target - rounds * source_size AS left_over,
+        CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % blocks AS block,
+        CAST('0x' || substr(md5('0:doc:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+    FROM sizes JOIN parts ON sizes.source IS NOT DISTINCT FROM parts.source
+), blocks AS (
+    SELECT rank, block, CAST(sum(size) AS BIGINT) AS words, any_value(left_over) AS left_over,
+        CAST('0x' || substr(md5('0:block:' || rank || ':' || block), 1, 15) AS BIGINT) AS place
+    FROM docs GROUP BY rank, block
+), placed AS (
+    SELECT rank, block, words, left_over, CAST(sum(words) OVER (PARTITION BY rank ORDER BY place, block ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM blocks
+), rooms AS (
+    SELECT rank, block, left_over - (upto - words) > 0 AND words > 0 AS extra,
+        CASE WHEN upto > left_over THEN left_over - (upto - words) END AS room FROM placed
+), zero AS (
+    SELECT docs.*, extra, room, extra AND room IS NULL AS whole FROM docs JOIN rooms USING (rank, block)
+), gap1 AS (
+    SELECT *, extra AND room IS NOT NULL AND size > 0 AND size <= room AS fits1 FROM zero
+), one AS (
+    SELECT *, fits1 AND sum(CASE WHEN fits1 THEN size ELSE 0 END)
+        OVER (PARTITION BY rank, block ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room AS got1 FROM gap1
+), gap2 AS (
+    SELECT *, room - sum(CASE WHEN got1 THEN size ELSE 0 END) OVER (PARTITION BY rank, block) AS room2 FROM one
+), fit2 AS (
+    SELECT *, extra AND room IS NOT NULL AND NOT got1 AND size > 0 AND size <= room2 AS fits2 FROM gap2
+), two AS (
+    SELECT *, got1 OR (fits2 AND sum(CASE WHEN fits2 THEN size ELSE 0 END)
+        OVER (PARTITION BY rank, block ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room2) AS got2 FROM fit2
+), gap3 AS (
+    SELECT *, room - sum(CASE WHEN got2 THEN size ELSE 0 END) OVER (PARTITION BY rank, block) AS room3 FROM two
+), fit3 AS (
+    SELECT *, extra AND room IS NOT NULL AND NOT got2 AND size > 0 AND size <= room3 AS fits3 FROM gap3
+), three AS (
+    SELECT *, got2 OR (fits3 AND sum(CASE WHEN fits3 THEN size ELSE 0 END)
+        OVER (PARTITION BY rank, block ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) <= room3) AS got3 FROM fit3
+)
+SELECT doc_id, size, source_size, target, size * (rounds + CASE WHEN whole OR coalesce(got3, false) THEN 1 ELSE 0 END) AS taken FROM three""",
     "op5_jaccard_join": r"""
 WITH RECURSIVE texts AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
