@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup
+from gavelspark.llm import decontaminate, html_text, jaccard_join, mixing, quality_rules, substring_dedup, url_filter
 from gavelspark.llm.shared import table
 
 
@@ -28,6 +28,15 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_filter.judged(pages, url_filter.fit(url_filter.seeded(pages)))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.shortened(table(spark, folder, "documents"))
 
@@ -37,6 +46,8 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filters": op8_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
