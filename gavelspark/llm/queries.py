@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, html_text, jaccard_join, mixing, quality_rules, substring_dedup, url_filter
-from gavelspark.llm.shared import table
+from gavelspark.llm import decontaminate, html_text, jaccard_join, mixing, quality_rules, substring_dedup, url_filter, warc
+from gavelspark.llm.shared import shared_folder, table
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(pages, url_filter.fit(url_filter.seeded(pages)))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_folder(spark)
+    warc.write(table(spark, folder, "pages"), archives)
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.shortened(table(spark, folder, "documents"))
 
@@ -48,10 +54,27 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_html_extraction": op7_html_extraction,
     "op8_url_filters": op8_url_filters,
+    "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": r"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+    SELECT page_id, strlen(payload) AS payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '')
+            AS payload_digest
+    FROM payloads
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts""",
     "op2_mixing": r"""
 WITH sizes AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
