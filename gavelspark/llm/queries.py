@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelspark.llm import decontaminate, html_text, jaccard_join, mixing, quality_rules, substring_dedup, url_filter, warc
+from gavelspark.llm import (
+    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, substring_dedup, url_filter, warc,
+)
 from gavelspark.llm.shared import shared_folder, table
 
 
@@ -20,6 +22,16 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_classifier.scored(docs, quality_classifier.fit(docs, table(spark, folder, "labels")))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, folder, "documents"))
 
@@ -50,6 +62,8 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op7_html_extraction": op7_html_extraction,

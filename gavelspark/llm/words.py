@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHINGLE = 5
 PIECE_BYTES = 1 << 20
 
-_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+WORD_BYTES = (~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -108,17 +108,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def find_words(column: pa.Array, lower: bool = False) -> Words:
+def find_words(column: pa.Array, lower: bool = False, kinds: np.ndarray = WORD_BYTES) -> Words:
+    """Runs of bytes of one kind; bytes of kind 0 are between words."""
     data, offsets = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    within = ~_IS_SPACE[data]
+    kind = kinds[data]
+    within = kind != 0
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    begins, ends = edge[:-1].copy(), edge[1:].copy()
-    begins[1:] |= ~within[:-1]
-    ends[:-1] |= ~within[1:]
-    starts, stops = np.flatnonzero(within & begins), np.flatnonzero(within & ends) + 1
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    starts, stops = np.flatnonzero(within & edge[:-1]), np.flatnonzero(within & edge[1:]) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     powers = _Powers.at_least(len(data) + 1)
     np.cumsum(_BYTE_VALUES[data] * powers.up[:len(data)], out=sums[1:])
