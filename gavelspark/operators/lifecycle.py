@@ -20,10 +20,12 @@ def _yes(condition: Column) -> Column:
 
 
 def _rules(auctions: DataFrame, opening: str, keep: Sequence[str]) -> DataFrame:
+    """What the rules need of an auction. A leader it has before the log begins is its `leader_id`."""
+    standing = F.col("leader_id") if "leader_id" in auctions.columns else F.lit(None).cast("long")
     return auctions.select(
         F.col("id").alias("auction_id"), "seller_id", "title", "status", "end_time",
         F.col(opening).alias("opening_price"), zero_to_null(F.col("buy_now_price")).alias("buy_now_price"),
-        F.lit(True).alias("known"), *keep,
+        F.lit(True).alias("known"), standing.alias("standing"), *keep,
     )
 
 
@@ -129,7 +131,8 @@ def bid_replay(
 
     Outcomes: ok, or the first rule that fails of invalid, unknown_auction, not_active, ended,
     self, low. A late attempt closes its auction without a winner, an accepted one at or above
-    the buy-now price closes it with one.
+    the buy-now price closes it with one. To go on from a snapshot, open at its current price
+    and give its auctions a `leader_id`: that user is displaced by the first accepted bid.
     """
     rows = _run(auctions, attempts, opening, True, True, split)
     outcome = (
@@ -145,7 +148,7 @@ def bid_replay(
         "id", "auction_id", "bidder_id", "amount", "created_at",
         outcome.alias("outcome"),
         "price_before",
-        F.col("best.bidder").alias("leader_before"),
+        F.coalesce("best.bidder", "standing").alias("leader_before"),
         (F.col("accepted") & _yes(F.col("id") == -F.col("leader.order"))).alias("is_winning"),
         (F.col("accepted") & F.col("closing")).alias("bought"),
         "title",
@@ -198,21 +201,43 @@ def winning_flags(accepted: DataFrame) -> DataFrame:
 
 
 def auctions_after(auctions: DataFrame, replay: DataFrame) -> DataFrame:
-    """The snapshot a replay leaves: price, number of bids, and what a purchase or a late attempt closed."""
+    """The snapshot a replay leaves: price, bids added to those there were, and what a purchase or a late attempt closed.
+
+    All columns stay; a snapshot without `total_bids` or `winner_id` has had no bids or winners yet.
+    """
     accepted = F.col("outcome") == "ok"
-    moved = replay.groupBy(F.col("auction_id").alias("id")).agg(
+    moved = replay.groupBy(F.col("auction_id").alias("moved_id")).agg(
         F.max(F.when(accepted, F.col("amount"))).alias("price"),
         F.count_if(accepted).cast("int").alias("bids"),
         F.max(F.when(F.col("bought"), F.col("bidder_id"))).alias("buyer_id"),
-        F.bool_or(F.col("bought") | (F.col("outcome") == "ended")).alias("closed"),
-    )
-    return auctions.join(moved, "id", "left").select(
-        "id",
-        F.coalesce("price", "current_price").alias("current_price"),
-        F.coalesce("bids", F.lit(0)).alias("total_bids"),
-        F.when(F.col("closed"), "closed").otherwise(F.col("status")).alias("status"),
-        F.col("buyer_id").alias("winner_id"),
+        F.bool_or(F.col("bought") | (F.col("outcome") == "ended")).alias("closes"),
     )
+    for missing, none in (("total_bids", F.lit(0)), ("winner_id", F.lit(None).cast("long"))):
+        if missing not in auctions.columns:
+            auctions = auctions.withColumn(missing, none)
+    changed = {
+        "current_price": F.coalesce("price", "current_price"),
+        "total_bids": (F.col("total_bids") + F.coalesce("bids", F.lit(0))).cast("int"),
+        "status": F.when(F.col("closes"), "closed").otherwise(F.col("status")),
+        "winner_id": F.coalesce("buyer_id", "winner_id"),
+    }
+    joined = auctions.join(moved, F.col("id") == F.col("moved_id"), "left")
+    return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in auctions.columns))
+
+
+def resumed(auctions: DataFrame, logs: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Replays that follow each other, each from the snapshot and the leaders that those before it left.
+
+    Returns the attempts of all of them with their outcomes, and the last snapshot.
+    """
+    judged, led = None, None
+    for log in logs:
+        start = auctions if led is None else auctions.join(led, F.col("id") == F.col("led_id"), "left").drop("led_id")
+        replay = bid_replay(start, log, opening="current_price")
+        auctions = auctions_after(auctions, replay)
+        judged = replay if judged is None else judged.unionByName(replay)
+        led = winning_flags(accepted_bids(judged)).select(F.col("auction_id").alias("led_id"), "leader_id")
+    return judged, auctions
 
 
 def buy_now_close(replay: DataFrame) -> DataFrame:

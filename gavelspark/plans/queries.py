@@ -31,6 +31,12 @@ def _lines(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.concat_ws(" | ", "errors").alias("errors"), "error")
 
 
+def _resumed(d: AuctionData) -> tuple[DataFrame, DataFrame]:
+    """The log in two runs, the second going on from what the first one left."""
+    cut = F.lit("1995-06-17").cast("timestamp_ntz")
+    return lifecycle.resumed(d.opening, [d.attempts.where(F.col("created_at") < cut), d.attempts.where(F.col("created_at") >= cut)])
+
+
 def _validated(kind: str, source: str) -> Query:
     return lambda d: _lines(quality.validate_rows(sample(d, source), quality.RULES[kind]), "id")
 
@@ -107,7 +113,9 @@ LIFECYCLE: dict[str, Query] = {
     "auto_close": lambda d: lifecycle.auto_close(d.auction_items, d.bids, d.users, d.as_of),
     "auto_close_events": lambda d: lifecycle.auto_close_events(d.auction_items, d.bids, d.users, d.as_of),
     "auto_close_notices": lambda d: lifecycle.auto_close_notices(d.auction_items, d.bids, d.users, d.as_of),
-    "auctions_after": lambda d: lifecycle.auctions_after(d.opening, d.replay),
+    "auctions_after": lambda d: lifecycle.auctions_after(d.auction_items, d.replay),
+    "replay_resumed": lambda d: _resumed(d)[0].drop("title", "seller_id", "is_winning"),
+    "auctions_resumed": lambda d: _resumed(d)[1],
     "buy_now_close": lambda d: lifecycle.buy_now_close(d.replay),
     "outbid_notices": lambda d: lifecycle.outbid_notices(d.replay),
     "won_notices": lambda d: lifecycle.won_notices(d.auction_items.where(F.col("status") == "closed"), d.as_of),

@@ -30,9 +30,11 @@ def build_session(app: str = "gavelspark", master: str | None = None, **extra: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only a session without one (a test) gets a local folder."""
+    """The folder all executors see. Only a local session may leave it unset; its own is temporary."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gavelspark-"))
     return (configured or context.getCheckpointDir()).rstrip("/")
