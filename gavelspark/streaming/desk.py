@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from bisect import bisect
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gavelspark.functions.text import money, zero_to_null
 from gavelspark.functions.times import micros
 
-_STATE = "price long, leader long, bids int, closed boolean"
-_RULING = (
-    "auction_id long, bid_id long, bidder_id long, cents long, total_bids int, displaced long, "
-    "closes boolean, at long"
-)
-_ruling = Row(*(part.split()[0] for part in _RULING.split(", ")))
+_AUCTION = "price long, leader long, bids int, closed boolean, seller long, buy_now long, end_at long, judged_to long, waiting array<array<bigint>>"
+_RULING = "auction_id long, kind string, bid_id long, bidder_id long, cents long, total_bids int, displaced long, closes boolean, at long"
+_COLUMNS = [part.split()[0] for part in _RULING.split(", ")]
+# Fixed values.
+NO_BIDS = "Auction ended with no bids"
 
 
 class AuctionDesk(StatefulProcessor):
-    """Judges attempts in order of (at, id) within a batch, from where the last batch left off.
+    """Judges the attempts on an auction in order of (at, id), whatever batches they come in.
 
-    Of a batch it keeps the attempts that beat all earlier ones, which are those it accepts; the
-    others are dropped as they come, so a busy auction costs its accepted bids, not its attempts.
+    Attempts wait until the stream's clock has passed them; the clock is the watermark, so it runs
+    `lateness` behind the newest attempt of any auction. Of those that wait only the ones that may still count are kept.
+    An attempt that comes when later ones of its auction have been judged cannot count any more; it gets a ruling of its own.
     """
 
     def __init__(self, close_on_expiry: bool):
@@ -32,94 +33,119 @@ class AuctionDesk(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.auction = handle.getValueState("auction", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self.auction.get()
-        price, leader, bids, closed = stored or (None, None, 0, False)
-        late, buy_now, ascent = False, 0, []
-        for row in rows:
-            if price is None:
-                price = row.opening
-                if self.close_on_expiry:
-                    self.handle.registerTimer(row.end_at // 1000 + 1)
-            buy_now = row.buy_now
-            if row.at > row.end_at:
-                late = True
-            elif not closed and row.bidder_id != row.seller_id and row.cents > price:
-                place = bisect(ascent, (row.at, row.id))
-                if place and ascent[place - 1][2] >= row.cents:
-                    continue
-                beaten = place
-                while beaten < len(ascent) and ascent[beaten][2] <= row.cents:
-                    beaten += 1
-                ascent[place:beaten] = [(row.at, row.id, row.cents, row.bidder_id)]
-        for at, bid, cents, bidder in ascent:
-            bids, closed = bids + 1, 0 < buy_now <= cents
-            yield _ruling(key[0], bid, bidder, cents, bids, leader if leader != bidder else None, closed, at)
-            price, leader = cents, bidder
-            if closed:
-                break
-        self.auction.update((price, leader, bids, closed or late))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        price, leader, bids, closed = self.auction.get()
-        if not closed:
-            self.auction.update((price, leader, bids, True))
-            at = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000
-            yield _ruling(key[0], None, leader, 0 if leader is None else price, bids, None, True, at)
+        self.auction = handle.getValueState("auction", _AUCTION)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rule = initialState.iloc[0]
+        end = int(rule["end_at"])
+        self.auction.update((
+            int(rule["opening"]), None, 0, False, None if pd.isna(rule["seller_id"]) else int(rule["seller_id"]), int(rule["buy_now"]), end, -(2**62), []))
+        if self.close_on_expiry:
+            self.handle.registerTimer(_ms(end))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.auction.get()
+        if state is None:  # not an open auction
+            for _ in rows:
+                pass
+            return
+        price, leader, bids, closed, seller, buy_now, end, judged_to, held = state
+        late, waiting = [], []
+        for frame in rows:
+            own = frame["bidder_id"].to_numpy() == (-1 if seller is None else seller)
+            at = frame["at"].to_numpy()
+            passed = at <= judged_to
+            late.append(frame[passed])
+            if not closed:
+                waiting.append(frame[~passed & ~own & (at <= end) & (frame["cents"].to_numpy() > price)])
+        if waiting and sum(map(len, waiting)):
+            new = pd.concat(waiting)
+            rows_ = np.stack([new[c].to_numpy() for c in ("id", "bidder_id", "cents", "at")], 1).tolist()
+            first = min(row[3] for row in rows_)
+            if not held or first < min(row[3] for row in held):
+                self.handle.registerTimer(_ms(first))
+            self.auction.update((price, leader, bids, closed, seller, buy_now, end, judged_to, [*map(list, held), *rows_]))
+        for frame in late:
+            if len(frame):
+                n = len(frame)
+                yield pd.DataFrame({
+                    "auction_id": np.full(n, key[0]), "kind": "late", "bid_id": frame["id"].to_numpy(), "bidder_id": frame["bidder_id"].to_numpy(),
+                    "cents": frame["cents"].to_numpy(), "total_bids": None, "displaced": None, "closes": False, "at": frame["at"].to_numpy()}, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        price, leader, bids, closed, seller, buy_now, end, judged_to, held = self.auction.get()
+        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 - 1000
+        held = sorted(held, key=lambda row: (row[3], row[0]))
+        due = [row for row in held if row[3] <= clock]
+        rulings = []
+        if due and not closed:
+            # Accepted are those above all before them: each rise of the running maximum.
+            cents = np.array([row[2] for row in due])
+            before = np.maximum.accumulate(np.concatenate([[price], cents[:-1]]))
+            for k in np.flatnonzero(cents > before).tolist():
+                bid, bidder, amount, at = due[k]
+                bids, closed = bids + 1, 0 < buy_now <= amount
+                rulings.append((key[0], "placed", bid, bidder, amount, bids, leader if leader != bidder else None, closed, at))
+                price, leader = amount, bidder
+                if closed:
+                    break
+        if self.close_on_expiry and not closed and end <= clock:
+            closed = True
+            rulings.append((key[0], "expired", None, leader, 0 if leader is None else price, bids, None, True, end))
+        rest = [] if closed else held[len(due):]
+        if rest:
+            self.handle.registerTimer(_ms(rest[0][3]))
+        self.auction.update((price, leader, bids, closed, seller, buy_now, end, max(judged_to, clock), [list(row) for row in rest]))
+        if rulings:
+            yield pd.DataFrame(rulings, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+def _ms(at: int) -> int:
+    """The first whole millisecond of the clock at which all of a microsecond's attempts are there."""
+    return at // 1000 + 2
+
+
 def _cents(amount: Column) -> Column:
     return (amount * 100).cast("long")
 
 
-def bid_events(
-    attempts: DataFrame, auctions: DataFrame, *, close_on_expiry: bool = False, lateness: str = "0 seconds"
-) -> DataFrame:
-    """`new-bid`, `outbid` and `auction-closed` events of a stream of attempts.
+def bid_events(attempts: DataFrame, auctions: DataFrame, lateness: str, *, close_on_expiry: bool = False) -> DataFrame:
+    """`new-bid`, `outbid`, `auction-closed` and `late-bid` events of a stream of attempts.
 
-    `user_id` is the bidder, the displaced leader, or the winner. With `close_on_expiry` an
-    auction that saw an attempt also closes when the stream's time passes its end.
+    `lateness` is how far behind the newest attempt another one may come and still count in any case: what comes later than that, and
+    after its auction's later attempts were judged, is a `late-bid`. Attempts are judged once the stream's time has passed them by that, so the last ones of a log wait for more; an
+    attempt without auction only moves the time. With `close_on_expiry` every open auction, also one without attempts, closes
+    when that time passes its end. `user_id` is the bidder, the displaced leader, or the winner.
     """
-    # Auctions that are not open and, where nothing closes by time, attempts that can never count
-    # are dropped before they reach Python.
     rules = auctions.where(F.col("status") == "active").select(
-        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"),
-        _cents(F.col("starting_price")).alias("opening"),
+        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"), _cents(F.col("starting_price")).alias("opening"),
         F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
     )
-    rows = attempts.where(F.col("amount") > 0)
-    clock = []
-    if close_on_expiry:
-        rows = rows.withColumn("clock", F.col("created_at").cast("timestamp")).withWatermark("clock", lateness)
-        clock = ["clock"]
-    judged = rows.select(
-        "id", "auction_id", "bidder_id", _cents(F.col("amount")).alias("cents"), micros(F.col("created_at")).alias("at"),
-        *clock,
-    ).join(rules, "auction_id")
-    if not close_on_expiry:
-        late = F.col("at") > F.col("end_at")
-        judged = judged.where(late | ((F.col("bidder_id") != F.col("seller_id")) & (F.col("cents") > F.col("opening"))))
-    rulings = judged.groupBy("auction_id").transformWithState(
-        AuctionDesk(close_on_expiry), _RULING, "append", "EventTime" if close_on_expiry else "None"
+    # The clock is a branch of its own: on rows that carried it, Spark would drop those behind the watermark.
+    columns = [F.col("id"), F.col("auction_id"), F.col("bidder_id"), _cents(F.col("amount")).alias("cents"), micros(F.col("created_at")).alias("at")]
+    clock = F.col("created_at").cast("timestamp").alias("clock")
+    ticking = attempts.select(clock, *columns).withWatermark("clock", lateness).where(F.col("clock") < F.lit("0001-01-02").cast("timestamp"))
+    judged = attempts.dropna(subset=["id", "auction_id", "bidder_id", "created_at"]).where(F.col("amount") > 0).select(F.lit(None).cast("timestamp").alias("clock"), *columns)
+    rulings = ticking.union(judged).groupBy("auction_id").transformWithStateInPandas(
+        AuctionDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=rules.groupBy("auction_id")
     )
-    placed = F.col("bid_id").isNotNull()
     nothing = F.lit(None)
 
-    def event(kind: str, user: str, total: Column = nothing, won: Column = nothing) -> Column:
+    def event(kind: str, user: str, total: Column = nothing, won: Column = nothing, message: Column = nothing) -> Column:
         return F.struct(
             F.lit(kind).alias("event_type"), F.col(user).alias("user_id"), total.cast("int").alias("total_bids"),
-            won.cast("boolean").alias("auction_won"),
+            won.cast("boolean").alias("auction_won"), message.cast("string").alias("message"),
         )
 
+    placed = F.col("kind") == "placed"
     events = F.array(
         F.when(placed, event("new-bid", "bidder_id", F.col("total_bids"), F.col("closes"))),
-        F.when(F.col("displaced").isNotNull(), event("outbid", "displaced")),
-        F.when(F.col("closes"), event("auction-closed", "bidder_id")),
+        F.when(placed & F.col("displaced").isNotNull(), event("outbid", "displaced")),
+        F.when(F.col("closes"), event("auction-closed", "bidder_id", message=F.when(F.col("bidder_id").isNull(), NO_BIDS))),
+        F.when(F.col("kind") == "late", event("late-bid", "bidder_id")),
     )
     titles = auctions.select(F.col("id").alias("auction_id"), F.col("title").alias("auction_title"))
     return (
@@ -128,7 +154,7 @@ def bid_events(
         .select(
             "event.event_type", "auction_id", "bid_id", "event.user_id",
             (F.col("cents") / 100).cast("decimal(10,2)").alias("amount"), "event.total_bids", "event.auction_won",
-            F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "auction_title",
+            F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "auction_title", "event.message",
         )
     )
 

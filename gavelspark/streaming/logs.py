@@ -23,11 +23,30 @@ def stage(rows: DataFrame, name: str) -> str:
     return folder
 
 
+SLICES = 3
+FILES_PER_TRIGGER = 8
+
+
+def stage_in_order(rows: DataFrame, at: str, name: str, slices: int = SLICES) -> str:
+    """As `stage`, one slice of time after the other: streams read files in the order in which they were written."""
+    folder = fresh_folder(rows.sparkSession, name)
+    cuts = rows.select(F.percentile_approx(F.col(at).cast("timestamp"), [k / slices for k in range(1, slices)]).alias("cuts")).first()[0] or []
+    bounds = [None, *cuts, None]
+    time = F.col(at).cast("timestamp")
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows if low is None else rows.where(time > F.lit(low))
+        part = part if high is None else part.where(time <= F.lit(high))
+        part.coalesce(FILES_PER_TRIGGER).write.mode("append").parquet(folder)
+    return folder
+
+
 def read_log(
-    spark: SparkSession, folder: str, schema: T.StructType, bytes_per_trigger: str | None = None
+    spark: SparkSession, folder: str, schema: T.StructType, bytes_per_trigger: str | None = None, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A growing Parquet log. `bytes_per_trigger` bounds a micro-batch, and with it what one key brings to a task."""
+    """A growing Parquet log. `bytes_per_trigger` or `files_per_trigger` bound a micro-batch, and with it what one key brings to a task."""
     reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if bytes_per_trigger:
         reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(folder)

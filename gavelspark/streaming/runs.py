@@ -17,20 +17,35 @@ def _streamed(rows: DataFrame, name: str) -> DataFrame:
     return logs.read_log(rows.sparkSession, logs.stage(rows, name), rows.schema)
 
 
+# How far out of order the logs are that are run here: not at all, they are staged in order of time.
+LATENESS = "1 second"
+
+
+def _attempts(d: AuctionData) -> DataFrame:
+    """The log as a stream of a few batches in order of time, and after it a row that only moves the time past all of them."""
+    folder = logs.stage_in_order(d.attempts, "created_at", "attempts")
+    last = d.attempts.agg(F.max("created_at").alias("last"))
+    after = F.col("last") + F.expr("interval 2 seconds")
+    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in d.attempts.schema]
+    last.where("last is not null").select(*row).write.mode("append").parquet(folder)
+    return logs.read_log(d.attempts.sparkSession, folder, d.attempts.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
+
+
 def bid_events(d: AuctionData) -> DataFrame:
-    return logs.append_run(desk.bid_events(_streamed(d.attempts, "attempts"), d.opening), "bid-events")
+    return logs.append_run(desk.bid_events(_attempts(d), d.opening, LATENESS), "bid-events")
 
 
 def expiry_events(d: AuctionData) -> DataFrame:
     """What closes because the stream's time passed the end, not because of a bid."""
-    events = desk.bid_events(_streamed(d.attempts, "attempts"), d.opening, close_on_expiry=True)
+    events = desk.bid_events(_attempts(d), d.opening, LATENESS, close_on_expiry=True)
     return logs.append_run(events, "expiry").where(
         (F.col("event_type") == "auction-closed") & F.col("bid_id").isNull()
-    ).select("event_type", "auction_id", "user_id", "amount", "at", "auction_title")
+    ).select("event_type", "auction_id", "user_id", "amount", "at", "auction_title", "message")
 
 
 def notices(d: AuctionData) -> DataFrame:
-    events = desk.bid_events(_streamed(d.attempts, "attempts"), d.opening)
+    """Notices to displaced leaders, and to the winners of auctions that time closes."""
+    events = desk.bid_events(_attempts(d), d.opening, LATENESS, close_on_expiry=True)
     return logs.append_run(desk.notices(events), "notices")
 
 

@@ -21,59 +21,67 @@ def in_batches(spark, rows, schema, parts, build, run):
     return run(build(source))
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_bid_stream_equals_replay(spark, parts):
+def ended(log, after):
+    """The log and a row that only moves the stream's time."""
+    return [*log, (None, None, None, None, max(a[4] for a in log) + after)]
+
+
+@pytest.mark.parametrize(("parts", "order"), [(1, "time"), (4, "time"), (4, "auction"), (8, "auction")])
+def test_bid_stream_equals_replay(spark, parts, order):
+    """Same events in any number of batches, also when the log is stored by auction and so comes out of order."""
     lots, log, _ = random_world(5, auctions=30)
-    log.sort(key=lambda a: (a[4], a[0]))
+    log.sort(key=lambda a: (a[4], a[0]) if order == "time" else (a[1] or 0, a[4], a[0]))
     auctions = spark.createDataFrame(lots, AUCTION)
-    events = in_batches(
-        spark, log, ATTEMPT, parts, lambda s: desk.bid_events(s, auctions), lambda e: logs.append_run(e, "events")
-    )
+    late = "0 seconds" if order == "time" else "1000 days"
+    given = ended(log, timedelta(seconds=2) if order == "time" else timedelta(days=1001))
+    events = in_batches(spark, given, ATTEMPT, parts, lambda s: desk.bid_events(s, auctions, late), lambda e: logs.append_run(e, "events"))
     replay = lifecycle.bid_replay(auctions, spark.createDataFrame(log, ATTEMPT)).collect()
     ok = [r for r in replay if r.outcome == "ok"]
-    assert {(r.bid_id, r.user_id, r.amount) for r in events.where("event_type = 'new-bid'").collect()} == {
-        (r.id, r.bidder_id, r.amount) for r in ok
-    }
-    assert {(r.bid_id, r.user_id) for r in events.where("event_type = 'outbid'").collect()} == {
-        (r.id, r.leader_before) for r in ok if r.leader_before not in (None, r.bidder_id)
-    }
-    assert {r.bid_id for r in events.where("event_type = 'auction-closed'").collect()} == {r.id for r in ok if r.bought}
+    got = events.collect()
+    assert sorted((r.bid_id, r.user_id, r.amount) for r in got if r.event_type == "new-bid") == sorted((r.id, r.bidder_id, r.amount) for r in ok)
+    assert sorted((r.bid_id, r.user_id) for r in got if r.event_type == "outbid") == sorted(
+        (r.id, r.leader_before) for r in ok if r.leader_before not in (None, r.bidder_id))
+    assert {r.bid_id for r in got if r.event_type == "auction-closed"} == {r.id for r in ok if r.bought}
+    assert not any(r.event_type == "late-bid" for r in got)
     messages = {r.message for r in desk.notices(events).collect()}
     assert messages == {
         r.message for r in lifecycle.outbid_notices(lifecycle.bid_replay(auctions, spark.createDataFrame(log, ATTEMPT))).collect()
     }
 
 
-def test_attempts_out_of_order_within_a_batch(spark):
-    lots, log, _ = random_world(6, auctions=20)
-    Random(1).shuffle(log)
-    auctions = spark.createDataFrame(lots, AUCTION)
-    events = in_batches(
-        spark, log, ATTEMPT, 1, lambda s: desk.bid_events(s, auctions), lambda e: logs.append_run(e, "events")
-    )
-    ok = lifecycle.accepted_bids(lifecycle.bid_replay(auctions, spark.createDataFrame(log, ATTEMPT))).collect()
-    assert {r.bid_id for r in events.where("event_type = 'new-bid'").collect()} == {r.id for r in ok}
-
+def lot(n, seconds, status="active"):
+    return (n, 1, f"lot {n}", Decimal(10), Decimal(10), None, START + timedelta(seconds=seconds), status)
 
-def test_auctions_close_when_time_passes_their_end(spark):
-    def lot(n, seconds):
-        return (n, 1, f"lot {n}", Decimal(10), Decimal(10), None, START + timedelta(seconds=seconds), "active")
 
-    auctions = spark.createDataFrame([lot(1, 10), lot(2, 10), lot(3, 90)], AUCTION)
+@pytest.mark.parametrize("parts", [1, 2, 6])
+def test_auctions_close_when_time_passes_their_end(spark, parts):
+    auctions = spark.createDataFrame([lot(1, 10), lot(2, 10), lot(3, 90), lot(4, 20), lot(5, 20, "cancelled"), lot(6, 500)], AUCTION)
     log = [
         (1, 1, 2, Decimal(20), START + timedelta(seconds=1)), (2, 2, 2, Decimal(5), START + timedelta(seconds=2)),
         (3, 3, 2, Decimal(20), START + timedelta(seconds=3)), (4, 3, 3, Decimal(30), START + timedelta(seconds=50)),
+        (5, 1, 3, Decimal(40), START + timedelta(seconds=60)),
     ]
     events = in_batches(
-        spark, log, ATTEMPT, 2, lambda s: desk.bid_events(s, auctions, close_on_expiry=True),
+        spark, ended(log, timedelta(seconds=40)), ATTEMPT, parts, lambda s: desk.bid_events(s, auctions, "0 seconds", close_on_expiry=True),
         lambda e: logs.append_run(e, "events"),
     )
-    closed = {r.auction_id: (r.user_id, r.amount) for r in events.where("event_type = 'auction-closed'").collect()}
-    assert closed == {1: (2, Decimal(20)), 2: (None, Decimal(0))}
+    closed = sorted((r.auction_id, r.user_id, r.amount, r.message) for r in events.where("event_type = 'auction-closed'").collect())
+    nobody = "Auction ended with no bids"
+    assert closed == [(1, 2, Decimal(20), None), (2, None, Decimal(0), nobody), (3, 3, Decimal(30), None), (4, None, Decimal(0), nobody)]
     users = spark.createDataFrame([(2, "bob")], "id long, username string")
     assert {r.username for r in desk.named(events, users).collect()} == {"bob", None}
-    won = [(r.user_id, r.message) for r in desk.notices(events).where("type = 'auction_won'").collect()]
-    assert won == [(2, 'Congratulations! You won "lot 1" for ₹20.00')]
+    won = sorted((r.user_id, r.message) for r in desk.notices(events).where("type = 'auction_won'").collect())
+    assert won == [(2, 'Congratulations! You won "lot 1" for ₹20.00'), (3, 'Congratulations! You won "lot 3" for ₹30.00')]
+
+
+def test_what_comes_too_late_is_told(spark):
+    auctions = spark.createDataFrame([lot(1, 900)], AUCTION)
+    at = lambda n: START + timedelta(seconds=n)
+    tick = lambda n: (None, None, None, None, at(n))
+    log = [(1, 1, 2, Decimal(20), at(10)), tick(100), tick(101), (2, 1, 3, Decimal(90), at(5)), (3, 1, 4, Decimal(30), at(150)), tick(300)]
+    events = in_batches(spark, log, ATTEMPT, 7, lambda s: desk.bid_events(s, auctions, "3 seconds"), lambda e: logs.append_run(e, "events"))
+    got = sorted((r.event_type, r.bid_id, r.user_id) for r in events.collect())
+    assert got == [("late-bid", 2, 3), ("new-bid", 1, 2), ("new-bid", 3, 4), ("outbid", 3, 2)]
 
 
 def test_boards_over_batches(spark):
