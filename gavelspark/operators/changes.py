@@ -7,8 +7,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.operators import splitting
-
 
 def _turn() -> Column:
     """The place of a log row in its log."""
@@ -25,11 +23,18 @@ def watch_upsert(log: DataFrame, auctions: DataFrame, watchlist: DataFrame | Non
     log = log.select("id", *key, "op", "created_at")
     if watchlist is not None:
         log = watchlist.select("id", *key, F.lit("add").alias("op"), "created_at").unionByName(log)
-    removed = log.where(F.col("op") == "remove").groupBy(*key).agg(F.max(_turn()).alias("removed"))
-    standing = splitting.salted_join(log.where(F.col("op") == "add"), removed, key).where(
-        F.col("removed").isNull() | (_turn() > F.col("removed"))
+    add = F.col("op") == "add"
+    per_key = log.groupBy(*key).agg(
+        F.max(F.when(F.col("op") == "remove", _turn())).alias("removed"),
+        F.min(F.when(add, _turn())).alias("first"), F.max(F.when(add, _turn())).alias("last"),
+    )
+    kept = per_key.where("removed is null and first is not null").select(*key, "first", "last")
+    # Only where something was removed and added again the log is read for the first add after that.
+    back = per_key.where("last > removed").select(*key, "removed")
+    again = log.where(add).join(back, key).where(_turn() > F.col("removed")).groupBy(*key).agg(
+        F.min(_turn()).alias("first"), F.max(_turn()).alias("last")
     )
-    rows = standing.groupBy(*key).agg(F.min(_turn()).alias("first"), F.max("created_at").alias("created_at"))
+    rows = kept.unionByName(again).select(*key, "first", F.col("last.created_at").alias("created_at"))
     known = auctions.select(F.col("id").alias("auction_id"))
     return rows.join(known, "auction_id", "left_semi").select(F.col("first.id").alias("id"), *key, "created_at")
 
@@ -50,11 +55,11 @@ def auto_bid_upsert(log: DataFrame, auctions: DataFrame, auto_bids: DataFrame |
         )
         log = stored.unionByName(log)
     prices = auctions.select(F.col("id").alias("auction_id"), "current_price")
-    valid = splitting.salted_join(log, prices, ["auction_id"]).where(
-        F.col("current_price").isNotNull()
-    ).where(
+    valid = log.join(prices, "auction_id").where(F.col("current_price").isNotNull()).where(
         ~F.col("checked") | (F.col("op") == "stop") | (F.col("max_amount") > F.col("current_price"))
     )
+    # Dealt out anew by the finer key: else the grouping would keep the placement by auction, and a hot one could not be split.
+    valid = valid.repartition(*key)
     states = F.col("op") != "stop"
     latest_set = F.max(F.when(states, F.struct("checked", "created_at", "id", "max_amount"))).alias("set")
     return (
@@ -99,14 +104,12 @@ def auction_patch(auctions: DataFrame, patches: DataFrame, users: DataFrame) ->
 
 def _authorised(requests: DataFrame, auctions: DataFrame, users: DataFrame) -> DataFrame:
     """The (auction_id, user_id) requests made by the auction's owner or an admin."""
-    owners = auctions.select(F.col("id").alias("auction_id"), F.col("seller_id").alias("owner_id"))
-    admins = users.where(F.col("role") == "admin").select(F.col("id").alias("user_id"), F.lit(True).alias("admin"))
-    return (
-        splitting.salted_join(requests, owners, ["auction_id"], row="user_id")
-        .join(admins, "user_id", "left")
-        .where((F.col("user_id") == F.col("owner_id")) | (F.col("owner_id").isNotNull() & F.col("admin")))
-        .drop("owner_id", "admin")
-    )
+    own = auctions.select(F.col("id").alias("auction_id"), F.col("seller_id").alias("user_id"))
+    admins = users.where(F.col("role") == "admin").select(F.col("id").alias("user_id"))
+    known = auctions.select(F.col("id").alias("auction_id"))
+    by_owners = requests.join(own, ["auction_id", "user_id"], "left_semi")
+    by_admins = requests.join(admins, "user_id", "left_semi").join(known, "auction_id", "left_semi")
+    return by_owners.unionByName(by_admins.join(own, ["auction_id", "user_id"], "left_anti"))
 
 
 def profile_patch(users: DataFrame, patches: DataFrame) -> DataFrame:

@@ -213,31 +213,26 @@ REFERENCES = [
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, id, missing_id) of rows that refer to an absent parent, one pass per table.
+    """(table_name, column_name, id, missing_id) of rows that refer to an absent parent. A NULL refers to none.
 
-    A NULL refers to none.
+    The different references are combined in each task before they meet the parents; child rows meet only those found missing.
     """
-    reports = []
-    for name, rows in tables.items():
-        links = [(column, parent) for child, column, parent in REFERENCES if child == name and parent in tables]
-        found = []
-        for column, parent in links:
-            present = tables[parent].select(F.col("id").alias(column), F.lit(True).alias(f"has_{column}"))
-            rows = rows.join(present, column, "left")
-            found.append(
-                F.when(
-                    F.col(column).isNotNull() & F.col(f"has_{column}").isNull(),
-                    F.struct(F.lit(column).alias("column_name"), F.col(column).cast("long").alias("missing_id")),
-                )
-            )
+    rows, parents = [], {}
+    for child, column, parent in REFERENCES:
+        if child in tables and parent in tables:
+            parents[parent] = tables[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("long").alias("missing_id"))
+    for name, table in tables.items():
+        links = [
+            F.struct(F.lit(column).alias("column_name"), F.lit(parent).alias("parent"), F.col(column).cast("long").alias("missing_id"))
+            for child, column, parent in REFERENCES if child == name and parent in tables
+        ]
         if links:
-            missing = F.filter(F.array(*found), lambda link: link.isNotNull())
-            reports.append(
-                rows.select("id", F.explode(missing).alias("link")).select(
-                    F.lit(name).alias("table_name"), "link.column_name", "id", "link.missing_id"
-                )
-            )
-    return _stack(reports)
+            rows.append(table.select(F.lit(name).alias("table_name"), "id", F.inline(F.array(*links))).where("missing_id is not null"))
+    if not rows:
+        return _stack(rows)
+    references, present = _stack(rows), _stack(list(parents.values()))
+    missing = references.select("parent", "missing_id").distinct().join(present, ["parent", "missing_id"], "left_anti")
+    return references.join(missing, ["parent", "missing_id"]).select("table_name", "column_name", "id", "missing_id")
 
 
 # The permitted values and the columns that must be filled.

@@ -98,14 +98,3 @@ def earlier_slices(per_slice: DataFrame, key: str, value: str) -> DataFrame:
     """Per (key, slice), the maximum of `value` over the slices before it. One row per slice in."""
     before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.withColumn(value, F.max(value).over(before))
-
-
-def salted_join(rows: DataFrame, parents: DataFrame, key: list[str], row: str = "id", salts: int = 8) -> DataFrame:
-    """`rows` left-joined to `parents` on `key`, for rows that are aggregated by that key next.
-
-    On the bare key the join would already place a group in one task, and the aggregation would
-    reuse that placement. With the salt each task combines its part of a group before the shuffle.
-    """
-    salted = rows.withColumn("salt", F.pmod(F.hash(row), F.lit(salts)))
-    copies = parents.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*key, "salt"], "left").drop("salt")
