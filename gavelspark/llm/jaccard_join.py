@@ -2,14 +2,15 @@
 
 A token is the 64-bit hash of a shingle. Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 tokens of
 each, whatever global order the tokens stand in. The first order puts tokens that many sets share last, so its prefixes meet
-seldom; two more are unrelated permutations, kept as bitmaps of the prefixes (sets that share a prefix token share a bit). Pairs that
-meet under all orders and fit in size are verified on whole sets.
+seldom; two more are unrelated permutations, kept as bitmaps of the prefixes (sets that share a prefix token share a bit). A pair
+must meet under all of them, fit in size, and have few differing parity bits (each token that only one set has flips one), all of
+it where pairs are formed. What is left is verified on whole sets.
 
-Sets that are equal are one class from the start. Of the classes that share a prefix token, the most typical one is compared
-with the others; who is in one component by then needs no more comparing. Rounds of that go on while they save work, then all
+Sets that are equal are one class from the start. Of the classes that share a prefix token, the few most typical ones are compared
+with all others; who is in one component by then needs no more comparing. Rounds of that go on while they save work, then all
 pairs left between different components are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
 
-The order's frequencies are sums over all documents in a table of fixed size; they steer work, not results. A class is known by 60
+The order's frequencies are counts over all documents in a table of hashed tokens of fixed size; they steer work, not results. A class is known by 60
 bits of its set's hash. Defined results: null, empty and wordless texts have an empty set and are components of their own; rows
 with equal ids and texts are one document; rows without id get no component; other columns are left alone.
 """
@@ -20,19 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.llm.components import components
-from gavelspark.llm.shared import by_batches, table_partitions, written, written_by_key
+from gavelspark.llm.shared import by_batches, written
 from gavelspark.llm.words import SHINGLE, find_words, mix, pieces, sequence_hashes
 
 PERCENT = 80
-BUCKETS = 1 << 20  # of the frequency table
-FLUSH_TOKENS = 1 << 21  # tokens that a task holds while it counts
-MAX_ROUNDS = 6
+BUCKETS = 1 << 26  # of the frequency table, of half a byte each
+RANGES = 64  # parts in which it is summed
+FLUSH_TOKENS = 1 << 22  # tokens that a task holds while it counts
+LEADERS = 4  # classes of a group that are compared with all others in a round
+MAX_ROUNDS = 3
+CROSS = 16  # pairs of different components for each row of the groups, up to which they are compared at once
 NODE_BITS = 60
 _MAP_BITS = 128
+_PARITY_BITS = 512
 _SEEDS = [np.uint64(0x51ED270B1), np.uint64(0xA24BAED4963)]
 
 
@@ -80,37 +85,41 @@ class Sets:
             maps += list(np.packbits(found, axis=1).view(np.int64).T)
         return maps
 
+    def parities(self) -> list[np.ndarray]:
+        """Bits that tell for each row whether an odd number of its tokens falls on them, in numbers of 64."""
+        bit = (mix(self.tokens ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(_PARITY_BITS)).astype(np.int64)
+        odd = np.bincount(self.rows * _PARITY_BITS + bit, minlength=len(self.sizes) * _PARITY_BITS) & 1
+        return list(np.packbits(odd.astype(np.uint8).reshape(-1, _PARITY_BITS), axis=1).view(np.int64).T)
+
 
 _MAPS = [f"map{k}" for k in range(2 * len(_SEEDS))]
+_PARITIES = [f"odd{k}" for k in range(_PARITY_BITS // 64)]
+_TRAITS = ["n", *_MAPS, *_PARITIES]
 
 
 def _profiles(docs: DataFrame, percent: int) -> DataFrame:
     """A row for each document (its class, set size and bitmaps), and rows of counts for the frequency table."""
-    schema = f"doc_id long, n long, node long, {', '.join(f'{m} long' for m in _MAPS)}, bucket int, count long"
-    names = ["doc_id", "n", "node", *_MAPS, "bucket", "count"]
-    types = [pa.int64()] * (3 + len(_MAPS)) + [pa.int32(), pa.int64()]
+    schema = f"doc_id long, node long, {', '.join(f'{t} long' for t in _TRAITS)}, range int, counts binary"
+    names = ["doc_id", "node", *_TRAITS, "range", "counts"]
+    types = [pa.int64()] * (2 + len(_TRAITS)) + [pa.int32(), pa.binary()]
 
     def rows(length: int, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(length, t) for c, t in zip(names, types, strict=True)], names)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        tokens, counts = tokens[counts > 1], counts[counts > 1]
-        bucket, at = np.unique((tokens % np.uint64(BUCKETS)).astype(np.int32), return_inverse=True)
-        return rows(len(bucket), bucket=bucket, count=np.bincount(at, counts, len(bucket)).astype(np.int64))
+        bucket, counts = np.unique((np.concatenate(held) % np.uint64(BUCKETS)).astype(np.uint32), return_counts=True)
+        cuts = np.searchsorted(bucket, np.arange(RANGES + 1) * (BUCKETS // RANGES))
+        packed = [_pack(bucket[lo:hi] - np.uint32(r * (BUCKETS // RANGES)), counts[lo:hi]) for r, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        return rows(RANGES, range=np.arange(RANGES), counts=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         for batch in batches:
             for piece in pieces(batch):
                 sets = Sets(piece.column("text"))
-                maps = dict(zip(_MAPS, sets.bitmaps(percent), strict=True))
-                yield rows(len(piece), doc_id=piece.column("doc_id"), n=sets.sizes, node=sets.nodes, **maps)
-                new = np.zeros(len(piece), bool)
-                for k, node in enumerate(sets.nodes.tolist()):
-                    new[k] = node not in seen
-                    seen.add(node)
-                held.append(sets.tokens[new[sets.rows]])
+                traits = dict(zip(_TRAITS, [sets.sizes, *sets.bitmaps(percent), *sets.parities()], strict=True))
+                yield rows(len(piece), doc_id=piece.column("doc_id"), node=sets.nodes, **traits)
+                held.append(sets.tokens[_unseen(sets, seen)[sets.rows]])
                 size += len(held[-1])
                 if size >= FLUSH_TOKENS:
                     yield counted(held)
@@ -121,42 +130,98 @@ def _profiles(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _frequency_classes(profiles: DataFrame) -> np.ndarray:
-    """Logarithm of how often the tokens of each bucket repeat; the table's size is fixed."""
-    sums = profiles.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
-    classes = np.zeros(BUCKETS, np.uint8)
-    classes[sums.column("bucket").to_numpy()] = np.log2(sums.column("count").to_numpy()).astype(np.uint8) + 1
-    return classes
-
-
-def _postings(docs: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
+def _unseen(sets: Sets, seen: set[int]) -> np.ndarray:
+    """Which rows are the first ones of their class; adds the classes to those seen."""
+    new = np.zeros(len(sets.nodes), bool)
+    for k, node in enumerate(sets.nodes.tolist()):
+        new[k] = node not in seen
+        seen.add(node)
+    return new
+
+
+def _pack(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places and their counts, in three planes of bytes that compress well. A gap too wide for two bytes is bridged by counts of 0."""
+    wide = np.diff(at, prepend=np.uint32(0)) >> np.uint32(16)
+    if wide.any():
+        at, counts = np.repeat(at, wide + 1), np.repeat(counts, wide + 1)
+        ends = np.cumsum(wide + 1) - 1
+        steps = np.diff(at[ends], prepend=np.uint32(0)) & np.uint32(0xFFFF)
+        bridge = np.ones(len(at), bool)
+        bridge[ends] = False
+        gaps = np.full(len(at), 0xFFFF, np.uint32)
+        gaps[ends] = steps + wide.astype(np.uint32)  # each bridge is one short of 2 ** 16
+        counts = np.where(bridge, 0, counts)
+        return _pack(np.cumsum(gaps, dtype=np.uint32), counts) if (gaps >> np.uint32(16)).any() else _planes(gaps, counts)
+    return _planes(np.diff(at, prepend=np.uint32(0)), counts)
+
+
+def _planes(gaps: np.ndarray, counts: np.ndarray) -> bytes:
+    pairs = gaps.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return pairs[:, 0].tobytes() + pairs[:, 1].tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high, counts = np.frombuffer(data, np.uint8).reshape(3, -1)
+    return np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 8)), counts
+
+
+class Frequencies:
+    """Logarithm of how often the tokens of a bucket occur, two buckets to a byte, and its median over all buckets."""
+
+    def __init__(self, halves: np.ndarray):
+        self.halves = halves
+        sample = halves[::997]
+        self.usual = int(np.median(np.concatenate([sample & 15, sample >> 4])))
+
+    @classmethod
+    def of(cls, profiles: DataFrame) -> Frequencies:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for number, data in zip(batch.column("range").to_pylist(), batch.column("counts"), strict=True):
+                    at, counts = _unpack(data.as_py())
+                    np.add.at(sums.setdefault(number, np.zeros(BUCKETS // RANGES, np.int64)), at, counts)
+            for number, total in sums.items():
+                log = np.minimum(np.log2(total + 1), 15).astype(np.uint8).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([(log[:, 0] | (log[:, 1] << 4)).tobytes()])], ["range", "halves"])
+
+        blocks = profiles.where("range is not null").select("range", "counts").repartition(RANGES, "range")
+        found = blocks.mapInArrow(run, "range int, halves binary").toArrow()
+        size = BUCKETS // RANGES // 2
+        halves = np.zeros(BUCKETS // 2, np.uint8)
+        for number, data in zip(found.column("range").to_pylist(), found.column("halves"), strict=True):
+            halves[number * size:(number + 1) * size] = np.frombuffer(data.as_py(), np.uint8)
+        return cls(halves)
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        bucket = (tokens % np.uint64(BUCKETS)).astype(np.int64)
+        return (self.halves[bucket >> 1] >> ((bucket & 1) << 2).astype(np.uint8)) & 15
+
+
+def _postings(docs: DataFrame, frequencies: Frequencies, percent: int) -> DataFrame:
     """(token, node) for the prefix of each set under the first order. Smaller nodes are more typical: fewer of their tokens are rare.
 
     Copies that a task meets soon after each other are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = set()
             for piece in pieces(batch):
                 sets = Sets(piece.column("text"))
-                often = shared.value[(sets.tokens % np.uint64(BUCKETS)).astype(np.int64)]
-                rare = np.bincount(sets.rows, often == 0, len(sets.sizes))
+                often = shared.value(sets.tokens)
+                rare = np.bincount(sets.rows, often <= shared.value.usual + 1, len(sets.sizes))
                 nodes = sets.nodes | ((7 * rare / np.maximum(sets.sizes, 1)).astype(np.int64) << NODE_BITS)
-                new = np.zeros(len(nodes), bool)
-                for k, node in enumerate(nodes.tolist()):
-                    new[k] = node not in seen
-                    seen.add(node)
                 at = sets.prefix(percent, mix(sets.tokens), often)
-                at = at[new[sets.rows[at]]]
+                at = at[_unseen(sets, seen)[sets.rows[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.tokens[at].view(np.int64)), pa.array(nodes[sets.rows[at]])], ["token", "node"])
 
     return docs.mapInArrow(run, "token long, node long")
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, buckets: int) -> str:
-    """Table of (node, tokens) for the wanted (doc_id, node)."""
+def _token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) for the wanted (doc_id, node)."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(piece.column("text"))
@@ -164,19 +229,22 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, buckets: int) -> str:
         same = sets.nodes == (piece.column("node").to_numpy() & ((1 << NODE_BITS) - 1))
         return pa.RecordBatch.from_arrays([piece.column("node"), lists], ["node", "tokens"]).filter(pa.array(same))
 
-    found = by_batches(docs.join(wanted, "doc_id").select("text", "node"), run, "node long, tokens array<long>")
-    return written_by_key(found, "node", buckets)
+    return by_batches(docs.join(wanted, "doc_id").select("text", "node"), run, "node long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of all orders and then the exact test."""
-    for side in ("a", "b"):
-        pairs = pairs.join(profile.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(m).alias(f"{m}_{side}") for m in _MAPS)), side)
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+def _may_link(percent: int) -> Column:
+    """Whether sides a and b pass the filters: size, prefixes under the further orders, differing parities."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    fits = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
     for k in range(0, len(_MAPS), 2):
-        meet = [F.col(f"{m}_a").bitwiseAND(F.col(f"{m}_b")) != 0 for m in _MAPS[k:k + 2]]
+        meet = [a(m).bitwiseAND(b(m)) != 0 for m in _MAPS[k:k + 2]]
         fits &= meet[0] | meet[1]
-    pairs = written(pairs.where(fits).select("a", "b"))
+    differing = sum((F.bit_count(a(p).bitwiseXOR(b(p))) for p in _PARITIES), F.lit(0))
+    return fits & ((100 + percent) * differing <= (100 - percent) * (a("n") + b("n")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
     a, b = (sets.select(F.col("node").alias(side), F.col("tokens").alias(f"of_{side}")) for side in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     # The many partners of one leader lie apart by b; the join on a can be split where one leader has most pairs.
@@ -186,34 +254,52 @@ def _verified(pairs: DataFrame, profile: DataFrame, sets: DataFrame, percent: in
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
-def _still_open(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """Groups without their leaders where more than one component is left; their rows, and pairs of different components."""
-    rows = groups.where("leader != node").select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
-    whole = parts.groupBy("token").agg(
-        F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"),
-        F.min("leader").alias("leader"), F.min_by("label", "leader").alias("leader_label"), F.count("*").alias("labels")).where("labels > 1")
-    left = written(rows.join(whole, "token"))
-    total = left.groupBy().agg(F.count("*").alias("rows"), F.sum(F.col("cross") / F.col("members")).alias("cross")).first()
-    return left, total.rows, int(total.cross or 0)
-
-
-def _labels(groups: DataFrame, profile: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of every class with a link, from (token, node, leader)."""
-    pairs = groups.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_verified(pairs, profile, sets, percent))
-    labels = components(links)
-    for turn in range(MAX_ROUNDS + 1):
-        groups, rows, cross = _still_open(groups, labels)
-        if not rows:
-            break
-        last = turn == MAX_ROUNDS or cross <= 4 * rows
+def _labelled(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float]:
+    """Groups with more than one component left; their rows, and the pairs of different components for each row."""
+    rows = groups.where(F.col("place") > LEADERS).drop("place", "label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.sum("n").alias("members"))
+    whole = written(whole.where("cross > 0"))
+    total = whole.agg(F.sum("cross").alias("cross"), F.sum("members").alias("rows")).first()
+    left = rows.join(whole.select("token"), "token")
+    return left, total.rows or 0, float(total.cross or 0) / 2
+
+
+def _placed(groups: DataFrame) -> DataFrame:
+    """With the place of each class in its groups, the most typical one first; places beyond LEADERS are not told apart."""
+    first = groups.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).where(F.col("place") <= LEADERS)
+    return groups.join(first.select("token", "node", "place"), ["token", "node"], "left").withColumn("place", F.coalesce("place", F.lit(LEADERS + 1)))
+
+
+def _labels(docs: DataFrame, groups: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of every class with a link. Groups have token, node and traits; ids have doc_id by node."""
+    links = labels = sets = None
+    groups = groups.withColumn("label", F.col("node"))
+    for turn in range(MAX_ROUNDS + 2):
+        last = turn == MAX_ROUNDS + 1
+        if labels is not None:
+            groups, rows, cross = _labelled(groups, labels)
+            if not rows:
+                break
+            last |= cross <= CROSS * rows
         if last:
-            x, y = (groups.select("token", F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in ("a", "b"))
-            pairs = x.join(y, "token").where("a < b and label_a != label_b")
-        else:
-            pairs = groups.where("leader_label != label").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        links = written(links.union(_verified(pairs.select("a", "b").distinct(), profile, sets, percent)))
+            groups = groups.withColumn("place", F.lit(1))
+        groups = written(_placed(groups) if not last else groups)
+        found = (
+            groups.where(F.col("place") <= LEADERS).alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
+            & (F.col("a.label") != F.col("b.label")) & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+        pairs = written(found)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        more = written(_token_sets(docs, wanted.join(ids, "node").select("doc_id", "node")).dropDuplicates(["node"]))
+        sets = more if sets is None else sets.union(more)
+        new = written(_verified(pairs, sets, percent))
+        if new.isEmpty() and labels is not None:
+            if last:
+                break
+            continue
+        links = new if links is None else links.union(new)
         labels = components(links)
         if last:
             break
@@ -224,24 +310,22 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = written(_profiles(docs, percent))
-    each = profiles.where("bucket is null")
+    each = profiles.where("range is null")
     found = each.where("n > 0 and doc_id is not null")
-    classes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.max(m).alias(m) for m in _MAPS))
-
-    postings = _postings(docs.where("doc_id is not null"), _frequency_classes(profiles), percent)
-    shared = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("token", "leader")
-    groups = written(postings.join(shared, "token").distinct())
-    bare = F.col("member").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
-    profile = written(
-        groups.select(F.col("node").alias("member")).distinct().withColumn("node", bare).join(classes, "node")
-        .select(F.col("member").alias("node"), "doc_id", "n", *_MAPS))
-    sets = _token_sets(docs, profile.select("doc_id", "node"), table_partitions(docs.sparkSession))
-    labels = _labels(groups, profile, docs.sparkSession.table(sets), percent)
-    docs.sparkSession.sql(f"DROP TABLE {sets}")
+    classes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.max(t).alias(t) for t in _TRAITS))
+
+    postings = _postings(docs.where("doc_id is not null"), Frequencies.of(profiles), percent)
+    shared = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least != last").select("token")
+    members = written(postings.join(shared, "token").distinct())
+    bare = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+    of_member = members.select("node").distinct().withColumn("bare", bare).join(classes.withColumnRenamed("node", "bare"), "bare").drop("bare")
+    profile = written(of_member)
+    groups = members.join(profile.drop("doc_id"), "node")
+    labels = _labels(docs, groups, profile.select("node", "doc_id"), percent)
 
     linked = labels.join(profile.select("node", "doc_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(smallest, "label").select(F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("node"), "component_id")
+    linked = linked.join(smallest, "label").select(bare.alias("node"), "component_id")
     of_class = classes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     with_class = found.select("doc_id", "n", "node").join(of_class, "node")
     alone = each.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

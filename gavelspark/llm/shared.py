@@ -46,10 +46,6 @@ def shuffle_files_end_with_their_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def table_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: computed once, and not lost with an executor."""
     spark = df.sparkSession
@@ -59,15 +55,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def written_by_key(df: DataFrame, key: str, buckets: int) -> str:
-    """Name of a table with one row for each key, laid out so that joins on the key read it without a shuffle."""
-    spark = df.sparkSession
-    folder, name = shared_folder(spark), f"by_{key}_{uuid.uuid4().hex}"
-    with shuffle_files_end_with_their_query(spark):
-        (df.repartition(buckets, key).dropDuplicates([key]).write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name))
-    return name
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
