@@ -52,7 +52,7 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = shared_folder(spark)
     warc.write(table(spark, folder, "pages"), archives)
-    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

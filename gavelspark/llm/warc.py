@@ -33,7 +33,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 CHUNK_BYTES = 2048
 SEGMENT_BYTES = 8192
-RECORDS_PER_FILE = 2048
+RECORDS_PER_FILE = 1024
+_ROWS = 256  # of a batch that are worked on at once
 DATE = "2000-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _ID = re.compile(r"urn:page:(-?\d*)")
@@ -127,8 +128,8 @@ def write(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_REVISIT_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500).to_pydict()
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS).to_pydict()
                 yield pa.RecordBatch.from_arrays([pa.array([r for x in zip(*part.values(), strict=True) for r in records(*x)], pa.string())], ["value"])
 
     out = joined.mapInArrow(run, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE)
@@ -180,7 +181,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
                         get("warc-record-id"), kind, get("warc-segment-origin-id"), int(number) if number else None, int(total) if total else None,
                         _page(get("warc-record-id")), _page(get("warc-refers-to")), get("warc-target-uri"), digest.removeprefix("sha1:") or None, block))
                     size += len(block)
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
                         held, size = [], 0
                 if held:
@@ -216,22 +217,30 @@ def _decoded(block: bytes, kind: str) -> tuple[bytes | None, int | None]:
     return payload, None if payload is None else len(payload)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page of the archives in a folder: payload (null for revisits), size and digest of the full payload, and whether all is well."""
+def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Every page of the archives in a folder: payload (null for revisits), size and digest of the full payload, and whether all is well.
+
+    Without `payloads` they are decoded and verified all the same, but not returned.
+    """
+
+    def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, sizes, digests, fine = [], [], [], []
+        for kind, digest, block, complete in zip(*(batch.column(c).to_pylist() for c in ("type", "digest", "block", "complete")), strict=True):
+            payload, size = _decoded(block, kind)
+            own = digest if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            found.append(payload if payloads else None)
+            sizes.append(size)
+            digests.append(own)
+            fine.append(complete and size is not None and digest in (None, own))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("type"), batch.column("refers_to"), batch.column("uri"), pa.array(found, pa.binary()),
+             pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(fine, pa.bool_())],
+            ["page_id", "record_type", "refers_to", "uri", "payload", "payload_bytes", "payload_digest", "complete"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, sizes, digests, fine = [], [], [], []
-            for kind, digest, block, complete in zip(*(batch.column(c).to_pylist() for c in ("type", "digest", "block", "complete")), strict=True):
-                payload, size = _decoded(block, kind)
-                own = digest if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                payloads.append(payload)
-                sizes.append(size)
-                digests.append(own)
-                fine.append(complete and size is not None and digest in (None, own))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("type"), batch.column("refers_to"), batch.column("uri"), pa.array(payloads, pa.binary()),
-                 pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(fine, pa.bool_())],
-                ["page_id", "record_type", "refers_to", "uri", "payload", "payload_bytes", "payload_digest", "complete"])
-
-    return reassembled(raw_records(spark, folder)).mapInArrow(run, _PAYLOADS)
+            for k in range(0, batch.num_rows, _ROWS):
+                yield decoded(batch.slice(k, _ROWS))
+
+    found = reassembled(raw_records(spark, folder)).mapInArrow(run, _PAYLOADS)
+    return found if payloads else found.drop("payload")
