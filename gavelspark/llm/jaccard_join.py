@@ -29,7 +29,7 @@ from gavelspark.llm.shared import by_batches, written
 from gavelspark.llm.words import SHINGLE, find_words, mix, pieces, sequence_hashes
 
 PERCENT = 80
-BUCKETS = 1 << 26  # of the frequency table, of half a byte each
+BUCKETS = 1 << 25  # of the frequency table, of half a byte each
 RANGES = 64  # parts in which it is summed
 FLUSH_TOKENS = 1 << 22  # tokens that a task holds while it counts
 LEADERS = 4  # classes of a group that are compared with all others in a round
