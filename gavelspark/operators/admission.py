@@ -39,12 +39,13 @@ def _walker(limit: int, width: int):
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, recent = None, deque()
         for batch in batches:
-            keys = list(zip(batch["client"].array, batch["run"].array))
-            starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
-            times, flags = batch["time"].to_numpy(), []
-            for start, end in zip(starts, starts[1:] + [len(keys)]):
-                if keys[start] != run:
-                    run, recent = keys[start], deque()
+            clients, runs, times, flags = (batch["client"].to_numpy(), batch["run"].to_numpy(), batch["time"].to_numpy(), [])
+            changes = np.flatnonzero((clients[1:] != clients[:-1]) | (runs[1:] != runs[:-1])) + 1
+            starts = [0, *changes.tolist()] if len(times) else []
+            for start, end in zip(starts, [*starts[1:], len(times)]):
+                key = (clients[start], runs[start])
+                if key != run:
+                    run, recent = key, deque()
                 flags.append(admit(times[start:end], recent, limit, width))
             out = batch[["id", "client", "time", "seed"]].assign(admitted=np.concatenate(flags) if flags else [])
             yield out[~out["seed"]].drop(columns="seed")
