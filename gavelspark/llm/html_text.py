@@ -1,6 +1,7 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Each page scores its containers by the text they hold, without links and without what is plainly not the article. The path of the best one,
+Each page scores its containers by the text they hold, without links and without what is plainly not the article. From the best one
+it climbs to the article or main around it, else to ancestors that add headings, paragraphs or a part of comparable size. The path reached,
 its tags and classes from the root down with digits generalised, is the page's vote. Votes are counted for each host in
 Spark, combined in each task first, and each page is extracted again with the winning path of its host; a page without
 such a container, or without a host, uses its own best one.
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body center".split())
 NEVER = frozenset("head nav footer aside form menu dialog button fieldset".split())
+WHOLE = ("article", "main")
+COMPARABLE = 4  # a sibling part with a quarter of the best container's text belongs to the article
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus "
@@ -52,6 +55,7 @@ _HOST = re.compile(r"://([^/?#]*)")
 class Container:
     path: str
     parent: int
+    tag: str = ""
     blocks: list[int] = field(default_factory=list)
 
 
@@ -80,6 +84,7 @@ class Page:
     def __init__(self, source: str):
         self.containers = [Container("", -1)]
         self.blocks: list[tuple[str, int]] = []
+        self.prose: set[int] = set()  # blocks that are headings or paragraphs
         stack: list[tuple[str, bool, int, str]] = [("", False, 0, "")]  # tag, boilerplate, container, path
         text: list[str] = []
         linked, in_link, at = 0, False, 0
@@ -91,6 +96,8 @@ class Page:
                 if block:
                     holder = stack[-1][2]
                     self.containers[holder].blocks.append(len(self.blocks))
+                    if stack[-1][0] in CLOSED_BY_BLOCK:
+                        self.prose.add(len(self.blocks))
                     self.blocks.append((block, min(linked, len(block))))
                 text.clear()
             linked = 0
@@ -126,7 +133,7 @@ class Page:
             path = f"{path}>{step}" if path else step
             gone |= outer or tag in NEVER or (tag == "header" and "article" not in path and "main" not in path)
             if tag in CONTAINERS and not gone:
-                self.containers.append(Container(path, holder))
+                self.containers.append(Container(path, holder, tag))
                 holder = len(self.containers) - 1
             stack.append((tag, gone, holder, path))
             if token["rest"].endswith("/") and tag not in CONTAINERS:
@@ -135,11 +142,17 @@ class Page:
             text.append(source[at:])
         flush()
 
+    def _unlinked(self, blocks: Iterable[int]) -> int:
+        return sum(len(text) - linked for text, linked in (self.blocks[b] for b in blocks))
+
     def best(self) -> str | None:
-        """Path of the container with most unlinked text; an outer one counts its own children's text fully, deeper text by halves."""
+        """Path of the article: from the container with most unlinked text up to what holds the rest of it.
+
+        An outer container counts its own children's text fully, deeper text by halves.
+        """
         score = Counter()
         for k, container in enumerate(self.containers):
-            own = sum(len(text) - linked for text, linked in (self.blocks[b] for b in container.blocks))
+            own = self._unlinked(container.blocks)
             share, at, depth = float(own), k, 0
             while own and at >= 0:
                 score[at] += share
@@ -148,7 +161,38 @@ class Page:
         if not score:
             return None
         top = max(score.values())
-        return next(c.path for k, c in enumerate(self.containers) if score[k] == top)
+        return self.containers[self._climbed(next(k for k in range(len(self.containers)) if score[k] == top))].path
+
+    def _climbed(self, best: int) -> int:
+        """The nearest article, else main, around a container, and on to ancestors that hold more of the same text."""
+        free = [self._unlinked(c.blocks) for c in self.containers]  # unlinked and all text, with what is below
+        full = [sum(len(self.blocks[b][0]) for b in c.blocks) for c in self.containers]
+        parts = defaultdict(list)
+        for k in range(len(self.containers) - 1, 0, -1):
+            parent = self.containers[k].parent
+            free[parent] += free[k]
+            full[parent] += full[k]
+            parts[parent].append(k)
+        above = [best]
+        while self.containers[above[-1]].parent >= 0:
+            above.append(self.containers[above[-1]].parent)
+
+        def adds(outer: int, inner: int) -> bool:
+            """What the outer one adds is text, not links."""
+            return 2 * (free[outer] - free[inner]) >= full[outer] - full[inner]
+
+        tags = [c.tag for c in self.containers]
+        at = next((k for tag in WHOLE for k in above if tags[k] == tag and adds(k, best)), best)
+        size, whole = free[at], tags[at] in WHOLE
+        reached = below = at
+        for outer in above[above.index(at) + 1:]:
+            own = [self.blocks[b] for b in self.containers[outer].blocks if b in self.prose]
+            more = 2 * sum(linked for _, linked in own) < sum(len(text) for text, _ in own) and not (whole and tags[outer] in ("", "body"))
+            more = more or not whole and any(k != below and free[k] * COMPARABLE >= size and 2 * free[k] >= full[k] for k in parts[outer])
+            if more and adds(outer, reached):
+                reached = outer
+            below = outer
+        return reached
 
     def text(self, path: str) -> str:
         """All blocks inside containers of this path, in page order."""

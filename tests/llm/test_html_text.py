@@ -66,3 +66,32 @@ def test_host_votes_decide(spark):
     want = [(k, story(k)) for k in [*range(9), 1]] + [(50, story(7)), (51, "no host"), (52, ""), (53, "other layout"), (None, "no id")]
     assert got == sorted(want, key=str)
     assert html_text.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def paragraphs(name, count, size):
+    return [f"{name} {k} ".ljust(size, "x") for k in range(count)]
+
+
+def marked(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_the_whole_article_counts():
+    lead, body, more = paragraphs("lead", 1, 200), paragraphs("body", 5, 200), paragraphs("more", 5, 180)
+    links = "<div class=list><p><a href=x>Another story</a></p><p><a href=y>One more story of the day</a></p></div>"
+    whole = "\n\n".join(["Headline", *lead, *body])
+    for outer in ("article", "main", "div class=post"):
+        end = outer.split()[0]
+        page = f"<body><div id=top>A line</div><{outer}><h1>Headline</h1>{marked(lead)}<div class=body>{marked(body)}</div></{end}>{links}</body>"
+        assert text_of(page) == whole
+        page = f"<body><div id=top>A line</div><{outer}><div class=a>{marked(body)}</div><div class=b>{marked(more)}</div></{end}>{links}</body>"
+        assert text_of(page) == "\n\n".join([*body, *more])
+    assert text_of(f"<body>{links}<h1>Headline</h1>{marked(lead)}<div class=body>{marked(body)}</div></body>").endswith(whole)
+    assert text_of(f"<div class=wrap><div class=body>{marked(body)}</div>{links}<div class=x>short</div></div>") == "\n\n".join(body)
+
+
+def test_a_host_keeps_headline_and_lead(spark):
+    page = "<body><article><h1>Head {0}</h1>" + marked(paragraphs("lead", 1, 200)) + "<div class=body>" + marked(paragraphs("body", 5, 200)) + "</div></article></body>"
+    pages = spark.createDataFrame([(k, "http://a.com/1", page.format(k), None, None) for k in range(4)], PAGES)
+    want = "\n\n".join([*paragraphs("lead", 1, 200), *paragraphs("body", 5, 200)])
+    assert {r.page_id: r.text for r in html_text.extracted(pages).collect()} == {k: f"Head {k}\n\n{want}" for k in range(4)}
