@@ -6,6 +6,9 @@ its tags and classes from the root down with digits generalised, is the page's v
 Spark, combined in each task first, and each page is extracted again with the winning path of its host; a page without
 such a container, or without a host, uses its own best one.
 
+A boilerplate word that begins a class name or id removes the element, unless that wraps the page's main part; elsewhere in a name it does so
+only where the element holds a small part of the page's unlinked text. Names such as has-comments or no-header say nothing of the element.
+
 Blocks are what block-level tags separate; character references are decoded, runs of white space become one space. Defined
 results: null and empty pages have an empty text; markup that never ends is closed at the end of the page; pages with equal
 ids are extracted each by itself; other columns are left alone.
@@ -39,6 +42,10 @@ BOILERPLATE = frozenset(
     "footer form gdpr header hidden login masthead menu modal nav navbar navigation navigator newsletter notice notices notification overlay pager "
     "pagination paywall popup promo promoted promotion recommended related replies respond rss search share sharing shares sidebar signup skip social "
     "sponsor sponsored subscribe subscription tags toolbar topbar widget".split())
+MODIFIERS = frozenset("has have with without no not is".split())
+NEVER_BY_WORD = frozenset("html body main article".split())
+HEADINGS = frozenset("header hgroup h1 h2 h3 h4 h5 h6".split())
+SMALL = 4  # a small part is at most a quarter
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -65,17 +72,37 @@ def host_of(url: str | None) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in found[1]) if found else ""
 
 
-def _describe(tag: str, rest: str) -> tuple[str, bool]:
-    """(generalised step of a path, whether the element is boilerplate)."""
+def _describe(tag: str, rest: str) -> tuple[str, bool, str]:
+    """(generalised step of a path, whether the element is boilerplate, where a boilerplate word makes it likely: head, inner or empty)."""
     if not rest or "=" not in rest:
-        return tag, "hidden" in rest.split()
+        return tag, "hidden" in rest.split(), ""
     known = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)}
     names = known.get("class", "").split()
-    words = {w.lower() for name in [*names, known.get("id", "")] for w in _PART.findall(_CAMEL.sub(" ", name))}
     gone = (
-        bool(words & BOILERPLATE) or known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true"
+        known.get("role", "").lower() in ROLES or known.get("aria-hidden") == "true"
         or "display:none" in known.get("style", "").replace(" ", "").lower())
-    return ".".join([tag, *sorted(_DIGITS.sub("#", n) for n in names)]), gone
+    return ".".join([tag, *sorted(_DIGITS.sub("#", n) for n in names)]), gone, _likely(tag, [*names, known.get("id", "")])
+
+
+def _likely(tag: str, names: list[str]) -> str:
+    found = ""
+    for name in names if tag not in NEVER_BY_WORD else ():
+        words = [w.lower() for w in _PART.findall(_CAMEL.sub(" ", name))]
+        if words and words[0] not in MODIFIERS:
+            if words[0] in BOILERPLATE:
+                return "head"
+            if any(w in BOILERPLATE and not (w == "header" and tag in HEADINGS) for w in words):
+                found = "inner"
+    return found
+
+
+@dataclass
+class Suspect:
+    """An element that a word of its class or id makes likely to be boilerplate."""
+
+    parent: int
+    where: str
+    main: bool = False  # holds a headline or main
 
 
 class Page:
@@ -85,7 +112,8 @@ class Page:
         self.containers = [Container("", -1)]
         self.blocks: list[tuple[str, int]] = []
         self.prose: set[int] = set()  # blocks that are headings or paragraphs
-        stack: list[tuple[str, bool, int, str]] = [("", False, 0, "")]  # tag, boilerplate, container, path
+        suspects, within = [Suspect(-1, "")], []  # for each block its innermost suspect
+        stack: list[tuple[str, bool, int, str, int]] = [("", False, 0, "", 0)]  # tag, boilerplate, container, path, suspect
         text: list[str] = []
         linked, in_link, at = 0, False, 0
 
@@ -99,6 +127,7 @@ class Page:
                     if stack[-1][0] in CLOSED_BY_BLOCK:
                         self.prose.add(len(self.blocks))
                     self.blocks.append((block, min(linked, len(block))))
+                    within.append(stack[-1][4])
                 text.clear()
             linked = 0
 
@@ -128,19 +157,46 @@ class Page:
                 continue
             if stack[-1][0] in CLOSED_BY_BLOCK or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag):
                 stack.pop()
-            step, gone = _describe(tag, token["rest"])
-            _, outer, holder, path = stack[-1]
+            step, gone, likely = _describe(tag, token["rest"])
+            _, outer, holder, path, suspect = stack[-1]
             path = f"{path}>{step}" if path else step
             gone |= outer or tag in NEVER or (tag == "header" and "article" not in path and "main" not in path)
             if tag in CONTAINERS and not gone:
                 self.containers.append(Container(path, holder, tag))
                 holder = len(self.containers) - 1
-            stack.append((tag, gone, holder, path))
+            if likely and not gone:
+                suspects.append(Suspect(suspect, likely))
+                suspect = len(suspects) - 1
+            if tag in ("main", "h1") and not gone:
+                at_suspect = suspect
+                while at_suspect and not suspects[at_suspect].main:
+                    suspects[at_suspect].main = True
+                    at_suspect = suspects[at_suspect].parent
+            stack.append((tag, gone, holder, path, suspect))
             if token["rest"].endswith("/") and tag not in CONTAINERS:
                 stack.pop()
         if not stack[-1][1]:
             text.append(source[at:])
         flush()
+        if len(suspects) > 1:
+            self._drop(suspects, within)
+
+    def _drop(self, suspects: list[Suspect], within: list[int]) -> None:
+        """Takes the blocks of boilerplate elements out of their containers: heads first, then small parts of what is left."""
+        gone = [False] * len(suspects)
+        for where in ("head", "inner"):
+            size = [0] * len(suspects)
+            for (text, linked), suspect in zip(self.blocks, within, strict=True):
+                size[suspect] += 0 if gone[suspect] else len(text) - linked
+            for k in range(len(suspects) - 1, 0, -1):
+                size[suspects[k].parent] += size[k]
+            for k in range(1, len(suspects)):
+                suspect = suspects[k]
+                if suspect.where == where:
+                    gone[k] = not (suspect.main and 2 * size[k] > size[0]) if where == "head" else SMALL * size[k] <= size[0]
+                gone[k] |= gone[suspect.parent]
+        for container in self.containers:
+            container.blocks = [b for b in container.blocks if not gone[within[b]]]
 
     def _unlinked(self, blocks: Iterable[int]) -> int:
         return sum(len(text) - linked for text, linked in (self.blocks[b] for b in blocks))

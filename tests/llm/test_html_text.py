@@ -95,3 +95,17 @@ def test_a_host_keeps_headline_and_lead(spark):
     pages = spark.createDataFrame([(k, "http://a.com/1", page.format(k), None, None) for k in range(4)], PAGES)
     want = "\n\n".join([*paragraphs("lead", 1, 200), *paragraphs("body", 5, 200)])
     assert {r.page_id: r.text for r in html_text.extracted(pages).collect()} == {k: f"Head {k}\n\n{want}" for k in range(4)}
+
+
+def test_a_boilerplate_word_is_not_enough():
+    body = paragraphs("body", 5, 200)
+    whole = "\n\n".join(["Headline", *body])
+    inner = f"<h1>Headline</h1>{marked(body)}"
+    for outer in ("main class='with-banner'", "article class='post has-comments'", "article class=comments", "div class='content no-header'", "div class='hasSidebar'",
+                  "div class=sidebar-left", "div class=page-with-widget", "section id=post-share"):
+        assert text_of(f"<body><p>Site</p><{outer}>{inner}</{outer.split()[0]}></body>").endswith(whole)
+    for outer in ("has-sidebar", "sidebar", "page-comments"):
+        assert text_of(f"<body class='{outer}'>{inner}</body>") == whole
+    header = "<header class=entry-header><h1 class=page-header>Headline</h1></header>"
+    junk = "<div class=site-banner>Buy</div><div class=post-share>Share this</div><div class='comments-area'>" + marked(paragraphs("comment", 9, 300)) + "</div>"
+    assert text_of(f"<body><article class=post>{header}{marked(body)}{junk}<div class='text no-border'><p>End</p></div></article></body>") == whole + "\n\nEnd"
