@@ -4,7 +4,7 @@ Each page scores its containers by the text they hold, without links and without
 it climbs to the article or main around it, else to ancestors that add headings, paragraphs or a part of comparable size. The path reached,
 its tags and classes from the root down with digits generalised, is the page's vote. Votes are counted for each host in
 Spark, combined in each task first, and each page is extracted again with the winning path of its host; a page without
-such a container, or without a host, uses its own best one.
+such a container, without a host, or with less than a third of its best one's unlinked text there (another template of the host), uses its own best one.
 
 A boilerplate word that begins a class name or id removes the element, unless that wraps the page's main part; elsewhere in a name it does so
 only where the element holds a small part of the page's unlinked text. Names such as has-comments or no-header say nothing of the element.
@@ -45,6 +45,7 @@ BOILERPLATE = frozenset(
 MODIFIERS = frozenset("has have with without no not is".split())
 NEVER_BY_WORD = frozenset("html body main article".split())
 HEADINGS = frozenset("header hgroup h1 h2 h3 h4 h5 h6".split())
+OTHER_TEMPLATE = 3  # the winning path is not the page's if its own best one holds more than three times the text
 SMALL = 4  # a small part is at most a quarter
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
@@ -250,14 +251,27 @@ class Page:
             below = outer
         return reached
 
-    def text(self, path: str) -> str:
+    def _of(self, path: str) -> list[int]:
         """All blocks inside containers of this path, in page order."""
         inside = set()
         for k, container in enumerate(self.containers):
             if container.path == path or container.parent in inside:
                 inside.add(k)
-        wanted = sorted(b for k in inside for b in self.containers[k].blocks)
-        return "\n\n".join(self.blocks[b][0] for b in wanted)
+        return sorted(b for k in inside for b in self.containers[k].blocks)
+
+    def text(self, path: str) -> str:
+        return "\n\n".join(self.blocks[b][0] for b in self._of(path))
+
+    def article(self, path: str | None) -> str:
+        """The text of the host's winning path, or of the page's own best one where that holds much more."""
+        own = self.best()
+        if own is None or own == path:
+            return self.text(path) if path is not None else ""
+        if path is not None:
+            wanted = self._of(path)
+            if wanted and OTHER_TEMPLATE * self._unlinked(wanted) >= self._unlinked(self._of(own)):
+                return self.text(path)
+        return self.text(own)
 
 
 def consensus(pages: DataFrame) -> DataFrame:
@@ -287,10 +301,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for source, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                page = Page(source or "")
-                text = page.text(path) if path is not None else ""
-                own = None if text else page.best()
-                texts.append(page.text(own) if own is not None else text)
+                texts.append(Page(source or "").article(path))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

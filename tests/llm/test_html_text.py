@@ -109,3 +109,12 @@ def test_a_boilerplate_word_is_not_enough():
     header = "<header class=entry-header><h1 class=page-header>Headline</h1></header>"
     junk = "<div class=site-banner>Buy</div><div class=post-share>Share this</div><div class='comments-area'>" + marked(paragraphs("comment", 9, 300)) + "</div>"
     assert text_of(f"<body><article class=post>{header}{marked(body)}{junk}<div class='text no-border'><p>End</p></div></article></body>") == whole + "\n\nEnd"
+
+
+def test_two_templates_of_a_host(spark):
+    body = paragraphs("body", 3, 100)
+    first = f"<html><body><div>{marked(body)}</div></body></html>"
+    second = f"<html><body><div><p>Just a line</p></div><section class=story>{marked(body[::-1])}</section></body></html>"
+    rows = [(k, "http://a.com/1", first if k % 3 else second, None, None) for k in range(9)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: "\n\n".join(body if k % 3 else body[::-1]) for k in range(9)}
