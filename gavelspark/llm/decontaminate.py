@@ -4,7 +4,10 @@ A window of as many words as an item has is compared with the items of that leng
 benchmark at all get a 64-bit fingerprint of their shingles. The fingerprint's 8 blocks of 8 bits are looked up in an index that
 holds every item under all block values up to 2 bits away: two fingerprints that differ in at most 23 bits agree that far in one
 block at least, so no such item is missed. Who stays within the radius is verified: the shingles of window and item, weighted by how
-often each occurs, must have 80 % of their sum of maxima in their sum of minima.
+often each occurs, must have 80 % of their sum of maxima in their sum of minima. A document shorter than an item is one window itself, if it is long enough for 80 %.
+
+With any_length, items that no such window matches are also compared with windows of all other lengths: where enough of their shingles lie close
+together, an index from shingles to items names the candidates, and only windows that begin and end with a shingle of the item are tried.
 
 Words are lower-cased (A-Z). Items shorter than a shingle are one shingle of their own length. Documents are judged each by
 itself, nothing is shuffled. The benchmark is taken in blocks of a fixed number of items, one pass over the documents for each.
@@ -15,7 +18,8 @@ with equal or no ids are judged each by itself; other columns are left alone.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,8 +60,11 @@ class Length:
     shingles: np.ndarray
     marks: np.ndarray
     index: list[list[np.ndarray]] = field(default_factory=list)
+    holders: tuple[np.ndarray, np.ndarray] = ()
 
     def __post_init__(self) -> None:
+        held = np.unique(np.stack([self.shingles.ravel(), np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.shingles.shape[1])]), axis=1)
+        self.holders = held[0], held[1].astype(np.int64)  # by shingle, each item once
         values = self.marks.view(np.uint8).reshape(-1, _BLOCKS)
         for block in range(_BLOCKS):
             at = defaultdict(list)
@@ -71,6 +78,15 @@ class Length:
         met = np.unique(np.concatenate([self.index[block][bytes_[block]] for block in range(_BLOCKS)]))
         return met[np.bitwise_count(self.marks[met] ^ mark) <= RADIUS]
 
+    def sharing(self, shingles: np.ndarray, least: int) -> list[int]:
+        """The items that hold at least so many of these shingles, repeats counted."""
+        values, times = np.unique(shingles, return_counts=True)
+        begin, end = (np.searchsorted(self.holders[0], values, side) for side in ("left", "right"))
+        shared = np.zeros(len(self.ids), np.int64)
+        for first, last, n in zip(begin.tolist(), end.tolist(), times.tolist(), strict=True):
+            shared[self.holders[1][first:last]] += n
+        return np.flatnonzero(shared >= least).tolist()
+
 
 @dataclass
 class Benchmark:
@@ -104,7 +120,7 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
-def find(column: pa.Array, benchmark: Benchmark, percent: int) -> list[tuple[int, int, float, int, int]]:
+def find(column: pa.Array, benchmark: Benchmark, percent: int, any_length: bool = False) -> list[tuple[int, int, float, int, int]]:
     """(row, item, similarity, first word, words) of the best window for each row and item that match."""
     words = find_words(column, lower=True)
     begin = np.searchsorted(words.rows, np.arange(words.n_rows + 1))
@@ -125,12 +141,19 @@ def find(column: pa.Array, benchmark: Benchmark, percent: int) -> list[tuple[int
             least = -(-2 * percent * size // (100 + percent))  # shared shingles that the similarity takes
             for row in rows:
                 lo, hi = begin[row], begin[row + 1]
-                if hi - lo < n or hit[hi] - hit[lo] < least:
+                if 100 * (hit[hi] - hit[lo]) < percent * size:
                     continue
-                starts = np.arange(lo, hi - n + 1)
-                starts = starts[hit[starts + size] - hit[starts] >= least]
-                for k in range(0, len(starts), _CHUNK):
-                    _match(best, token, starts[k:k + _CHUNK], int(row), int(lo), n, size, items, percent)
+                if hi - lo < n:
+                    whole = int(hi - lo) - width + 1
+                    if (100 + percent) * (hit[hi] - hit[lo]) >= percent * (size + whole):
+                        _match(best, token, np.array([lo]), int(row), int(lo), int(hi - lo), whole, items, percent)
+                elif hit[hi] - hit[lo] >= least:
+                    starts = np.arange(lo, hi - n + 1)
+                    starts = starts[hit[starts + size] - hit[starts] >= least]
+                    for k in range(0, len(starts), _CHUNK):
+                        _match(best, token, starts[k:k + _CHUNK], int(row), int(lo), n, size, items, percent)
+                if any_length:
+                    _match_others(best, token, hit, int(row), int(lo), int(hi), width, size, items, percent)
     return [(row, item, *rest) for (row, item), rest in sorted(best.items())]
 
 
@@ -144,6 +167,40 @@ def _match(best: dict, token: np.ndarray, starts: np.ndarray, row: int, lo: int,
                 best[key] = (similarity, start - lo, n)
 
 
+def _match_others(
+    best: dict, token: np.ndarray, hit: np.ndarray, row: int, lo: int, hi: int, width: int, size: int, items: Length, percent: int,
+) -> None:
+    """Windows of all lengths, for items that have no match in this row."""
+    end = hi - width + 1
+    most, least = min(100 * size // percent, end - lo), -(-percent * size // 100)
+    starts = np.arange(lo, end - most + 1)
+    starts = starts[hit[starts + most] - hit[starts] >= least]
+    if not len(starts):
+        return
+    for near in np.split(starts, np.flatnonzero(np.diff(starts) > most) + 1):
+        places = np.arange(near[0], near[-1] + most)
+        places = places[hit[places + 1] > hit[places]]
+        for k in items.sharing(token[places], least):
+            key = (row, int(items.ids[k]))
+            if key in best:
+                continue
+            wanted = Counter(items.shingles[k].tolist())
+            own = [(at, value) for at, value in zip(places.tolist(), token[places].tolist(), strict=True) if value in wanted]
+            found = (0.0, 0, 0)
+            for i, (first, _) in enumerate(own):
+                seen, common = Counter(), 0
+                for last, value in itertools.islice(own, i, None):
+                    if last - first >= most:
+                        break
+                    seen[value] += 1
+                    common += seen[value] <= wanted[value]
+                    similarity = common / (last - first + 1 + size - common)
+                    if similarity > found[0]:
+                        found = (similarity, first - lo, last - first + width)
+            if 100 * found[0] >= percent - 1e-9:
+                best[key] = found
+
+
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[Benchmark]:
     ids, texts = [], []
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
@@ -156,7 +213,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Benchmark]:
         yield Benchmark.of(ids, texts)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, any_length: bool = False) -> DataFrame:
     """A row for each document and item that it contains, with the most similar window. An item without id has -1."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -165,7 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block
         shared = spark.sparkContext.broadcast(block)
 
         def run(piece: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            got = find(piece.column("text"), shared.value, percent)
+            got = find(piece.column("text"), shared.value, percent, any_length)
             rows, *rest = zip(*got, strict=True) if got else ([],) * 5
             types = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays(
@@ -176,14 +233,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_items: int = BLOCK_ITEMS, any_length: bool = False) -> DataFrame:
     """The documents without any item, with all their columns."""
     for block in _blocks(benchmark, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(piece: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             kept = np.ones(len(piece), bool)
-            kept[[row for row, *_ in find(piece.column("text"), shared.value, percent)]] = False
+            kept[[row for row, *_ in find(piece.column("text"), shared.value, percent, any_length)]] = False
             return piece.filter(pa.array(kept))
 
         docs = by_batches(docs, run, docs.schema)

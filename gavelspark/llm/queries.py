@@ -37,7 +37,7 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), any_length=True)
 
 
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,3 +89,51 @@ def test_edges(spark):
     assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(str(r) for r in edge_rows() if r[0] not in (4, 5, 6))
     assert dec.matches(nothing(spark), items).count() == 0
     assert dec.clean(docs, items.where("false")).count() == docs.count()
+
+
+def all_windows(docs, items):
+    """{(doc_id, item_id)}, comparing windows of all lengths with every item."""
+    met = set()
+    for doc, text in docs:
+        words = split(text)
+        for item, other in items:
+            wanted = split(other)
+            width = min(len(wanted), 5)
+            b = Counter(tuple(wanted[k:k + width]) for k in range(len(wanted) - width + 1))
+            grams = [tuple(words[k:k + width]) for k in range(len(words) - width + 1)]
+            for first in range(len(grams)):
+                for last in range(first + 1, min(len(grams), first + 2 * b.total()) + 1):
+                    a = Counter(grams[first:last])
+                    if 5 * (a & b).total() >= 4 * (a | b).total():
+                        met.add((doc, item))
+    return met
+
+
+def test_documents_shorter_than_an_item(spark):
+    items = [(1, prose(1, 59)), (2, prose(2, 5)), (3, "a b c"), (4, prose(4, 45))]
+    docs = [(k, " ".join(prose(1, 59).split()[:k])) for k in (58, 50, 49, 48, 47, 46, 5)]
+    docs += [(1, prose(2, 4)), (2, "a b"), (3, " ".join(prose(4, 45).split()[1:]))]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*i, 0) for i in items], ITEMS)
+    want = {(58, 1), (50, 1), (49, 1), (48, 1), (3, 4)}
+    assert all_windows(docs, items) == want
+    for any_length in (False, True):
+        got = found(dec.matches(df, table, any_length=any_length))
+        assert set(got) == want and got[58, 1] == round(54 / 55, 9)
+        assert {r.doc_id for r in dec.clean(df, table, any_length=any_length).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_windows_of_all_lengths(spark):
+    items = [(1, prose(1, 45)), (2, prose(2, 30)), (3, "x y " * 12), (4, prose(1, 45) + " and"), (5, "a b c")]
+    docs = []
+    for k in range(40):
+        words = prose(1 + k % 2, (45, 30)[k % 2]).split()
+        for j in range(k % 3):
+            at = (k * 31 + j * 17) % len(words)
+            words[at:at + 1] = [["more", words[at]], []][(k + j) // 3 % 2]
+        docs.append((k, prose(k + 9, 12) + " " + " ".join(words[k % 4:]) + " " + prose(k + 70, 9)))
+    docs += [(90, "so x y x y x y x y x y x y x y x y x y z"), (91, "a b d c"), (92, " ".join([*prose(1, 45).split()[:20], *prose(1, 45).split()[21:]]) + " z" * 9)]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*i, 0) for i in items], ITEMS)
+    want = all_windows(docs, items)
+    assert (92, 1) in want and len(want) > len(found(dec.matches(df, table)))
+    assert set(found(dec.matches(df, table, any_length=True))) == want
+    assert {r.doc_id for r in dec.clean(df, table, any_length=True).collect()} == {d for d, _ in docs} - {d for d, _ in want}
