@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm import (
-    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, substring_dedup, url_filter, warc,
+    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, substring_dedup, url_filter, warc, whitening,
 )
 from gavelspark.llm.shared import shared_folder, table
 
@@ -59,6 +59,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.shortened(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.report(table(spark, folder, "embeddings"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -70,6 +74,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
