@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm import (
-    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, substring_dedup, url_filter, warc, whitening,
+    decontaminate, html_text, jaccard_join, language_id, mixing, pii, quality_classifier, quality_rules, substring_dedup, url_filter, warc, whitening,
 )
 from gavelspark.llm.shared import shared_folder, table
 
@@ -63,6 +63,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.report(table(spark, folder, "embeddings"))
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "documents"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -75,6 +79,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
+    "op12_pii": op12_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
