@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm import (
-    decontaminate, html_text, jaccard_join, language_id, mixing, pii, quality_classifier, quality_rules, substring_dedup, url_filter, warc, whitening,
+    decontaminate, html_text, jaccard_join, language_id, mixing, pii, quality_classifier, quality_rules, spelling, substring_dedup, url_filter, warc, whitening,
 )
 from gavelspark.llm.shared import shared_folder, table
 
@@ -67,6 +67,10 @@ def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found(table(spark, folder, "documents"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -80,6 +84,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
     "op12_pii": op12_pii,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
