@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,31 +85,75 @@ def auto_bid_battle(auctions: DataFrame, auto_bids: DataFrame, last_bids: DataFr
     return _reply_rows(set_off, ["auction_id"])
 
 
+_ASKED = "auction_id long, user_id long, max_amount decimal(10,2), created_at timestamp_ntz, result string, bid_amount decimal(10,2)"
+_TOO_LOW = "Max amount must be higher than current price."
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold each auction's requests in order, carrying its price and leader from batch to batch."""
+    auction, price, leader = object(), 0, None
+    for batch in batches:
+        rows = batch.to_pydict()
+        results, amounts = [], []
+        for at, user, most, opening, led in zip(rows["auction_id"], rows["user_id"], rows["cents"], rows["price"], rows["leader_id"]):
+            if at != auction:
+                auction, price, leader = at, opening, led
+            if most <= price:
+                results.append(_TOO_LOW)
+                amounts.append(None)
+                continue
+            results.append("activated")
+            if leader is not None and leader == user:
+                amounts.append(None)
+                continue
+            price, leader = min(price + 100, most), user
+            amounts.append(Decimal(price).scaleb(-2))
+        yield pa.RecordBatch.from_pydict({
+            "auction_id": rows["auction_id"], "user_id": rows["user_id"], "max_amount": rows["max_amount"],
+            "created_at": rows["created_at"], "result": results, "bid_amount": amounts,
+        }, schema=pa.schema([("auction_id", pa.int64()), ("user_id", pa.int64()), ("max_amount", pa.decimal128(10, 2)),
+                             ("created_at", pa.timestamp("us")), ("result", pa.string()), ("bid_amount", pa.decimal128(10, 2))]))
+
+
 def auto_bid_activate(auctions: DataFrame, bids: DataFrame, requests: DataFrame) -> DataFrame:
-    """What enabling a proxy does: (auction_id, user_id, max_amount) → result and first bid.
+    """What enabling a proxy does: (auction_id, user_id, max_amount, created_at) → result and first bid.
+
+    Requests of one auction take effect one after another, in order of created_at (nulls last; all null if the column is
+    missing), then user_id and max_amount;
+    each sees the price and leader that the ones before it left. One at or below the price is refused; otherwise it is
+    activated, and unless its user leads, it bids one more than the price (the maximum where that is less), which makes
+    the user the leader at that price. A missing auction id or maximum (null or 0) and unknown auctions change nothing.
 
-    Each request meets the snapshot as it stands. The leader places no bid, and one more than
-    the price is bid otherwise, or the maximum where that is less.
+    The fold is a walk over each auction's requests, sorted within partitions of auction ids and streamed in Arrow batches
+    with two values carried, so memory stays flat however many requests an auction has; only they are in order, not the work.
     """
     stated = auctions.select(F.col("id").alias("auction_id"), "current_price", F.lit(True).alias("known"))
-    price, most = F.col("current_price"), F.col("max_amount")
-    missing = F.col("auction_id").isNull() | ~F.coalesce(most != 0, F.lit(False))
-    result = (
-        F.when(missing, "auction_id and max_amount required.")
-        .when(F.col("known").isNull(), "Auction not found.")
-        .when(most <= price, "Max amount must be higher than current price.")
-        .otherwise("activated")
-    )
-    bid = (F.col("result") == "activated") & ~F.coalesce(F.col("leader_id") == F.col("user_id"), F.lit(False))
-    return (
-        requests.join(stated, "auction_id", "left")
-        .join(lifecycle.leaders(bids).withColumnRenamed("led_id", "auction_id"), "auction_id", "left")
-        .withColumn("result", result)
-        .select(
-            "auction_id", "user_id", "max_amount", "result",
-            F.when(bid, F.least(price + 1, most)).cast("decimal(10,2)").alias("bid_amount"),
+    most = F.col("max_amount")
+    missing = ~F.coalesce(F.col("auction_id") != 0, F.lit(False)) | ~F.coalesce(most != 0, F.lit(False))
+    rows = (
+        requests.select(
+            "auction_id", "user_id", most.cast("decimal(10,2)").alias("max_amount"),
+            (F.col("created_at") if "created_at" in requests.columns else F.lit(None)).cast("timestamp_ntz").alias("created_at"),
         )
+        .join(stated, "auction_id", "left")
+        .join(lifecycle.leaders(bids).withColumnRenamed("led_id", "auction_id"), "auction_id", "left")
+        .withColumn("missing", missing)
+    )
+    refused = rows.where(F.col("missing") | F.col("known").isNull()).select(
+        "auction_id", "user_id", "max_amount", "created_at",
+        F.when(F.col("missing"), "auction_id and max_amount required.").otherwise("Auction not found.").alias("result"),
+        F.lit(None).cast("decimal(10,2)").alias("bid_amount"),
+    )
+    cents = (most * 100).cast("long")
+    folded = (
+        rows.where(~F.col("missing") & F.col("known").isNotNull())
+        .select("auction_id", "user_id", "max_amount", "created_at", cents.alias("cents"),
+                (F.coalesce(F.col("current_price"), F.lit(0)) * 100).cast("long").alias("price"), "leader_id")
+        .repartition("auction_id")
+        .sortWithinPartitions("auction_id", F.asc_nulls_last("created_at"), F.asc_nulls_last("user_id"), "cents")
+        .mapInArrow(_in_order, _ASKED)
     )
+    return folded.unionByName(refused)
 
 
 _RECORD = "auction_id long, lane int, id long, bidder_id long, created_at timestamp_ntz, cents long, " \

@@ -52,7 +52,7 @@ SAMPLES: dict[str, str] = {
           amount AS max_amount, created_at
         FROM {bids}""",
     "proxy_requests": """
-        SELECT auction_id, bidder_id AS user_id, CAST(max(amount) + 5 AS DECIMAL(10,2)) AS max_amount
+        SELECT auction_id, bidder_id AS user_id, CAST(max(amount) * 1.2 AS DECIMAL(10,2)) AS max_amount, max(created_at) AS created_at
         FROM {bids} GROUP BY auction_id, bidder_id""",
     "auction_patches": """
         SELECT id * 2 AS patch_id, id AS auction_id, seller_id AS user_id, start_time AS created_at,

@@ -93,3 +93,50 @@ def test_activation(spark):
         (1, 5): ("activated", None), (1, 6): ("activated", Decimal(11)), (2, 6): ("activated", Decimal("10.50")),
         (3, 6): ("Max", None), (7, 6): ("Auction", None), (3, 7): ("auction_id", None),
     }
+
+
+def _one_at_a_time(price, leader, requests):
+    """The reference's route, request by request."""
+    out = []
+    for user, most in requests:
+        if most <= price:
+            out.append(("Max", None))
+            continue
+        if leader == user:
+            out.append(("activated", None))
+            continue
+        price, leader = min(price + 1, most), user
+        out.append(("activated", price))
+    return out
+
+
+def test_requests_take_effect_in_order(spark):
+    lots = spark.createDataFrame([(1, 9, "lot", Decimal(10), Decimal(10), None, START, "active")], AUCTION)
+    bids = spark.createDataFrame([], "id long, auction_id long, bidder_id long, amount decimal(10,2), is_winning boolean")
+    requests = spark.createDataFrame(
+        [(1, 5, Decimal(20), START), (1, 6, Decimal(11), START + timedelta(seconds=1))],
+        "auction_id long, user_id long, max_amount decimal(10,2), created_at timestamp_ntz",
+    )
+    made = {r.user_id: (r.result.split()[0], r.bid_amount) for r in proxies.auto_bid_activate(lots, bids, requests).collect()}
+    assert made == {5: ("activated", Decimal(11)), 6: ("Max", None)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ordered_requests_equal_one_at_a_time(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    lots = [(n, 9, "lot", Decimal(10), Decimal(10 + n % 3), None, START, "active") for n in range(1, 5)]
+    leaders = {1: 5, 3: 6}
+    bids = [(k, a, u, Decimal(10), True) for k, (a, u) in enumerate(leaders.items())]
+    asked = [(rnd.randint(1, 4), rnd.randint(5, 8), Decimal(rnd.randint(900, 1600)) / 100, START + timedelta(seconds=k))
+             for k in range(300)]
+    got = {(r.auction_id, r.created_at): (r.result.split()[0], r.bid_amount) for r in proxies.auto_bid_activate(
+        spark.createDataFrame(lots, AUCTION),
+        spark.createDataFrame(bids, "id long, auction_id long, bidder_id long, amount decimal(10,2), is_winning boolean"),
+        spark.createDataFrame(asked, "auction_id long, user_id long, max_amount decimal(10,2), created_at timestamp_ntz").repartition(7),
+    ).collect()}
+    for lot in lots:
+        mine = [r for r in asked if r[0] == lot[0]]
+        expected = _one_at_a_time(lot[4], leaders.get(lot[0]), [(u, m) for _, u, m, _ in mine])
+        assert [got[lot[0], r[3]] for r in mine] == expected
