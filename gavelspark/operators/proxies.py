@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -176,8 +177,92 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[taken]
 
 
+def valid_log(log: DataFrame, auctions: DataFrame) -> DataFrame:
+    """The set and stop rows (id, auction_id, user_id, op, max_amount, created_at) that take effect, with the proxy's id.
+
+    As in `changes.auto_bid_upsert`: a set needs a known auction and a maximum above its current price, and a proxy keeps
+    the id of its first accepted set. A stop always takes effect on a known auction.
+    """
+    prices = auctions.select(F.col("id").alias("auction_id"), "current_price")
+    kept = log.join(prices, "auction_id").where(
+        (F.col("op") == "stop") | ((F.col("op") == "set") & (F.col("max_amount") > F.col("current_price")))
+    ).select("id", "auction_id", "user_id", "op", "max_amount", "created_at")
+    firsts = kept.where(F.col("op") == "set").groupBy("auction_id", "user_id").agg(
+        F.min(F.struct("created_at", "id"))["id"].alias("proxy_id")
+    )
+    return kept.join(firsts, ["auction_id", "user_id"], "left")
+
+
+_SWEPT = "id long, first_user long, first_cents long, second_user long, second_cents long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per auction in time order: sets and stops change the live proxies; each record bid gets the best two live ones.
+
+    A heap orders (maximum falling, proxy id) and is cleaned lazily; it is rebuilt from the live proxies when stale entries
+    outnumber them, so memory follows the live proxies of one auction, not its events.
+    """
+    auction, live, heap = object(), {}, []
+    for batch in batches:
+        rows = batch.to_pydict()
+        out = {name: [] for name in ("id", "first_user", "first_cents", "second_user", "second_cents")}
+        for at, kind, key, user, op, cents, proxy in zip(
+            *(rows[c] for c in ("auction_id", "kind", "key", "user_id", "op", "cents", "proxy_id"))
+        ):
+            if at != auction:
+                auction, live, heap = at, {}, []
+            if kind == 0:
+                if op == "set":
+                    live[user] = (cents, proxy)
+                    heapq.heappush(heap, (-cents, proxy, user))
+                else:
+                    live.pop(user, None)
+                if len(heap) > 2 * len(live) + 16:
+                    heap = [(-c, p, u) for u, (c, p) in live.items()]
+                    heapq.heapify(heap)
+                continue
+            top: list[tuple[int, int, int]] = []
+            while heap and len(top) < 2:
+                entry = heapq.heappop(heap)
+                if live.get(entry[2]) == (-entry[0], entry[1]) and all(entry[2] != t[2] for t in top):
+                    top.append(entry)
+            for entry in top:
+                heapq.heappush(heap, entry)
+            top += [(None, None, None)] * (2 - len(top))
+            out["id"].append(key)
+            for name, (c, _, u) in zip(("first", "second"), top):
+                out[f"{name}_user"].append(u)
+                out[f"{name}_cents"].append(None if c is None else -c)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(name, pa.int64()) for name in out]))
+
+
+def best_two_as_of(records: DataFrame, events: DataFrame) -> DataFrame:
+    """`records` (id, auction_id, created_at, ...) with first and second: the best two proxies live at each one's time.
+
+    A set or stop at the same time as a bid is in effect for it. Each auction's events and bids are swept in one sorted
+    stream; work and memory follow its live proxies, and a hot auction is streamed, not held.
+    """
+    bids = records.select("auction_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("id").alias("key"),
+                          F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("op"),
+                          F.lit(None).cast("long").alias("cents"), F.lit(None).cast("long").alias("proxy_id"))
+    changes = events.select("auction_id", F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.col("id").alias("key"),
+                            "user_id", "op", (F.col("max_amount") * 100).cast("long").alias("cents"), "proxy_id")
+    swept = (
+        bids.unionByName(changes).repartition("auction_id")
+        .sortWithinPartitions("auction_id", "at", "kind", "key")
+        .mapInArrow(_sweep, _SWEPT)
+    )
+
+    def proxy(name: str) -> Column:
+        return F.when(F.col(f"{name}_user").isNotNull(), F.struct(
+            F.col(f"{name}_user").alias("user_id"), (F.col(f"{name}_cents") / 100).cast("decimal(10,2)").alias("max_amount")))
+
+    return records.join(swept.select("id", proxy("first").alias("first"), proxy("second").alias("second")), "id")
+
+
 def interleaved_ledger(
-    auctions: DataFrame, attempts: DataFrame, auto_bids: DataFrame, *, lanes: int = 256, split: Split = DEFAULT
+    auctions: DataFrame, attempts: DataFrame, auto_bids: DataFrame | None = None, *, auto_log: DataFrame | None = None,
+    lanes: int = 256, split: Split = DEFAULT,
 ) -> DataFrame:
     """The bids that result when all proxies reply to each accepted bid before the next attempt.
 
@@ -187,13 +272,23 @@ def interleaved_ledger(
     and beats all before it, so such records need no order and go to separate lanes. The others
     are followed in order of amount: records of one auction between its opening price and its
     best proxy's maximum, at most one per cent of that range however long its log is.
+
+    With `auto_log` (set and stop rows) proxies answer only from their set to their next set or stop: each record meets
+    the best two that are live at its time (`best_two_as_of`), and the lanes' ceiling is the highest maximum ever set.
+    Without it, `auto_bids` holds for all time.
     """
-    ceiling = F.col("first.max_amount")
+    if auto_log is not None:
+        events = valid_log(auto_log, auctions)
+        ceilings = events.where(F.col("op") == "set").groupBy(F.col("auction_id").alias("id")).agg(F.max("max_amount").alias("top"))
+    else:
+        two = best_two(auto_bids)
+        ceilings = two.select(F.col("auction_id").alias("id"), F.col("first.max_amount").alias("top"))
+    ceiling = F.col("top")
     # Above the ceiling, the first contender at or above the buy-now price closes the auction.
     # When the buy-now price is below the ceiling that is one record at most, and whether it
     # still finds the auction open is decided in the lane of the contested ones.
     staged = (
-        auctions.join(best_two(auto_bids).withColumnRenamed("auction_id", "id"), "id", "left")
+        auctions.join(ceilings, "id", "left")
         .withColumn("asked", zero_to_null(F.col("buy_now_price")))
         .withColumn(
             "buy_now_price", F.when(F.col("asked").isNotNull(), F.greatest("asked", ceiling + F.lit(0.01).cast("decimal(10,2)")))
@@ -202,9 +297,10 @@ def interleaved_ledger(
     odd, even = _turns(F.col("bidder_id"))
     apart = F.coalesce((F.col("amount") > ceiling) & ~F.coalesce(F.col("asked") <= ceiling, F.lit(False)), F.lit(True))
     buys = F.coalesce(F.col("amount") >= F.col("asked"), F.lit(False))
+    found = lifecycle.record_bids(staged, attempts, keep=["top", "asked"], split=split)
+    found = best_two_as_of(found, events) if auto_log is not None else found.join(two, "auction_id", "left")
     records = (
-        lifecycle.record_bids(staged, attempts, keep=["first", "second", "asked"], split=split)
-        .withColumn("odd", odd)
+        found.withColumn("odd", odd)
         .withColumn("even", even)
         .select(
             "auction_id",

@@ -123,7 +123,7 @@ LIFECYCLE: dict[str, Query] = {
         d.auction_items, d.auto_bids, d.bids.where("is_winning")
     ),
     "auto_bid_activate": lambda d: proxies.auto_bid_activate(d.auction_items, d.bids, sample(d, "proxy_requests")),
-    "auto_bid_interleaved": lambda d: proxies.interleaved_ledger(d.opening, d.attempts, d.auto_bids),
+    "auto_bid_interleaved": lambda d: proxies.interleaved_ledger(d.opening, d.attempts, auto_log=sample(d, "proxy_log")),
     "new_auctions": lambda d: lifecycle.new_auctions(sample(d, "submissions"), d.as_of),
     "time_left": lambda d: lifecycle.time_left(d.auction_items, d.as_of),
 }

@@ -51,6 +51,12 @@ SAMPLES: dict[str, str] = {
         SELECT id, auction_id, bidder_id AS user_id, CASE WHEN is_winning THEN 'stop' ELSE 'set' END AS op,
           amount AS max_amount, created_at
         FROM {bids}""",
+    "proxy_log": """
+        SELECT id * 2 AS id, auction_id, user_id, 'set' AS op, max_amount, created_at + (user_id % 5) * INTERVAL '1' DAY AS created_at
+        FROM {auto_bids}
+        UNION ALL
+        SELECT id * 2 + 1, auction_id, user_id, 'stop', CAST(NULL AS DECIMAL(10,2)), created_at + (5 + user_id % 7) * INTERVAL '1' DAY
+        FROM {auto_bids} WHERE user_id % 3 = 0""",
     "proxy_requests": """
         SELECT auction_id, bidder_id AS user_id, CAST(max(amount) * 1.2 AS DECIMAL(10,2)) AS max_amount, max(created_at) AS created_at
         FROM {bids} GROUP BY auction_id, bidder_id""",

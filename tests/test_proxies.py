@@ -140,3 +140,74 @@ def test_ordered_requests_equal_one_at_a_time(spark, seed):
         mine = [r for r in asked if r[0] == lot[0]]
         expected = _one_at_a_time(lot[4], leaders.get(lot[0]), [(u, m) for _, u, m, _ in mine])
         assert [got[lot[0], r[3]] for r in mine] == expected
+
+
+LOG = "id long, auction_id long, user_id long, op string, max_amount decimal(10,2), created_at timestamp_ntz"
+
+
+def _live(events, lot, opening, at):
+    """Proxies of a lot live at time `at`: each user's latest accepted set or stop at or before it; ids of first sets."""
+    accepted = sorted((e for e in events if e[1] == lot and (e[3] == "stop" or e[4] > opening)), key=lambda e: (e[5], e[0]))
+    firsts, state = {}, {}
+    for e in accepted:
+        if e[3] == "set":
+            firsts.setdefault(e[2], e[0])
+        if e[5] <= at:
+            state[e[2]] = e
+    return [(firsts[u], lot, u, e[4], True) for u, e in state.items() if e[3] == "set"]
+
+
+def _play_in_time(auction, attempts, events):
+    _, seller, _, price, _, buy_now, end, status = auction
+    opening, bids = price, []
+    for number, _, bidder, amount, at in sorted(attempts, key=lambda a: (a[4], a[0])):
+        if status != "active" or at > end or bidder == seller or amount <= price:
+            status = "closed" if status == "active" and at > end else status
+            continue
+        price = amount
+        bids.append((number, bidder, amount))
+        if buy_now and amount >= buy_now:
+            status = "closed"
+            continue
+        for user, raised in battle(price, bidder, _live(events, auction[0], opening, at)):
+            bids.append((number, user, raised))
+            price = raised
+    return bids
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_proxies_answer_only_while_set(spark, seed):
+    import random
+
+    lots, log, rivals = random_world(seed, attempts=40)
+    rnd = random.Random(seed)
+    events = []
+    for k, (pid, lot, user, most, _) in enumerate(rivals):
+        events.append((2 * k, lot, user, "set", most, START + timedelta(seconds=rnd.randint(0, 30))))
+        if rnd.random() < 0.5:
+            events.append((2 * k + 1, lot, user, "stop", None, START + timedelta(seconds=rnd.randint(0, 50))))
+        if rnd.random() < 0.3:
+            events.append((10_000 + k, lot, user, "set", most + 7, START + timedelta(seconds=rnd.randint(10, 50))))
+    rows = proxies.interleaved_ledger(
+        spark.createDataFrame(lots, AUCTION), spark.createDataFrame(log, ATTEMPT), auto_log=spark.createDataFrame(events, LOG), lanes=4,
+    ).collect()
+    expected = {}
+    for lot in lots:
+        for attempt, bidder, amount in _play_in_time(lot, [a for a in log if a[1] == lot[0]], events):
+            step = sum(a == attempt for a, _ in expected)
+            expected[attempt, step] = (bidder, amount)
+    assert {(r.attempt_id, r.step): (r.bidder_id, r.amount) for r in rows} == expected
+    assert any(r.is_auto for r in rows)
+
+
+def test_a_proxy_set_later_or_stopped_is_silent(spark):
+    lot = (1, 9, "lot", Decimal(10), Decimal(10), None, START + timedelta(days=1), "active")
+    bids = [(1, 1, 7, Decimal(11), START + timedelta(seconds=10)), (2, 1, 7, Decimal(20), START + timedelta(seconds=30))]
+    events = [(1, 1, 5, "set", Decimal(50), START + timedelta(seconds=20)), (2, 1, 5, "stop", None, START + timedelta(seconds=25)),
+              (3, 1, 6, "set", Decimal(15), START + timedelta(seconds=5))]
+    rows = proxies.interleaved_ledger(
+        spark.createDataFrame([lot], AUCTION), spark.createDataFrame(bids, ATTEMPT), auto_log=spark.createDataFrame(events, LOG),
+    ).collect()
+    made = sorted((r.attempt_id, r.step, r.bidder_id, r.amount) for r in rows)
+    # The first bid meets only proxy 6 (5 is set later); the second meets nobody (5 stopped, 6 is below it).
+    assert made == [(1, 0, 7, Decimal(11)), (1, 1, 6, Decimal(12)), (2, 0, 7, Decimal(20))]
