@@ -195,6 +195,7 @@ STREAMS: dict[str, Query] = {
     "stream_live_board": runs.live_board,
     "stream_auction_price": runs.auction_price,
     "stream_auto_close": runs.expiry_events,
+    "stream_listings": runs.listing_events,
     "stream_notices": runs.notices,
     "stream_unread": runs.unread,
     "rate_limit_stream": lambda d: runs.admitted(d, 2, DAY),

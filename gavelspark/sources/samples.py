@@ -51,6 +51,20 @@ SAMPLES: dict[str, str] = {
         SELECT id, auction_id, bidder_id AS user_id, CASE WHEN is_winning THEN 'stop' ELSE 'set' END AS op,
           amount AS max_amount, created_at
         FROM {bids}""",
+    "auction_changes": """
+        SELECT id AS auction_id, 'delete' AS op, start_time + INTERVAL '3' DAY AS created_at, CAST(NULL AS BIGINT) AS seller_id,
+          CAST(NULL AS DECIMAL(10,2)) AS starting_price, CAST(NULL AS DECIMAL(10,2)) AS buy_now_price,
+          CAST(NULL AS TIMESTAMP_NTZ) AS end_time, CAST(NULL AS STRING) AS status
+        FROM {auction_items} WHERE status IN ('active', 'closed') AND id % 13 = 0
+        UNION ALL
+        SELECT id, 'list', start_time + INTERVAL '6' DAY, seller_id, starting_price, buy_now_price, end_time, CAST(NULL AS STRING)
+        FROM {auction_items} WHERE (status IN ('active', 'closed') AND id % 13 = 0) OR status = 'upcoming'
+        UNION ALL
+        SELECT id, 'patch', start_time + INTERVAL '1' DAY, NULL, NULL, NULL, end_time + INTERVAL '2' DAY, NULL
+        FROM {auction_items} WHERE status IN ('active', 'closed') AND id % 5 = 0
+        UNION ALL
+        SELECT id, 'patch', start_time + INTERVAL '10' DAY, NULL, NULL, NULL, NULL, 'cancelled'
+        FROM {auction_items} WHERE status IN ('active', 'closed') AND id % 11 = 0""",
     "proxy_log": """
         SELECT id * 2 AS id, auction_id, user_id, 'set' AS op, max_amount, created_at + (user_id % 5) * INTERVAL '1' DAY AS created_at
         FROM {auto_bids}

@@ -176,3 +176,183 @@ def notices(events: DataFrame) -> DataFrame:
         "user_id", "auction_id", F.when(outbid, "outbid").otherwise("auction_won").alias("type"),
         text.alias("message"), F.lit(False).alias("is_read"), F.col("at").alias("created_at"),
     )
+
+
+_LISTED = "status string, price long, leader long, bids int, seller long, buy_now long, end_at long, judged_to long, timer long"
+_HELD = "at long, ord int, id long, bidder long, cents long, op string, seller long, opening long, buy_now long, end_at long, status string"
+_HELD_COLUMNS = [part.split()[0] for part in _HELD.split(", ")]
+# What a change row may do.
+CHANGE_OPS = ("list", "patch", "delete")
+
+
+def _int(value) -> int | None:
+    return None if value is None or pd.isna(value) else int(value)
+
+
+def _held_rows(frame: pd.DataFrame) -> list[tuple]:
+    """Rows as the list state takes them: Python values, None for missing ones."""
+    kinds = [str if name in ("op", "status") else int for name in _HELD_COLUMNS]
+    return [tuple(None if v is None or (not isinstance(v, str) and pd.isna(v)) else k(v) for k, v in zip(kinds, row))
+            for row in frame[_HELD_COLUMNS].itertuples(index=False)]
+
+
+class ListingDesk(StatefulProcessor):
+    """Attempts and auction changes of one auction, judged together in order of (time, changes first, id).
+
+    State begins `unlisted` unless the auction is in the initial state. Rows wait until the stream's clock (the watermark)
+    has passed them, in a list state, and are then applied one by one:
+    - `list` opens an unlisted auction with its seller, opening price, buy-now price and end (status `active`, or the
+      row's status); a second listing is ignored.
+    - `patch` sets end and status where the row has them, as an owner's edit does; on an unlisted auction it does nothing.
+    - `delete` makes the auction unlisted again, so later attempts meet an unknown auction.
+    - an attempt gets the batch replay's outcome: unknown_auction, not_active, ended (which closes the auction), self, low
+      or ok; ok raises the price and may buy the auction out. Every attempt gets a ruling.
+    With `close_on_expiry` an active auction closes when the clock passes its end, before any later row.
+    """
+
+    def __init__(self, close_on_expiry: bool):
+        self.close_on_expiry = close_on_expiry
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.auction = handle.getValueState("auction", _LISTED)
+        self.held = handle.getListState("held", _HELD)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rule = initialState.iloc[0]
+        end = int(rule["end_at"])
+        self.auction.update(("active", int(rule["opening"]), None, 0, _int(rule["seller_id"]), int(rule["buy_now"]), end, -(2**62), None))
+        if self.close_on_expiry:
+            self.handle.registerTimer(_ms(end))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = self.auction.get() or ("unlisted", 0, None, 0, None, 0, 0, -(2**62), None)
+        status, price, leader, bids, seller, buy_now, end, judged_to, timer = state
+        late, first = [], None
+        for frame in rows:
+            frame = frame[frame["at"].notna()]
+            passed = frame["at"].to_numpy() <= judged_to
+            late.append(frame[passed & frame["op"].isna().to_numpy()])
+            fresh = frame[~passed]
+            if len(fresh):
+                self.held.appendList(_held_rows(fresh))
+                least = int(fresh["at"].min())
+                first = least if first is None else min(first, least)
+        if first is not None and (timer is None or _ms(first) < timer):
+            self.handle.registerTimer(_ms(first))
+            timer = _ms(first)
+        self.auction.update((status, price, leader, bids, seller, buy_now, end, judged_to, timer))
+        for frame in late:
+            if len(frame):
+                n = len(frame)
+                yield pd.DataFrame({
+                    "auction_id": np.full(n, key[0]), "kind": "late", "bid_id": frame["id"].to_numpy(), "bidder_id": frame["bidder"].to_numpy(),
+                    "cents": frame["cents"].to_numpy(), "total_bids": None, "displaced": None, "closes": False, "at": frame["at"].to_numpy()}, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, price, leader, bids, seller, buy_now, end, judged_to, _ = self.auction.get()
+        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 - 1000
+        held = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=_HELD_COLUMNS)
+        held = held.sort_values(["at", "ord", "id"], kind="stable")
+        due, rest = held[held["at"] <= clock], held[held["at"] > clock]
+        rulings = []
+
+        def expire(upto: int) -> None:
+            nonlocal status
+            if self.close_on_expiry and status == "active" and end <= upto:
+                status = "closed"
+                rulings.append((key[0], "expired", None, leader, 0 if leader is None else price, bids, None, True, end))
+
+        for row in due.itertuples(index=False):
+            expire(row.at - 1)
+            if isinstance(row.op, str):
+                if row.op == "list" and status == "unlisted":
+                    status = row.status if isinstance(row.status, str) else "active"
+                    price, leader, bids = int(row.opening), None, 0
+                    seller, buy_now, end = _int(row.seller), _int(row.buy_now) or 0, int(row.end_at)
+                    if self.close_on_expiry:
+                        self.handle.registerTimer(_ms(end))
+                elif row.op == "patch" and status != "unlisted":
+                    end = _int(row.end_at) or end
+                    status = row.status if isinstance(row.status, str) else status
+                    if self.close_on_expiry:
+                        self.handle.registerTimer(_ms(end))
+                elif row.op == "delete":
+                    status, price, leader, bids = "unlisted", 0, None, 0
+                continue
+            bidder, cents, at = _int(row.bidder), int(row.cents), int(row.at)
+            if status == "unlisted":
+                kind = "unknown_auction"
+            elif status != "active":
+                kind = "not_active"
+            elif at > end:
+                kind, status = "ended", "closed"
+            elif seller is not None and bidder == seller:
+                kind = "self"
+            elif cents <= price:
+                kind = "low"
+            else:
+                bids, closes = bids + 1, 0 < buy_now <= cents
+                rulings.append((key[0], "placed", int(row.id), bidder, cents, bids, leader if leader != bidder else None, closes, at))
+                price, leader = cents, bidder
+                status = "closed" if closes else status
+                continue
+            rulings.append((key[0], kind, int(row.id), bidder, cents, None, None, kind == "ended", at))
+        expire(clock)
+        self.held.clear()
+        timer = None
+        if len(rest):
+            self.held.put(_held_rows(rest))
+            timer = _ms(int(rest["at"].iloc[0]))
+            self.handle.registerTimer(timer)
+        self.auction.update((status, price, leader, bids, seller, buy_now, end, max(judged_to, clock), timer))
+        if rulings:
+            yield pd.DataFrame(rulings, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def listing_events(
+    attempts: DataFrame, changes: DataFrame, auctions: DataFrame, lateness: str, *, close_on_expiry: bool = False,
+) -> DataFrame:
+    """A ruling for every attempt, on auctions that are listed, patched or deleted while the stream runs.
+
+    `changes` (auction_id, op, created_at, seller_id, starting_price, buy_now_price, end_time, status) is a second stream keyed
+    like the attempts; `auctions` active at the start are the initial state. Columns: kind (placed, expired, late, or the
+    outcome that refused the attempt), auction_id, bid_id, user_id, amount, total_bids, closes, at, displaced.
+    """
+    rules = auctions.where(F.col("status") == "active").select(
+        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"), _cents(F.col("starting_price")).alias("opening"),
+        F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
+    )
+    none = F.lit(None)
+    tried = [
+        F.col("auction_id"), micros(F.col("created_at")).alias("at"), F.lit(1).alias("ord"), F.col("id"), F.col("bidder_id").alias("bidder"),
+        _cents(F.col("amount")).alias("cents"), none.cast("string").alias("op"), none.cast("long").alias("seller"),
+        none.cast("long").alias("opening"), none.cast("long").alias("buy_now"), none.cast("long").alias("end_at"), none.cast("string").alias("status"),
+    ]
+    changed = [
+        F.col("auction_id"), micros(F.col("created_at")).alias("at"), F.lit(0).alias("ord"), F.lit(-1).cast("long").alias("id"),
+        none.cast("long").alias("bidder"), F.lit(0).cast("long").alias("cents"), F.col("op"), F.col("seller_id").alias("seller"),
+        _cents(F.col("starting_price")).alias("opening"), _cents(zero_to_null(F.col("buy_now_price"))).alias("buy_now"),
+        micros(F.col("end_time")).alias("end_at"), F.col("status"),
+    ]
+    clock = F.col("created_at").cast("timestamp").alias("clock")
+    early = F.lit("0001-01-02").cast("timestamp")
+    ticking = (
+        attempts.select(clock, *tried).withWatermark("clock", lateness).where(F.col("clock") < early)
+        .unionByName(changes.select(clock, *changed).withWatermark("clock", lateness).where(F.col("clock") < early))
+    )
+    rows = (
+        attempts.dropna(subset=["id", "auction_id", "created_at", "amount"]).select(F.lit(None).cast("timestamp").alias("clock"), *tried)
+        .unionByName(changes.dropna(subset=["auction_id", "created_at", "op"]).where(F.col("op").isin(*CHANGE_OPS))
+                     .select(F.lit(None).cast("timestamp").alias("clock"), *changed))
+    )
+    rulings = ticking.unionByName(rows).groupBy("auction_id").transformWithStateInPandas(
+        ListingDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=rules.groupBy("auction_id")
+    )
+    return rulings.select(
+        "kind", "auction_id", "bid_id", F.col("bidder_id").alias("user_id"), (F.col("cents") / 100).cast("decimal(10,2)").alias("amount"),
+        "total_bids", "closes", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "displaced",
+    )

@@ -31,6 +31,24 @@ def _attempts(d: AuctionData) -> DataFrame:
     return logs.read_log(d.attempts.sparkSession, folder, d.attempts.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
 
 
+def _changes(d: AuctionData) -> DataFrame:
+    """Listings, patches and deletions as a stream in order of time, ended like the attempts by a row that moves the time."""
+    from gavelspark.sources.samples import sample
+
+    rows = sample(d, "auction_changes")
+    folder = logs.stage_in_order(rows, "created_at", "changes")
+    last = d.attempts.agg(F.max("created_at").alias("last"))
+    after = F.col("last") + F.expr("interval 2 seconds")
+    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    last.where("last is not null").select(*row).write.mode("append").parquet(folder)
+    return logs.read_log(d.attempts.sparkSession, folder, rows.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
+
+
+def listing_events(d: AuctionData) -> DataFrame:
+    """A ruling for every attempt while auctions are listed, patched and deleted on the same stream."""
+    return logs.append_run(desk.listing_events(_attempts(d), _changes(d), d.opening, LATENESS), "listings")
+
+
 def bid_events(d: AuctionData) -> DataFrame:
     return logs.append_run(desk.bid_events(_attempts(d), d.opening, LATENESS), "bid-events")
 

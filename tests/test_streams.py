@@ -119,3 +119,91 @@ def test_unread_totals(spark):
     notices = spark.createDataFrame([(1, False), (1, False), (2, False)], "user_id long, is_read boolean")
     assert {r.user_id: r.unread for r in boards.unread(notices).collect()} == {1: 2, 2: 1}
     assert boards.unread(notices.where(F.col("is_read"))).count() == 0
+
+
+CHANGE = "auction_id long, op string, created_at timestamp_ntz, seller_id long, starting_price decimal(10,2), " \
+    "buy_now_price decimal(10,2), end_time timestamp_ntz, status string"
+
+
+def one_by_one(lots, attempts, changes):
+    """Outcome of every attempt when changes and attempts are applied in order of (time, changes first)."""
+    state = {lot[0]: dict(status=lot[7], price=lot[3], seller=lot[1], buy=lot[5] or 0, end=lot[6]) for lot in lots if lot[7] == "active"}
+    rows = sorted([(c[2], 0, 0, c) for c in changes] + [(a[4], 1, a[0], a) for a in attempts], key=lambda r: r[:3])
+    out = {}
+    for _, kind, _, row in rows:
+        if kind == 0:
+            auction, op, _, seller, opening, buy, end, status = row
+            s = state.get(auction)
+            if op == "list" and s is None:
+                state[auction] = dict(status=status or "active", price=opening, seller=seller, buy=buy or 0, end=end)
+            elif op == "patch" and s is not None:
+                s["end"], s["status"] = end or s["end"], status or s["status"]
+            elif op == "delete":
+                state.pop(auction, None)
+            continue
+        number, auction, bidder, amount, at = row
+        s = state.get(auction)
+        if s is None:
+            out[number] = "unknown_auction"
+        elif s["status"] != "active":
+            out[number] = "not_active"
+        elif at > s["end"]:
+            out[number], s["status"] = "ended", "closed"
+        elif bidder == s["seller"]:
+            out[number] = "self"
+        elif amount <= s["price"]:
+            out[number] = "low"
+        else:
+            out[number], s["price"] = "placed", amount
+            if 0 < s["buy"] <= amount:
+                s["status"] = "closed"
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_listings_patches_and_deletes_in_any_number_of_batches(spark, parts):
+    lots, log, _ = random_world(11, auctions=20, attempts=30)
+    pick = Random(parts)
+    changes = []
+    for lot in range(20, 26):
+        opening = Decimal(pick.randint(1, 20))
+        changes.append((lot, "list", START + timedelta(seconds=pick.randint(0, 40)), pick.randint(0, 4), opening,
+                        pick.choice([None, Decimal(60)]), START + timedelta(seconds=pick.randint(30, 60)), None))
+        for n in range(pick.randint(5, 25)):
+            log.append((lot * 1000 + n, lot, pick.randint(0, 5), Decimal(pick.randint(100, 9000)) / 100, START + timedelta(seconds=pick.randint(0, 50))))
+    for lot in pick.sample(range(26), 8):
+        at = START + timedelta(seconds=pick.randint(0, 50))
+        changes.append(pick.choice([
+            (lot, "patch", at, None, None, None, at + timedelta(seconds=30), None), (lot, "patch", at, None, None, None, None, "cancelled"),
+            (lot, "delete", at, None, None, None, None, None),
+        ]))
+    log.sort(key=lambda a: (a[4], a[0]))
+    changes.sort(key=lambda c: c[2])
+    last = max(a[4] for a in log) + timedelta(seconds=2)
+    folder_a, folder_c = logs.fresh_folder(spark, "attempts"), logs.fresh_folder(spark, "changes")
+    for rows, schema, folder, tick in ((log, ATTEMPT, folder_a, (None, None, None, None, last)),
+                                       (changes, CHANGE, folder_c, (None, None, last, None, None, None, None, None))):
+        rows = [*rows, tick]
+        size = len(rows) // parts + 1
+        for start in range(0, len(rows), size):
+            spark.createDataFrame(rows[start:start + size], schema).coalesce(1).write.mode("append").parquet(folder)
+    read = [spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            for schema, folder in ((ATTEMPT, folder_a), (CHANGE, folder_c))]
+    got = logs.append_run(desk.listing_events(*read, spark.createDataFrame(lots, AUCTION), "0 seconds"), "listings").collect()
+    assert {r.bid_id: r.kind for r in got} == one_by_one(lots, log, changes)
+    assert any(r.kind == "placed" and r.auction_id >= 20 for r in got) and any(r.kind == "unknown_auction" for r in got)
+
+
+def test_listing_query_equals_one_by_one_on_the_tables(spark):
+    from gavelspark.plans.queries import ALL, on_folder
+    from gavelspark.sources.mapped import AuctionData
+    from gavelspark.sources.samples import sample
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.bid_id: r.kind for r in on_folder(ALL["stream_listings"])(spark, folder).collect()}
+    d = AuctionData(spark, folder)
+    lots = [tuple(r) for r in d.opening.select("id", "seller_id", "title", "starting_price", "current_price", "buy_now_price",
+                                                "end_time", "status").collect()]
+    changes = [tuple(r) for r in sample(d, "auction_changes").collect()]
+    attempts = [tuple(r) for r in d.attempts.collect()]
+    assert got == one_by_one(lots, attempts, changes)
