@@ -51,7 +51,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>|<[!?][^>]*>", re.I | re.S)
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>"
+    r"|<(?P<loose_end>/?)(?P<loose_tag>[a-z][a-z0-9:-]*)(?P<loose_rest>[^<>]*)>|<[!?][^>]*>", re.I | re.S)
+# The tag alternative never gives back what it took (possessive), so a tag that is never closed costs one pass, not one for
+# each way of pairing its quotes; where quotes leave no `>`, the loose alternative ends the tag at the first `>` instead.
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -137,12 +140,13 @@ class Page:
                 text.append(source[at:token.start()])
                 linked += (token.start() - at) * in_link
             at = token.end()
-            tag = token["tag"]
+            loose = token["tag"] is None
+            tag, end, rest = (token["loose_tag"], token["loose_end"], token["loose_rest"]) if loose else (token["tag"], token["end"], token["rest"])
             if not tag:
                 continue
             tag = tag.lower()
             if tag == "a":
-                in_link = not token["end"]
+                in_link = not end
             if tag == "br" or (tag in VOID and tag != "hr"):
                 text.append(" ")
             if tag not in BLOCKS and tag not in NEVER:
@@ -150,7 +154,7 @@ class Page:
             flush()
             if tag in VOID:
                 continue
-            if token["end"]:
+            if end:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
@@ -158,7 +162,7 @@ class Page:
                 continue
             if stack[-1][0] in CLOSED_BY_BLOCK or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag):
                 stack.pop()
-            step, gone, likely = _describe(tag, token["rest"])
+            step, gone, likely = _describe(tag, rest)
             _, outer, holder, path, suspect = stack[-1]
             path = f"{path}>{step}" if path else step
             gone |= outer or tag in NEVER or (tag == "header" and "article" not in path and "main" not in path)
@@ -174,7 +178,7 @@ class Page:
                     suspects[at_suspect].main = True
                     at_suspect = suspects[at_suspect].parent
             stack.append((tag, gone, holder, path, suspect))
-            if token["rest"].endswith("/") and tag not in CONTAINERS:
+            if rest.endswith("/") and tag not in CONTAINERS:
                 stack.pop()
         if not stack[-1][1]:
             text.append(source[at:])

@@ -118,3 +118,16 @@ def test_two_templates_of_a_host(spark):
     rows = [(k, "http://a.com/1", first if k % 3 else second, None, None) for k in range(9)]
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {k: "\n\n".join(body if k % 3 else body[::-1]) for k in range(9)}
+
+
+def test_a_tag_that_never_closes_costs_one_pass():
+    import time
+
+    for pairs in (28, 10_000):
+        page = "<article><p>" + "Words of the story go on here. " * 20 + "</p><div class=\"a" + '""' * pairs + " <p>Last words.</p></article>"
+        started = time.perf_counter()
+        got = text_of(page)
+        assert time.perf_counter() - started < 1.0
+        assert got.startswith("Words of the story") and got.endswith("Last words.")
+    assert text_of("<p>a</p><a b=\"c>\" x <p>y</p>").endswith("y")
+    assert text_of("<p title=\"x > y\">z</p>") == "z"
