@@ -9,8 +9,8 @@ ceil(|a|/2) equal b's (the edit lies in one half only). So every word goes to fo
 (prefix and suffix key), and as the longer word of a pair whose shorter has one code point less. Each near pair then meets in a
 block keyed by the shorter word's length and half; blocks hold distinct words that share half of their letters, never occurrences.
 
-Scan. In each block the words are sorted (suffix blocks by their reversed spelling) and, for every word q of the block, the list is
-walked in order. The edit matrix of q against the current word is kept row by row, each row only the three cells around the
+Scan. In each block the words are sorted (suffix blocks by their reversed spelling); every word q of the block's own length walks
+the later words of its length and all words one longer, in order, and a pair found is reported both ways round. The edit matrix of q against the current word is kept row by row, each row only the three cells around the
 diagonal (distances above 1 are all 2). A word shares its first LCP rows with the word before it, so only the rows after the common
 prefix are computed; when a row has no cell of 1 or less, every word with that prefix is skipped at once (they form one range of the
 sorted list, found by bisection). Pairs from several blocks are made distinct.
@@ -75,54 +75,70 @@ def blocks(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode(F.array(*rows)).alias("b")).select("b.*")
 
 
-def _row(before: tuple[int, int, int], ch: str, q: str, t: int) -> tuple[int, int, int]:
-    """Cells t-1, t, t+1 of row t of the edit matrix of a word (whose t-th letter is ch) against q, capped at 2."""
-    a0, b0, c0 = before  # row t-1 at columns t-2, t-1, t
-    m = len(q)
-
-    def cost(j: int) -> int:
-        return 0 if 0 < j <= m and q[j - 1] == ch else 1
+def _scan(q: str, words: list[str], start: int = 0) -> Iterator[str]:
+    """The words of a sorted list, from `start`, exactly one edit away from q.
 
-    a = min(b0 + 1, a0 + cost(t - 1), 2) if 0 <= t - 1 <= m else 2
-    b = min(c0 + 1, a + 1, b0 + cost(t), 2) if t <= m else 2
-    c = min(b + 1, c0 + cost(t + 1), 2) if t + 1 <= m else 2
-    return a, b, c
+    rows[t] holds cells t-1, t, t+1 of row t of the edit matrix of the current prefix against q, capped at 2. A word keeps the
+    rows of the prefix it shares with the word before; a row without a cell below 2 ends every word of that prefix at once.
+    """
+    m = len(q)
+    rows = [(2, 0, 1 if m >= 1 else 2)]
+    prefix, i = "", start
+    while i < len(words):
+        w = words[i]
+        common, limit = 0, min(len(prefix), len(w), len(rows) - 1)
+        while common < limit and prefix[common] == w[common]:
+            common += 1
+        del rows[common + 1:]
+        a0, b0, c0 = rows[-1]
+        dead = 0
+        for t in range(common + 1, len(w) + 1):
+            ch = w[t - 1]
+            a = min(b0 + 1, a0 + (0 if 2 <= t <= m + 1 and q[t - 2] == ch else 1), 2) if t - 1 <= m else 2
+            b = min(c0 + 1, a + 1, b0 + (0 if t <= m and q[t - 1] == ch else 1), 2) if t <= m else 2
+            c = min(b + 1, c0 + (0 if t < m and q[t] == ch else 1), 2) if t + 1 <= m else 2
+            rows.append((a, b, c))
+            if a > 1 and b > 1 and c > 1:
+                dead = t
+                break
+            a0, b0, c0 = a, b, c
+        if dead:
+            prefix = w[:dead]
+            i = bisect_left(words, prefix + _END, i)
+            continue
+        prefix = w
+        shift = m - len(w)
+        if -1 <= shift <= 1 and rows[-1][shift + 1] == 1:
+            yield w
+        i += 1
 
 
 def near_in_block(words: list[str]) -> Iterator[tuple[str, str]]:
-    """(q, w) for every two words of a sorted list exactly one edit apart, by the scan described above."""
-    for q in words:
-        rows = [(2, 0, 1 if len(q) >= 1 else 2)]
-        prefix, i = "", 0
-        while i < len(words):
-            w = words[i]
-            common = 0
-            limit = min(len(prefix), len(w), len(rows) - 1)
-            while common < limit and prefix[common] == w[common]:
-                common += 1
-            del rows[common + 1:]
-            dead = 0
-            for t in range(common + 1, len(w) + 1):
-                rows.append(_row(rows[-1], w[t - 1], q, t))
-                if min(rows[-1]) > 1:
-                    dead = t
-                    break
-            if dead:
-                prefix = w[:dead]
-                i = bisect_left(words, prefix + _END, i)
-                continue
-            prefix = w
-            shift = len(q) - len(w)
-            if -1 <= shift <= 1 and rows[-1][shift + 1] == 1:
-                yield q, w
-            i += 1
+    """(q, w) for every two words of a sorted list exactly one edit apart, both ways round, by the scan of `_scan`."""
+    for k, q in enumerate(words):
+        for w in _scan(q, words, k + 1):
+            yield q, w
+            yield w, q
+
+
+def _block_pairs(size: int, words: list[str]) -> Iterator[tuple[str, str]]:
+    """Pairs of a block: each word of the block's own length against the later ones of that length and all longer ones."""
+    own = sorted(w for w in words if len(w) == size)
+    longer = sorted(w for w in words if len(w) == size + 1)
+    for k, q in enumerate(own):
+        for w in _scan(q, own, k + 1):
+            yield q, w
+            yield w, q
+        for w in _scan(q, longer):
+            yield q, w
+            yield w, q
 
 
 def _pairs_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found = []
-        for side, words in zip(frame["side"], frame["words"]):
-            pairs = near_in_block(sorted(words))
+        for side, size, words in zip(frame["side"], frame["size"], frame["words"]):
+            pairs = _block_pairs(int(size), list(words))
             found += [(a[::-1], b[::-1]) for a, b in pairs] if side == "s" else list(pairs)
         yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
@@ -131,7 +147,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     """a, b: both directions of every pair of vocabulary words exactly one edit apart."""
     return (blocks(vocab).groupBy("side", "size", "half").agg(F.collect_set("spelled").alias("words"))
             .where(F.size("words") > 1)
-            .select("side", "words")
+            .select("side", "size", "words")
             .mapInPandas(_pairs_of, "a string, b string")
             .distinct())
 
