@@ -198,6 +198,7 @@ STREAMS: dict[str, Query] = {
     "stream_listings": runs.listing_events,
     "stream_notices": runs.notices,
     "stream_unread": runs.unread,
+    "stream_unread_read": runs.unread_after_reads,
     "rate_limit_stream": lambda d: runs.admitted(d, 2, DAY),
 }
 

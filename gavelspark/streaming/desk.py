@@ -164,16 +164,20 @@ def named(events: DataFrame, users: DataFrame) -> DataFrame:
     return events.join(users.select(F.col("id").alias("user_id"), "username"), "user_id", "left")
 
 
-def notices(events: DataFrame) -> DataFrame:
-    """Notices that events give rise to: to displaced leaders, and to winners at expiry."""
+def notices(events: DataFrame, with_id: bool = False) -> DataFrame:
+    """Notices that events give rise to: to displaced leaders, and to winners at expiry.
+
+    With `with_id` the batch form's ids come first: twice the displacing bid's id, or twice the auction's id plus one.
+    """
     outbid = F.col("event_type") == "outbid"
     won = (F.col("event_type") == "auction-closed") & F.col("bid_id").isNull() & F.col("user_id").isNotNull()
     # The notice texts.
     text = F.when(
         outbid, F.concat(F.lit("You've been outbid on \""), "auction_title", F.lit("\"! New price: ₹"), money(F.col("amount")))
     ).otherwise(F.concat(F.lit("Congratulations! You won \""), "auction_title", F.lit("\" for ₹"), money(F.col("amount"))))
+    ids = [F.when(outbid, F.col("bid_id") * 2).otherwise(F.col("auction_id") * 2 + 1).alias("id")] if with_id else []
     return events.where(outbid | won).select(
-        "user_id", "auction_id", F.when(outbid, "outbid").otherwise("auction_won").alias("type"),
+        *ids, "user_id", "auction_id", F.when(outbid, "outbid").otherwise("auction_won").alias("type"),
         text.alias("message"), F.lit(False).alias("is_read"), F.col("at").alias("created_at"),
     )
 

@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.streaming import boards, desk, limiter, logs
+from gavelspark.streaming import boards, desk, limiter, logs, reading
 
 if TYPE_CHECKING:
     from gavelspark.sources.mapped import AuctionData
@@ -72,6 +72,19 @@ def unread(d: AuctionData) -> DataFrame:
     return logs.update_run(boards.unread(_streamed(notices(d), "notices")), ["user_id"], "unread")
 
 
+def unread_after_reads(d: AuctionData) -> DataFrame:
+    """Unread notices per user while acknowledgements (one notice, or all up to a time) stream in beside them."""
+    from gavelspark.sources.samples import sample
+
+    events = desk.bid_events(_attempts(d), d.opening, LATENESS, close_on_expiry=True)
+    told = _streamed(logs.append_run(desk.notices(events, with_id=True), "notices"), "notices")
+    last = d.attempts.agg(F.max("created_at")).first()[0]
+    acks = sample(d, "acks").select(
+        "user_id", "notification_id", (F.lit(last).cast("timestamp_ntz") + F.expr("interval 1 day")).alias("created_at"),
+    )
+    return logs.update_run(reading.unread_with_reads(told, _streamed(acks, "acks")), ["user_id"], "unread-read")
+
+
 def live_board(d: AuctionData) -> DataFrame:
     newest = boards.newest_bids(_streamed(d.attempts, "attempts"))
     return boards.board(logs.update_run(newest, ["auction_id", "bidder_id"], "board"))

@@ -207,3 +207,44 @@ def test_listing_query_equals_one_by_one_on_the_tables(spark):
     changes = [tuple(r) for r in sample(d, "auction_changes").collect()]
     attempts = [tuple(r) for r in d.attempts.collect()]
     assert got == one_by_one(lots, attempts, changes)
+
+
+NOTICE = "id long, user_id long, created_at timestamp_ntz"
+ACK = "user_id long, notification_id long, created_at timestamp_ntz"
+
+
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_unread_falls_when_notices_are_read_in_any_order(spark, parts):
+    from gavelspark.operators import changes, reads
+    from gavelspark.streaming import reading
+
+    pick = Random(parts)
+    notices = [(k, pick.randint(1, 6), START + timedelta(seconds=pick.randint(0, 100))) for k in range(120)]
+    acks = [(u, k, START + timedelta(seconds=pick.randint(0, 200))) for k, u, _ in pick.sample(notices, 50)]
+    acks += [(u + 1, k, START) for k, u, _ in pick.sample(notices, 10)]  # another user's ack reads nothing
+    acks += [(3, None, START + timedelta(seconds=500)), (5, None, START + timedelta(seconds=40))]
+    rows = [("n", n) for n in notices] + [("a", a) for a in acks]
+    pick.shuffle(rows)
+    folder_n, folder_a = logs.fresh_folder(spark, "notices"), logs.fresh_folder(spark, "acks")
+    size = len(rows) // parts + 1
+    for start in range(0, len(rows), size):
+        part = rows[start:start + size]
+        spark.createDataFrame([r for kind, r in part if kind == "n"], NOTICE).coalesce(1).write.mode("append").parquet(folder_n)
+        spark.createDataFrame([r for kind, r in part if kind == "a"], ACK).coalesce(1).write.mode("append").parquet(folder_a)
+    streams = [spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+               for schema, folder in ((NOTICE, folder_n), (ACK, folder_a))]
+    got = {r.user_id: r.unread for r in logs.update_run(reading.unread_with_reads(*streams), ["user_id"], "unread").collect()}
+    expected = {}
+    for k, u, at in notices:
+        read = any(a[0] == u and a[1] == k for a in acks) or any(a[0] == u and a[1] is None and a[2] >= at for a in acks)
+        expected[u] = expected.get(u, 0) + (not read)
+    assert got == expected
+    # Where every read-all comes after the notices, the batch form gives the same counts as this expectation.
+    later = [a for a in acks if a[1] is not None] + [(3, None, START + timedelta(seconds=500))]
+    batch = spark.createDataFrame([(k, u, at, False) for k, u, at in notices], "id long, user_id long, created_at timestamp_ntz, is_read boolean")
+    counted = {r.user_id: r.unread for r in reads.unread_count(changes.mark_read(batch, spark.createDataFrame(later, ACK))).collect()}
+    expected_later = {}
+    for k, u, at in notices:
+        read = any(a[0] == u and a[1] == k for a in later) or any(a[0] == u and a[1] is None and a[2] >= at for a in later)
+        expected_later[u] = expected_later.get(u, 0) + (not read)
+    assert counted == expected_later
