@@ -73,8 +73,9 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Weights, the bias last, from at most `rows` of the labelled documents outside the held-out fold."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 0))
-    marks = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    mark = F.col("quality").try_cast("double")  # labels may be stored as any number or as text
+    usable = labels.where(mark.isin(0.0, 1.0) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), FOLDS) != 0))
+    marks = usable.groupBy("doc_id").agg(F.min(mark).cast("int").alias("quality"))
     picked = docs.select("doc_id", "text").join(F.broadcast(sampled(marks, "doc_id", rows)), "doc_id")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -86,3 +86,12 @@ def test_edges(spark):
         assert len(rows) == len(edge_rows()) and all(0 <= r.score <= 1 for r in rows)
         assert len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert quality.scored(nothing(spark), quality.fit(nothing(spark), labels)).count() == 0
+
+
+def test_labels_of_any_number_type_or_text(spark):
+    docs = edges(spark)
+    rows = [(5, 1, 0), (6, 0, 0), (8, 1, 0), (9, 0, 0), (10, 1, 0), (7, None, 0)]
+    base = quality.fit(docs, spark.createDataFrame(rows, LABELS))
+    for kind in ("bigint", "double", "string"):
+        typed = spark.createDataFrame(rows, LABELS).selectExpr("doc_id", f"CAST(quality AS {kind}) AS quality", "toxic")
+        assert np.array_equal(quality.fit(docs, typed), base)
