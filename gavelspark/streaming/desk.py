@@ -13,97 +13,218 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gavelspark.functions.text import money, zero_to_null
 from gavelspark.functions.times import micros
 
-_AUCTION = "price long, leader long, bids int, closed boolean, seller long, buy_now long, end_at long, judged_to long, waiting array<array<bigint>>"
 _RULING = "auction_id long, kind string, bid_id long, bidder_id long, cents long, total_bids int, displaced long, closes boolean, at long"
 _COLUMNS = [part.split()[0] for part in _RULING.split(", ")]
 # Fixed values.
 NO_BIDS = "Auction ended with no bids"
+# A missing number in rows of plain 64-bit numbers.
+NONE = -(2**63)
+# Auctions are dealt to this many keys of a stream; a stored stream keeps the number it began with.
+BUCKETS = 512
 
 
-class AuctionDesk(StatefulProcessor):
-    """Judges the attempts on an auction in order of (at, id), whatever batches they come in.
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.hash("auction_id"), F.lit(buckets)))
+
+
+class _Bucket(StatefulProcessor):
+    """State of a bucket of auctions: the book (a row for each, by id), the rows that wait, and what each auction's timers are.
+
+    Rows are 64-bit numbers. What arrives is appended to those that wait, as it comes. Of all the timers only the earliest is
+    registered with Spark; when it goes off, those of every auction that the clock has passed do.
+    """
+
+    book_columns: list[str]
+    held_columns: list[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.book = handle.getValueState("book", "rows binary")
+        self.held = handle.getListState("held", "rows binary")
+        self.timers = handle.getValueState("timers", "rows binary")
+
+    @staticmethod
+    def _rows(state: tuple | None, width: int) -> np.ndarray:
+        return np.frombuffer(state[0] if state else b"", np.int64).reshape(-1, width).copy()
+
+    def _book(self) -> np.ndarray:
+        return self._rows(self.book.get(), len(self.book_columns))
+
+    def _held(self) -> np.ndarray:
+        width = len(self.held_columns)
+        return np.concatenate([self._rows(None, width), *(self._rows(part, width) for part in self.held.get())])
+
+    def _hold(self, rows: np.ndarray) -> None:
+        self.held.appendValue((np.ascontiguousarray(rows).tobytes(),))
+
+    def _set_timers(self, auctions: np.ndarray, at: np.ndarray) -> None:
+        """Timers as soon as the clock has passed a time of each of these auctions."""
+        old = self._rows(self.timers.get(), 2)
+        new = np.unique(np.concatenate([old, np.stack([auctions, _ms(at)], 1)]), axis=0)
+        self.timers.update((new.tobytes(),))
+        if len(new) and (not len(old) or new[:, 1].min() < old[:, 1].min()):
+            self.handle.registerTimer(int(new[:, 1].min()))
+
+    def _passed_timers(self, timerValues, expiredTimerInfo) -> tuple[np.ndarray, int]:
+        """The auctions (sorted) whose timers the clock has passed, which are gone now, and the clock."""
+        watermark, expiry = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        timers = self._rows(self.timers.get(), 2)
+        gone = (timers[:, 1] < watermark) | (timers[:, 1] <= expiry)
+        rest = timers[~gone]
+        self.timers.update((rest.tobytes(),))
+        if len(rest):
+            self.handle.registerTimer(int(rest[:, 1].min()))
+        return np.unique(timers[gone, 0]), max(watermark, expiry) * 1000 - 1000
+
+    def _keep(self, rows: np.ndarray, auctions: np.ndarray) -> None:
+        """Leave these rows waiting; of `auctions` the first ones set timers."""
+        self.held.clear()
+        if len(rows):
+            self._hold(rows)
+        again = rows[np.isin(rows[:, 0], auctions)]
+        if len(again):
+            at = again[:, self.held_columns.index("at")]
+            order = np.lexsort((at, again[:, 0]))
+            ids, first = np.unique(again[order, 0], return_index=True)
+            self._set_timers(ids, at[order][first])
+
+    def close(self) -> None:
+        pass
+
+
+def _found(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted `ids` have the wanted ones, and which of these they have."""
+    at = np.searchsorted(ids, wanted)
+    if not len(ids):
+        return at, np.zeros(len(wanted), bool)
+    at = np.minimum(at, len(ids) - 1)
+    return at, ids[at] == wanted
+
+
+def _by_id(rows: np.ndarray) -> np.ndarray:
+    """Rows by id, the first one of each."""
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
+
+
+def _late(rows: np.ndarray) -> pd.DataFrame:
+    """Rulings on late attempts (auction, id, bidder, cents, at)."""
+    return pd.DataFrame({
+        "auction_id": rows[:, 0], "kind": "late", "bid_id": rows[:, 1], "bidder_id": _nullable(rows[:, 2]), "cents": rows[:, 3],
+        "total_bids": None, "displaced": None, "closes": False, "at": rows[:, 4]}, columns=_COLUMNS)
+
+
+def _nullable(numbers: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.ascontiguousarray(numbers, dtype=np.int64), np.asarray(numbers) == NONE)
+
+
+class AuctionDesk(_Bucket):
+    """Judges the attempts on each auction of a bucket in order of (at, id), whatever batches they come in.
 
     Attempts wait until the stream's clock has passed them; the clock is the watermark, so it runs
     `lateness` behind the newest attempt of any auction. Of those that wait only the ones that may still count are kept.
     An attempt that comes when later ones of its auction have been judged cannot count any more; it gets a ruling of its own.
     """
 
+    # An auction without bids has no leader. `first` is the time of the earliest attempt that waits.
+    book_columns = ["auction", "price", "leader", "bids", "closed", "seller", "buy_now", "end_at", "judged_to", "first"]
+    held_columns = ["auction_id", "id", "bidder", "cents", "at"]
+
     def __init__(self, close_on_expiry: bool):
         self.close_on_expiry = close_on_expiry
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.auction = handle.getValueState("auction", _AUCTION)
-
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rule = initialState.iloc[0]
-        end = int(rule["end_at"])
-        self.auction.update((
-            int(rule["opening"]), None, 0, False, None if pd.isna(rule["seller_id"]) else int(rule["seller_id"]), int(rule["buy_now"]), end, -(2**62), []))
+        auction, opening, seller, buy_now, end = (
+            initialState[c].to_numpy().astype(np.int64) for c in ("auction_id", "opening", "seller_id", "buy_now", "end_at"))
+        none = np.zeros_like(auction)
+        new = np.stack([auction, opening, none + NONE, none, none, seller, buy_now, end, none - 2**62, none + NONE], 1)
+        book = _by_id(np.concatenate([self._book(), new]))
+        self.book.update((book.tobytes(),))
         if self.close_on_expiry:
-            self.handle.registerTimer(_ms(end))
+            ours = book[_found(book[:, 0], np.unique(auction))[0]]
+            self._set_timers(ours[:, 0], ours[:, 7])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.auction.get()
-        if state is None:  # not an open auction
-            for _ in rows:
-                pass
-            return
-        price, leader, bids, closed, seller, buy_now, end, judged_to, held = state
-        late, waiting = [], []
+        book, late, waiting = self._book(), [], []
         for frame in rows:
-            own = frame["bidder_id"].to_numpy() == (-1 if seller is None else seller)
-            at = frame["at"].to_numpy()
-            passed = at <= judged_to
-            late.append(frame[passed])
-            if not closed:
-                waiting.append(frame[~passed & ~own & (at <= end) & (frame["cents"].to_numpy() > price)])
+            new = np.stack([frame[c].to_numpy().astype(np.int64) for c in ("auction_id", "id", "bidder_id", "cents", "at")], 1)
+            at, known = _found(book[:, 0], new[:, 0])
+            new, of = new[known], book[at[known]]
+            passed = new[:, 4] <= of[:, 8]
+            late.append(new[passed])
+            waiting.append(new[~passed & (of[:, 4] == 0) & (new[:, 2] != of[:, 5]) & (new[:, 4] <= of[:, 7]) & (new[:, 3] > of[:, 1])])
         if waiting and sum(map(len, waiting)):
-            new = pd.concat(waiting)
-            rows_ = np.stack([new[c].to_numpy() for c in ("id", "bidder_id", "cents", "at")], 1).tolist()
-            first = min(row[3] for row in rows_)
-            if not held or first < min(row[3] for row in held):
-                self.handle.registerTimer(_ms(first))
-            self.auction.update((price, leader, bids, closed, seller, buy_now, end, judged_to, [*map(list, held), *rows_]))
-        for frame in late:
-            if len(frame):
-                n = len(frame)
-                yield pd.DataFrame({
-                    "auction_id": np.full(n, key[0]), "kind": "late", "bid_id": frame["id"].to_numpy(), "bidder_id": frame["bidder_id"].to_numpy(),
-                    "cents": frame["cents"].to_numpy(), "total_bids": None, "displaced": None, "closes": False, "at": frame["at"].to_numpy()}, columns=_COLUMNS)
+            new = np.concatenate(waiting)
+            self._hold(new)
+            order = np.lexsort((new[:, 4], new[:, 0]))
+            ids, nth = np.unique(new[order, 0], return_index=True)
+            first, of = new[order, 4][nth], _found(book[:, 0], ids)[0]
+            earlier = (book[of, 9] == NONE) | (first < book[of, 9])
+            if earlier.any():
+                book[of[earlier], 9] = first[earlier]
+                self.book.update((book.tobytes(),))
+                self._set_timers(ids[earlier], first[earlier])
+        for part in late:
+            if len(part):
+                yield _late(part)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        price, leader, bids, closed, seller, buy_now, end, judged_to, held = self.auction.get()
-        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 - 1000
-        held = sorted(held, key=lambda row: (row[3], row[0]))
-        due = [row for row in held if row[3] <= clock]
+        auctions, clock = self._passed_timers(timerValues, expiredTimerInfo)
+        if not len(auctions):
+            return
+        book, held = self._book(), self._held()
+        ours = _found(book[:, 0], auctions)[0]
+        ready = np.isin(held[:, 0], auctions)
+        due = held[ready & (held[:, 4] <= clock)]
+        due = due[np.lexsort((due[:, 1], due[:, 4], due[:, 0]))]
+        due = due[book[_found(book[:, 0], due[:, 0])[0], 4] == 0]
         rulings = []
-        if due and not closed:
+        if len(due):
             # Accepted are those above all before them: each rise of the running maximum.
-            cents = np.array([row[2] for row in due])
-            before = np.maximum.accumulate(np.concatenate([[price], cents[:-1]]))
-            for k in np.flatnonzero(cents > before).tolist():
-                bid, bidder, amount, at = due[k]
-                bids, closed = bids + 1, 0 < buy_now <= amount
-                rulings.append((key[0], "placed", bid, bidder, amount, bids, leader if leader != bidder else None, closed, at))
-                price, leader = amount, bidder
-                if closed:
-                    break
-        if self.close_on_expiry and not closed and end <= clock:
-            closed = True
-            rulings.append((key[0], "expired", None, leader, 0 if leader is None else price, bids, None, True, end))
-        rest = [] if closed else held[len(due):]
-        if rest:
-            self.handle.registerTimer(_ms(rest[0][3]))
-        self.auction.update((price, leader, bids, closed, seller, buy_now, end, max(judged_to, clock), [list(row) for row in rest]))
-        if rulings:
-            yield pd.DataFrame(rulings, columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-def _ms(at: int) -> int:
+            of = _found(book[:, 0], due[:, 0])[0]
+            frame = pd.DataFrame({"auction": due[:, 0], "bidder": due[:, 2], "cents": due[:, 3]})
+            before = frame.groupby("auction")["cents"].cummax().groupby(frame["auction"]).shift(fill_value=NONE).to_numpy()
+            accepted = due[:, 3] > np.maximum(before, book[of, 1])
+            due, of = due[accepted], of[accepted]
+        if len(due):
+            closes = (book[of, 6] > 0) & (due[:, 3] >= book[of, 6])
+            frame = pd.DataFrame({"auction": due[:, 0], "bidder": due[:, 2], "closes": closes.astype(np.int64)})
+            by = frame.groupby("auction")
+            open_ = (by["closes"].cumsum().to_numpy() - closes) == 0
+            led = by["bidder"].shift(fill_value=NONE).to_numpy()
+            nth = by.cumcount().to_numpy()
+            led = np.where(nth == 0, book[of, 2], led)
+            due, of, closes, led, nth = due[open_], of[open_], closes[open_], led[open_], nth[open_]
+            total = book[of, 3] + nth + 1
+            displaced = np.where((total > 1) & (led != due[:, 2]), led, NONE)
+            rulings.append(pd.DataFrame({
+                "auction_id": due[:, 0], "kind": "placed", "bid_id": due[:, 1], "bidder_id": due[:, 2], "cents": due[:, 3],
+                "total_bids": total, "displaced": _nullable(displaced), "closes": closes, "at": due[:, 4]}, columns=_COLUMNS))
+            # Rows rise by auction and time, so an auction's last one stays.
+            last = np.append(of[1:] != of[:-1], True)
+            book[of[last], 1], book[of[last], 2], book[of[last], 3] = due[last, 3], due[last, 2], total[last]
+            book[of[last], 4] = closes[last]
+        if self.close_on_expiry:
+            ended = ours[(book[ours, 4] == 0) & (book[ours, 7] <= clock)]
+            if len(ended):
+                book[ended, 4] = 1
+                rows, bid_on = book[ended], book[ended, 3] > 0
+                rulings.append(pd.DataFrame({
+                    "auction_id": rows[:, 0], "kind": "expired", "bid_id": _nullable(np.full(len(rows), NONE)),
+                    "bidder_id": _nullable(np.where(bid_on, rows[:, 2], NONE)), "cents": np.where(bid_on, rows[:, 1], 0),
+                    "total_bids": rows[:, 3], "displaced": None, "closes": True, "at": rows[:, 7]}, columns=_COLUMNS))
+        over = book[ours[book[ours, 4] == 1], 0]
+        rest = held[~(ready & (held[:, 4] <= clock)) & ~np.isin(held[:, 0], over)]
+        self._keep(rest, auctions)
+        book[ours, 8] = np.maximum(book[ours, 8], clock)
+        book[ours, 9] = NONE
+        again = rest[np.isin(rest[:, 0], auctions)]
+        again = again[np.lexsort((-again[:, 4], again[:, 0]))]  # an auction's earliest one comes last, and stays
+        book[_found(book[:, 0], again[:, 0])[0], 9] = again[:, 4]
+        self.book.update((book.tobytes(),))
+        yield from rulings
+
+
+def _ms(at: np.ndarray) -> np.ndarray:
     """The first whole millisecond of the clock at which all of a microsecond's attempts are there."""
     return at // 1000 + 2
 
@@ -112,25 +233,28 @@ def _cents(amount: Column) -> Column:
     return (amount * 100).cast("long")
 
 
-def bid_events(attempts: DataFrame, auctions: DataFrame, lateness: str, *, close_on_expiry: bool = False) -> DataFrame:
+def bid_events(
+    attempts: DataFrame, auctions: DataFrame, lateness: str, *, close_on_expiry: bool = False, buckets: int = BUCKETS,
+) -> DataFrame:
     """`new-bid`, `outbid`, `auction-closed` and `late-bid` events of a stream of attempts.
 
     `lateness` is how far behind the newest attempt another one may come and still count in any case: what comes later than that, and
     after its auction's later attempts were judged, is a `late-bid`. Attempts are judged once the stream's time has passed them by that, so the last ones of a log wait for more; an
     attempt without auction only moves the time. With `close_on_expiry` every open auction, also one without attempts, closes
-    when that time passes its end. `user_id` is the bidder, the displaced leader, or the winner.
+    when that time passes its end. `user_id` is the bidder, the displaced leader, or the winner. Auctions share the state and calls
+    of one of `buckets` keys: a call costs much more than the few rows of one auction.
     """
     rules = auctions.where(F.col("status") == "active").select(
-        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"), _cents(F.col("starting_price")).alias("opening"),
-        F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
+        F.col("id").alias("auction_id"), F.coalesce("seller_id", F.lit(-1)).alias("seller_id"), micros(F.col("end_time")).alias("end_at"),
+        _cents(F.col("starting_price")).alias("opening"), F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
     )
     # The clock is a branch of its own: on rows that carried it, Spark would drop those behind the watermark.
     columns = [F.col("id"), F.col("auction_id"), F.col("bidder_id"), _cents(F.col("amount")).alias("cents"), micros(F.col("created_at")).alias("at")]
     clock = F.col("created_at").cast("timestamp").alias("clock")
     ticking = attempts.select(clock, *columns).withWatermark("clock", lateness).where(F.col("clock") < F.lit("0001-01-02").cast("timestamp"))
     judged = attempts.dropna(subset=["id", "auction_id", "bidder_id", "created_at"]).where(F.col("amount") > 0).select(F.lit(None).cast("timestamp").alias("clock"), *columns)
-    rulings = ticking.union(judged).groupBy("auction_id").transformWithStateInPandas(
-        AuctionDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=rules.groupBy("auction_id")
+    rulings = _bucketed(ticking.union(judged), buckets).groupBy("bucket").transformWithStateInPandas(
+        AuctionDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=_bucketed(rules, buckets).groupBy("bucket")
     )
     nothing = F.lit(None)
 

@@ -248,3 +248,31 @@ def test_unread_falls_when_notices_are_read_in_any_order(spark, parts):
         read = any(a[0] == u and a[1] == k for a in later) or any(a[0] == u and a[1] is None and a[2] >= at for a in later)
         expected_later[u] = expected_later.get(u, 0) + (not read)
     assert counted == expected_later
+
+
+def stored_rows(stream, spark, name):
+    """The most rows of state that a stream held, run over what is there, and what it told."""
+    logs.keep_state_on_disk(spark)
+    out = logs.fresh_folder(spark, name)
+    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+    return held, spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def test_auctions_share_the_state_of_a_bucket(spark):
+    """A key of the stream is a bucket of auctions, so calls and state rows do not rise with the auctions; all bids are told."""
+    lots, log, _ = random_world(17, auctions=200, attempts=12)
+    log.sort(key=lambda a: (a[4], a[0]))
+    auctions = spark.createDataFrame(lots, AUCTION)
+    held, events = in_batches(
+        spark, ended(log, timedelta(seconds=2)), ATTEMPT, 3, lambda s: desk.bid_events(s, auctions, "0 seconds", buckets=5),
+        lambda e: stored_rows(e, spark, "events"))
+    assert held <= 5 * 4  # book, waiting rows, timers and the one registered
+    ok = [r for r in lifecycle.bid_replay(auctions, spark.createDataFrame(log, ATTEMPT)).collect() if r.outcome == "ok"]
+    got = events.collect()
+    assert len({r.auction_id for r in ok}) > 50
+    assert sorted((r.bid_id, r.user_id, r.amount) for r in got if r.event_type == "new-bid") == sorted((r.id, r.bidder_id, r.amount) for r in ok)
+    assert sorted((r.bid_id, r.user_id) for r in got if r.event_type == "outbid") == sorted(
+        (r.id, r.leader_before) for r in ok if r.leader_before not in (None, r.bidder_id))
+    assert {r.bid_id for r in got if r.event_type == "auction-closed"} == {r.id for r in ok if r.bought}
