@@ -306,29 +306,25 @@ def notices(events: DataFrame, with_id: bool = False) -> DataFrame:
     )
 
 
-_LISTED = "status string, price long, leader long, bids int, seller long, buy_now long, end_at long, judged_to long, timer long"
-_HELD = "at long, ord int, id long, bidder long, cents long, op string, seller long, opening long, buy_now long, end_at long, status string"
-_HELD_COLUMNS = [part.split()[0] for part in _HELD.split(", ")]
-# What a change row may do.
+# What a change row may do, and the statuses that are told apart, both by their place; others are the number after the last.
 CHANGE_OPS = ("list", "patch", "delete")
+STATUSES = ("unlisted", "active")
+UNLISTED, ACTIVE, OTHER = range(3)
 
 
-def _int(value) -> int | None:
-    return None if value is None or pd.isna(value) else int(value)
+def _code(text: Column, words: tuple[str, ...]) -> Column:
+    """The place of a text among words, as a number."""
+    place = F.lit(len(words))
+    for k, word in enumerate(words):
+        place = F.when(text == word, k).otherwise(place)
+    return F.when(text.isNotNull(), place).cast("long")
 
 
-def _held_rows(frame: pd.DataFrame) -> list[tuple]:
-    """Rows as the list state takes them: Python values, None for missing ones."""
-    kinds = [str if name in ("op", "status") else int for name in _HELD_COLUMNS]
-    return [tuple(None if v is None or (not isinstance(v, str) and pd.isna(v)) else k(v) for k, v in zip(kinds, row))
-            for row in frame[_HELD_COLUMNS].itertuples(index=False)]
+class ListingDesk(_Bucket):
+    """Attempts and auction changes of a bucket of auctions, judged together in order of (time, changes first, id).
 
-
-class ListingDesk(StatefulProcessor):
-    """Attempts and auction changes of one auction, judged together in order of (time, changes first, id).
-
-    State begins `unlisted` unless the auction is in the initial state. Rows wait until the stream's clock (the watermark)
-    has passed them, in a list state, and are then applied one by one:
+    An auction begins `unlisted` unless it is in the initial state. Rows wait until the stream's clock (the watermark)
+    has passed them, and are then applied one by one:
     - `list` opens an unlisted auction with its seller, opening price, buy-now price and end (status `active`, or the
       row's status); a second listing is ignored.
     - `patch` sets end and status where the row has them, as an owner's edit does; on an unlisted auction it does nothing.
@@ -338,111 +334,129 @@ class ListingDesk(StatefulProcessor):
     With `close_on_expiry` an active auction closes when the clock passes its end, before any later row.
     """
 
+    # `timer` is the time of the earliest row that waits.
+    book_columns = ["auction", "status", "price", "leader", "bids", "seller", "buy_now", "end_at", "judged_to", "timer"]
+    held_columns = ["auction_id", "id", "bidder", "cents", "at", "ord", "op", "seller", "opening", "buy_now", "end_at", "status"]
+
     def __init__(self, close_on_expiry: bool):
         self.close_on_expiry = close_on_expiry
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.auction = handle.getValueState("auction", _LISTED)
-        self.held = handle.getListState("held", _HELD)
-
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rule = initialState.iloc[0]
-        end = int(rule["end_at"])
-        self.auction.update(("active", int(rule["opening"]), None, 0, _int(rule["seller_id"]), int(rule["buy_now"]), end, -(2**62), None))
+        auction, opening, seller, buy_now, end = (
+            initialState[c].to_numpy().astype(np.int64) for c in ("auction_id", "opening", "seller", "buy_now", "end_at"))
+        none = np.zeros_like(auction)
+        new = np.stack([auction, none + ACTIVE, opening, none + NONE, none, seller, buy_now, end, none - 2**62, none + NONE], 1)
+        book = _by_id(np.concatenate([self._book(), new]))
+        self.book.update((book.tobytes(),))
         if self.close_on_expiry:
-            self.handle.registerTimer(_ms(end))
+            ours = book[_found(book[:, 0], np.unique(auction))[0]]
+            self._set_timers(ours[:, 0], ours[:, 7])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.auction.get() or ("unlisted", 0, None, 0, None, 0, 0, -(2**62), None)
-        status, price, leader, bids, seller, buy_now, end, judged_to, timer = state
-        late, first = [], None
+        book, late, waiting = self._book(), [], []
         for frame in rows:
-            frame = frame[frame["at"].notna()]
-            passed = frame["at"].to_numpy() <= judged_to
-            late.append(frame[passed & frame["op"].isna().to_numpy()])
-            fresh = frame[~passed]
-            if len(fresh):
-                self.held.appendList(_held_rows(fresh))
-                least = int(fresh["at"].min())
-                first = least if first is None else min(first, least)
-        if first is not None and (timer is None or _ms(first) < timer):
-            self.handle.registerTimer(_ms(first))
-            timer = _ms(first)
-        self.auction.update((status, price, leader, bids, seller, buy_now, end, judged_to, timer))
-        for frame in late:
-            if len(frame):
-                n = len(frame)
-                yield pd.DataFrame({
-                    "auction_id": np.full(n, key[0]), "kind": "late", "bid_id": frame["id"].to_numpy(), "bidder_id": frame["bidder"].to_numpy(),
-                    "cents": frame["cents"].to_numpy(), "total_bids": None, "displaced": None, "closes": False, "at": frame["at"].to_numpy()}, columns=_COLUMNS)
+            new = np.stack([frame[c].to_numpy().astype(np.int64) for c in self.held_columns], 1)
+            unseen = np.setdiff1d(new[:, 0], book[:, 0])
+            none = np.zeros_like(unseen)
+            fresh = np.stack([unseen, none + UNLISTED, none, none + NONE, none, none + NONE, none, none, none - 2**62, none + NONE], 1)
+            book = _by_id(np.concatenate([book, fresh]))
+            passed = new[:, 4] <= book[_found(book[:, 0], new[:, 0])[0], 8]
+            late.append(new[passed & (new[:, 6] == NONE)])
+            waiting.append(new[~passed])
+        new = np.concatenate(waiting)
+        if len(new):
+            self._hold(new)
+            order = np.lexsort((new[:, 4], new[:, 0]))
+            ids, nth = np.unique(new[order, 0], return_index=True)
+            first, of = new[order, 4][nth], _found(book[:, 0], ids)[0]
+            earlier = (book[of, 9] == NONE) | (first < book[of, 9])
+            book[of[earlier], 9] = first[earlier]
+            self._set_timers(ids[earlier], first[earlier])
+        self.book.update((book.tobytes(),))
+        for part in late:
+            if len(part):
+                yield _late(part)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, price, leader, bids, seller, buy_now, end, judged_to, _ = self.auction.get()
-        clock = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000 - 1000
-        held = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=_HELD_COLUMNS)
-        held = held.sort_values(["at", "ord", "id"], kind="stable")
-        due, rest = held[held["at"] <= clock], held[held["at"] > clock]
-        rulings = []
+        auctions, clock = self._passed_timers(timerValues, expiredTimerInfo)
+        if not len(auctions):
+            return
+        book, held = self._book(), self._held()
+        ours = _found(book[:, 0], auctions)[0]
+        ready = np.isin(held[:, 0], auctions) & (held[:, 4] <= clock)
+        due = held[ready]
+        due = due[np.lexsort((due[:, 1], due[:, 5], due[:, 4], due[:, 0]))]
+        begins = np.searchsorted(due[:, 0], auctions)
+        ends = np.searchsorted(due[:, 0], auctions, side="right")
+        rulings, timers = [], []
+        for place, begin, end in zip(ours.tolist(), begins.tolist(), ends.tolist()):
+            book[place, 1:8] = self._applied(book[place].tolist(), due[begin:end].tolist(), clock, rulings, timers)
+        book[ours, 8] = np.maximum(book[ours, 8], clock)
+        book[ours, 9] = NONE
+        rest = held[~ready]
+        self._keep(rest, auctions)
+        again = rest[np.isin(rest[:, 0], auctions)]
+        again = again[np.lexsort((-again[:, 4], again[:, 0]))]  # an auction's earliest one comes last, and stays
+        book[_found(book[:, 0], again[:, 0])[0], 9] = again[:, 4]
+        self.book.update((book.tobytes(),))
+        if timers:
+            self._set_timers(*np.array(timers, np.int64).T)
+        if rulings:
+            auction, kind, bid, bidder, cents, total, displaced, closes, at = zip(*rulings)
+            numbers = [_nullable(np.array(column, np.int64)) for column in (auction, bid, bidder, cents, total, displaced, at)]
+            yield pd.DataFrame(dict(zip(_COLUMNS, [
+                numbers[0], list(kind), *numbers[1:4], numbers[4], numbers[5], list(closes), numbers[6]])), columns=_COLUMNS)
+
+    def _applied(self, auction: list[int], due: list[list[int]], clock: int, rulings: list[tuple], timers: list[tuple[int, int]]) -> list[int]:
+        """One auction after its due rows; what they give rise to is added to `rulings` and `timers`."""
+        number, status, price, leader, bids, seller, buy_now, end, *_ = auction
 
         def expire(upto: int) -> None:
             nonlocal status
-            if self.close_on_expiry and status == "active" and end <= upto:
-                status = "closed"
-                rulings.append((key[0], "expired", None, leader, 0 if leader is None else price, bids, None, True, end))
-
-        for row in due.itertuples(index=False):
-            expire(row.at - 1)
-            if isinstance(row.op, str):
-                if row.op == "list" and status == "unlisted":
-                    status = row.status if isinstance(row.status, str) else "active"
-                    price, leader, bids = int(row.opening), None, 0
-                    seller, buy_now, end = _int(row.seller), _int(row.buy_now) or 0, int(row.end_at)
+            if self.close_on_expiry and status == ACTIVE and end <= upto:
+                status = OTHER
+                rulings.append((number, "expired", NONE, leader, 0 if leader == NONE else price, bids, NONE, True, end))
+
+        for _, bid, bidder, cents, at, _, op, new_seller, opening, new_buy_now, new_end, new_status in due:
+            expire(at - 1)
+            if op != NONE:
+                if CHANGE_OPS[op] == "list" and status == UNLISTED:
+                    status = ACTIVE if new_status == NONE else new_status
+                    price, leader, bids, seller, buy_now, end = opening, NONE, 0, new_seller, max(new_buy_now, 0), new_end
                     if self.close_on_expiry:
-                        self.handle.registerTimer(_ms(end))
-                elif row.op == "patch" and status != "unlisted":
-                    end = _int(row.end_at) or end
-                    status = row.status if isinstance(row.status, str) else status
+                        timers.append((number, end))
+                elif CHANGE_OPS[op] == "patch" and status != UNLISTED:
+                    end = end if new_end in (NONE, 0) else new_end
+                    status = status if new_status == NONE else new_status
                     if self.close_on_expiry:
-                        self.handle.registerTimer(_ms(end))
-                elif row.op == "delete":
-                    status, price, leader, bids = "unlisted", 0, None, 0
+                        timers.append((number, end))
+                elif CHANGE_OPS[op] == "delete":
+                    status, price, leader, bids = UNLISTED, 0, NONE, 0
                 continue
-            bidder, cents, at = _int(row.bidder), int(row.cents), int(row.at)
-            if status == "unlisted":
+            if status == UNLISTED:
                 kind = "unknown_auction"
-            elif status != "active":
+            elif status != ACTIVE:
                 kind = "not_active"
             elif at > end:
-                kind, status = "ended", "closed"
-            elif seller is not None and bidder == seller:
+                kind, status = "ended", OTHER
+            elif seller != NONE and bidder == seller:
                 kind = "self"
             elif cents <= price:
                 kind = "low"
             else:
                 bids, closes = bids + 1, 0 < buy_now <= cents
-                rulings.append((key[0], "placed", int(row.id), bidder, cents, bids, leader if leader != bidder else None, closes, at))
+                rulings.append((number, "placed", bid, bidder, cents, bids, leader if leader != bidder else NONE, closes, at))
                 price, leader = cents, bidder
-                status = "closed" if closes else status
+                status = OTHER if closes else status
                 continue
-            rulings.append((key[0], kind, int(row.id), bidder, cents, None, None, kind == "ended", at))
+            rulings.append((number, kind, bid, bidder, cents, NONE, NONE, kind == "ended", at))
         expire(clock)
-        self.held.clear()
-        timer = None
-        if len(rest):
-            self.held.put(_held_rows(rest))
-            timer = _ms(int(rest["at"].iloc[0]))
-            self.handle.registerTimer(timer)
-        self.auction.update((status, price, leader, bids, seller, buy_now, end, max(judged_to, clock), timer))
-        if rulings:
-            yield pd.DataFrame(rulings, columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
+        return [status, price, leader, bids, seller, buy_now, end]
 
 
 def listing_events(
     attempts: DataFrame, changes: DataFrame, auctions: DataFrame, lateness: str, *, close_on_expiry: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """A ruling for every attempt, on auctions that are listed, patched or deleted while the stream runs.
 
@@ -451,21 +465,20 @@ def listing_events(
     outcome that refused the attempt), auction_id, bid_id, user_id, amount, total_bids, closes, at, displaced.
     """
     rules = auctions.where(F.col("status") == "active").select(
-        F.col("id").alias("auction_id"), "seller_id", micros(F.col("end_time")).alias("end_at"), _cents(F.col("starting_price")).alias("opening"),
-        F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
+        F.col("id").alias("auction_id"), F.coalesce("seller_id", F.lit(NONE)).alias("seller"), micros(F.col("end_time")).alias("end_at"),
+        _cents(F.col("starting_price")).alias("opening"), F.coalesce(_cents(zero_to_null(F.col("buy_now_price"))), F.lit(0)).alias("buy_now"),
     )
-    none = F.lit(None)
-    tried = [
-        F.col("auction_id"), micros(F.col("created_at")).alias("at"), F.lit(1).alias("ord"), F.col("id"), F.col("bidder_id").alias("bidder"),
-        _cents(F.col("amount")).alias("cents"), none.cast("string").alias("op"), none.cast("long").alias("seller"),
-        none.cast("long").alias("opening"), none.cast("long").alias("buy_now"), none.cast("long").alias("end_at"), none.cast("string").alias("status"),
-    ]
-    changed = [
-        F.col("auction_id"), micros(F.col("created_at")).alias("at"), F.lit(0).alias("ord"), F.lit(-1).cast("long").alias("id"),
-        none.cast("long").alias("bidder"), F.lit(0).cast("long").alias("cents"), F.col("op"), F.col("seller_id").alias("seller"),
-        _cents(F.col("starting_price")).alias("opening"), _cents(zero_to_null(F.col("buy_now_price"))).alias("buy_now"),
-        micros(F.col("end_time")).alias("end_at"), F.col("status"),
-    ]
+    # Numbers only: a missing one is NONE, as frames with nulls would turn long ids into floats.
+    def numbers(**given: Column) -> list[Column]:
+        given = {"op": F.lit(NONE), **dict.fromkeys(("seller", "opening", "buy_now", "end_at", "status"), F.lit(NONE)), **given}
+        return [F.coalesce(given[name].cast("long"), F.lit(NONE)).alias(name) for name in ListingDesk.held_columns[1:]]
+
+    at = micros(F.col("created_at"))
+    tried = [F.col("auction_id"), *numbers(id=F.col("id"), bidder=F.col("bidder_id"), cents=_cents(F.col("amount")), at=at, ord=F.lit(1))]
+    changed = [F.col("auction_id"), *numbers(
+        id=F.lit(-1), bidder=F.lit(NONE), cents=F.lit(0), at=at, ord=F.lit(0), op=_code(F.col("op"), CHANGE_OPS), seller=F.col("seller_id"),
+        opening=_cents(F.col("starting_price")), buy_now=_cents(zero_to_null(F.col("buy_now_price"))), end_at=micros(F.col("end_time")),
+        status=_code(F.col("status"), STATUSES))]
     clock = F.col("created_at").cast("timestamp").alias("clock")
     early = F.lit("0001-01-02").cast("timestamp")
     ticking = (
@@ -477,8 +490,8 @@ def listing_events(
         .unionByName(changes.dropna(subset=["auction_id", "created_at", "op"]).where(F.col("op").isin(*CHANGE_OPS))
                      .select(F.lit(None).cast("timestamp").alias("clock"), *changed))
     )
-    rulings = ticking.unionByName(rows).groupBy("auction_id").transformWithStateInPandas(
-        ListingDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=rules.groupBy("auction_id")
+    rulings = _bucketed(ticking.unionByName(rows), buckets).groupBy("bucket").transformWithStateInPandas(
+        ListingDesk(close_on_expiry), _RULING, "append", "EventTime", initialState=_bucketed(rules, buckets).groupBy("bucket")
     )
     return rulings.select(
         "kind", "auction_id", "bid_id", F.col("bidder_id").alias("user_id"), (F.col("cents") / 100).cast("decimal(10,2)").alias("amount"),

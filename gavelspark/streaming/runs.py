@@ -21,23 +21,29 @@ def _streamed(rows: DataFrame, name: str) -> DataFrame:
 LATENESS = "1 second"
 
 
-def _attempts(d: AuctionData) -> DataFrame:
+def _stored(d: AuctionData) -> DataFrame:
+    """The log written once, as staging reads it several times and its join costs more than that."""
+    return d.spark.read.schema(d.attempts.schema).parquet(logs.stage(d.attempts, "log"))
+
+
+def _attempts(d: AuctionData, log: DataFrame | None = None) -> DataFrame:
     """The log as a stream of a few batches in order of time, and after it a row that only moves the time past all of them."""
-    folder = logs.stage_in_order(d.attempts, "created_at", "attempts")
-    last = d.attempts.agg(F.max("created_at").alias("last"))
+    log = _stored(d) if log is None else log
+    folder = logs.stage_in_order(log, "created_at", "attempts")
+    last = log.agg(F.max("created_at").alias("last"))
     after = F.col("last") + F.expr("interval 2 seconds")
-    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in d.attempts.schema]
+    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema]
     last.where("last is not null").select(*row).write.mode("append").parquet(folder)
-    return logs.read_log(d.attempts.sparkSession, folder, d.attempts.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
+    return logs.read_log(d.spark, folder, log.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
 
 
-def _changes(d: AuctionData) -> DataFrame:
+def _changes(d: AuctionData, log: DataFrame) -> DataFrame:
     """Listings, patches and deletions as a stream in order of time, ended like the attempts by a row that moves the time."""
     from gavelspark.sources.samples import sample
 
     rows = sample(d, "auction_changes")
     folder = logs.stage_in_order(rows, "created_at", "changes")
-    last = d.attempts.agg(F.max("created_at").alias("last"))
+    last = log.agg(F.max("created_at").alias("last"))
     after = F.col("last") + F.expr("interval 2 seconds")
     row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
     last.where("last is not null").select(*row).write.mode("append").parquet(folder)
@@ -46,7 +52,8 @@ def _changes(d: AuctionData) -> DataFrame:
 
 def listing_events(d: AuctionData) -> DataFrame:
     """A ruling for every attempt while auctions are listed, patched and deleted on the same stream."""
-    return logs.append_run(desk.listing_events(_attempts(d), _changes(d), d.opening, LATENESS), "listings")
+    log = _stored(d)
+    return logs.append_run(desk.listing_events(_attempts(d, log), _changes(d, log), d.opening, LATENESS), "listings")
 
 
 def bid_events(d: AuctionData) -> DataFrame:
@@ -76,9 +83,10 @@ def unread_after_reads(d: AuctionData) -> DataFrame:
     """Unread notices per user while acknowledgements (one notice, or all up to a time) stream in beside them."""
     from gavelspark.sources.samples import sample
 
-    events = desk.bid_events(_attempts(d), d.opening, LATENESS, close_on_expiry=True)
+    log = _stored(d)
+    events = desk.bid_events(_attempts(d, log), d.opening, LATENESS, close_on_expiry=True)
     told = _streamed(logs.append_run(desk.notices(events, with_id=True), "notices"), "notices")
-    last = d.attempts.agg(F.max("created_at")).first()[0]
+    last = log.agg(F.max("created_at")).first()[0]
     acks = sample(d, "acks").select(
         "user_id", "notification_id", (F.lit(last).cast("timestamp_ntz") + F.expr("interval 1 day")).alias("created_at"),
     )
