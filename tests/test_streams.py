@@ -276,3 +276,44 @@ def test_auctions_share_the_state_of_a_bucket(spark):
     assert sorted((r.bid_id, r.user_id) for r in got if r.event_type == "outbid") == sorted(
         (r.id, r.leader_before) for r in ok if r.leader_before not in (None, r.bidder_id))
     assert {r.bid_id for r in got if r.event_type == "auction-closed"} == {r.id for r in ok if r.bought}
+
+
+def test_users_share_the_state_of_a_bucket(spark):
+    """State rows rise with buckets and slots, not with notices; read-alls, early and repeated acks count as before."""
+    from gavelspark.streaming import reading
+
+    notices = [(k, k % 90, START + timedelta(seconds=k % 50)) for k in range(1500)]
+    acks = [(k % 90, k, START) for k in range(0, 1500, 4)] + [(7, None, START + timedelta(seconds=20)), (8, 2000, START)]
+    folders = logs.fresh_folder(spark, "notices"), logs.fresh_folder(spark, "acks")
+    for part in range(3):
+        spark.createDataFrame(notices[part::3], NOTICE).coalesce(1).write.mode("append").parquet(folders[0])
+        spark.createDataFrame(acks[part::3], ACK).coalesce(1).write.mode("append").parquet(folders[1])
+    streams = [spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+               for schema, folder in ((NOTICE, folders[0]), (ACK, folders[1]))]
+    logs.keep_state_on_disk(spark)
+    got = {}
+    query = reading.unread_with_reads(*streams, buckets=2).writeStream.outputMode("update").foreachBatch(
+        lambda rows, _: got.update({r.user_id: r.unread for r in rows.collect()})
+    ).option("checkpointLocation", logs.fresh_folder(spark, "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 2 * (2 * reading.SLOTS + 1) * 2
+    expected = dict.fromkeys(range(90), 0)
+    for k, u, at in notices:
+        expected[u] += k % 4 != 0 and not (u == 7 and at <= START + timedelta(seconds=20))
+    assert got == expected
+
+
+def test_auctions_of_one_bucket_close_at_their_own_ends(spark):
+    """Expiry in shared state: each auction closes once, with the last accepted bid before its end as winner."""
+    lots, log, _ = random_world(23, auctions=80, attempts=10)
+    log.sort(key=lambda a: (a[4], a[0]))
+    auctions, attempts = spark.createDataFrame(lots, AUCTION), spark.createDataFrame(log, ATTEMPT)
+    held, events = in_batches(
+        spark, ended(log, timedelta(seconds=90)), ATTEMPT, 4, lambda s: desk.bid_events(s, auctions, "0 seconds", close_on_expiry=True, buckets=3),
+        lambda e: stored_rows(e, spark, "expiry"))
+    assert held <= 3 * 4
+    ok = [r for r in lifecycle.bid_replay(auctions, attempts).collect() if r.outcome == "ok"]
+    leaders = {r.auction_id: (r.bidder_id, r.amount) for r in sorted(ok, key=lambda r: (r.created_at, r.id))}
+    bought = {r.auction_id for r in ok if r.bought}
+    closed = [(r.auction_id, r.user_id, r.amount) for r in events.where("event_type = 'auction-closed' and bid_id is null").collect()]
+    assert sorted(closed) == sorted((a[0], *leaders.get(a[0], (None, Decimal(0)))) for a in lots if a[7] == "active" and a[0] not in bought)
