@@ -215,24 +215,28 @@ REFERENCES = [
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, id, missing_id) of rows that refer to an absent parent. A NULL refers to none.
 
-    The different references are combined in each task before they meet the parents; child rows meet only those found missing.
+    All references, a number for the kind of each, meet all parents in one anti-join, so each table is computed once as a child;
+    adaptive execution splits a parent that too many rows refer to.
     """
-    rows, parents = [], {}
-    for child, column, parent in REFERENCES:
-        if child in tables and parent in tables:
-            parents[parent] = tables[parent].select(F.lit(parent).alias("parent"), F.col("id").cast("long").alias("missing_id"))
+    known = [(child, column, parent) for child, column, parent in REFERENCES if child in tables and parent in tables]
+    names = sorted({parent for _, _, parent in known})
+    parents = [tables[name].select(F.lit(k).alias("parent"), F.col("id").cast("long").alias("missing_id")) for k, name in enumerate(names)]
+    rows = []
     for name, table in tables.items():
         links = [
-            F.struct(F.lit(column).alias("column_name"), F.lit(parent).alias("parent"), F.col(column).cast("long").alias("missing_id"))
-            for child, column, parent in REFERENCES if child == name and parent in tables
+            F.struct(F.lit(k).alias("link"), F.lit(names.index(parent)).alias("parent"), F.col(column).cast("long").alias("missing_id"))
+            for k, (child, column, parent) in enumerate(known) if child == name
         ]
         if links:
-            rows.append(table.select(F.lit(name).alias("table_name"), "id", F.inline(F.array(*links))).where("missing_id is not null"))
+            rows.append(table.select("id", F.inline(F.array(*links))).where("missing_id is not null"))
     if not rows:
         return _stack(rows)
-    references, present = _stack(rows), _stack(list(parents.values()))
-    missing = references.select("parent", "missing_id").distinct().join(present, ["parent", "missing_id"], "left_anti")
-    return references.join(missing, ["parent", "missing_id"]).select("table_name", "column_name", "id", "missing_id")
+    missing = _stack(rows).join(_stack(parents), ["parent", "missing_id"], "left_anti")
+
+    def told(part: int) -> Column:
+        return F.array(*(F.lit(link[part]) for link in known))[F.col("link")]
+
+    return missing.select(told(0).alias("table_name"), told(1).alias("column_name"), "id", "missing_id")
 
 
 # The permitted values and the columns that must be filled.
