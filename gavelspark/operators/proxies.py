@@ -8,8 +8,10 @@ from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelspark.functions.text import zero_to_null
 from gavelspark.operators import lifecycle
@@ -187,13 +189,12 @@ def valid_log(log: DataFrame, auctions: DataFrame) -> DataFrame:
     kept = log.join(prices, "auction_id").where(
         (F.col("op") == "stop") | ((F.col("op") == "set") & (F.col("max_amount") > F.col("current_price")))
     ).select("id", "auction_id", "user_id", "op", "max_amount", "created_at")
-    firsts = kept.where(F.col("op") == "set").groupBy("auction_id", "user_id").agg(
-        F.min(F.struct("created_at", "id"))["id"].alias("proxy_id")
-    )
-    return kept.join(firsts, ["auction_id", "user_id"], "left")
+    first = F.min(F.when(F.col("op") == "set", F.struct("created_at", "id"))).over(Window.partitionBy("auction_id", "user_id"))
+    # A proxy without user has no id. A window takes the log once, where a join with the first sets would compute it twice.
+    return kept.withColumn("proxy_id", F.when(F.col("user_id").isNotNull(), first["id"]))
 
 
-_SWEPT = "id long, first_user long, first_cents long, second_user long, second_cents long"
+_SWEPT = ("first_user", "first_cents", "second_user", "second_cents")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +205,9 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     auction, live, heap = object(), {}, []
     for batch in batches:
-        rows = batch.to_pydict()
-        out = {name: [] for name in ("id", "first_user", "first_cents", "second_user", "second_cents")}
-        for at, kind, key, user, op, cents, proxy in zip(
-            *(rows[c] for c in ("auction_id", "kind", "key", "user_id", "op", "cents", "proxy_id"))
-        ):
+        rows = batch.drop_columns(["record"]).to_pydict()
+        out = {name: [] for name in _SWEPT}
+        for at, kind, user, op, cents, proxy in zip(*(rows[c] for c in ("auction_id", "kind", "user_id", "op", "cents", "proxy_id"))):
             if at != auction:
                 auction, live, heap = at, {}, []
             if kind == 0:
@@ -229,35 +228,36 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for entry in top:
                 heapq.heappush(heap, entry)
             top += [(None, None, None)] * (2 - len(top))
-            out["id"].append(key)
             for name, (c, _, u) in zip(("first", "second"), top):
                 out[f"{name}_user"].append(u)
                 out[f"{name}_cents"].append(None if c is None else -c)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(name, pa.int64()) for name in out]))
+        record = batch.column("record").filter(pc.equal(batch.column("kind"), 1))
+        yield pa.RecordBatch.from_arrays([record, *(pa.array(out[name], pa.int64()) for name in _SWEPT)], names=["record", *_SWEPT])
 
 
 def best_two_as_of(records: DataFrame, events: DataFrame) -> DataFrame:
     """`records` (id, auction_id, created_at, ...) with first and second: the best two proxies live at each one's time.
 
-    A set or stop at the same time as a bid is in effect for it. Each auction's events and bids are swept in one sorted
+    A set or stop at the same time as a bid is in effect for it; records without id are left out. Records travel whole, so that
+    what finds them runs once. Each auction's events and bids are swept in one sorted
     stream; work and memory follow its live proxies, and a hot auction is streamed, not held.
     """
-    bids = records.select("auction_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("id").alias("key"),
-                          F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("op"),
-                          F.lit(None).cast("long").alias("cents"), F.lit(None).cast("long").alias("proxy_id"))
+    record = F.struct(*records.columns)
+    bids = records.where("id is not null").select(
+        "auction_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("id").alias("key"), record.alias("record"))
     changes = events.select("auction_id", F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.col("id").alias("key"),
                             "user_id", "op", (F.col("max_amount") * 100).cast("long").alias("cents"), "proxy_id")
     swept = (
-        bids.unionByName(changes).repartition("auction_id")
+        bids.unionByName(changes, allowMissingColumns=True).repartition("auction_id")
         .sortWithinPartitions("auction_id", "at", "kind", "key")
-        .mapInArrow(_sweep, _SWEPT)
+        .mapInArrow(_sweep, T.StructType([bids.schema["record"], *(T.StructField(name, T.LongType()) for name in _SWEPT)]))
     )
 
     def proxy(name: str) -> Column:
         return F.when(F.col(f"{name}_user").isNotNull(), F.struct(
             F.col(f"{name}_user").alias("user_id"), (F.col(f"{name}_cents") / 100).cast("decimal(10,2)").alias("max_amount")))
 
-    return records.join(swept.select("id", proxy("first").alias("first"), proxy("second").alias("second")), "id")
+    return swept.select("record.*", proxy("first").alias("first"), proxy("second").alias("second"))
 
 
 def interleaved_ledger(
