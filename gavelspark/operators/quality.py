@@ -215,7 +215,7 @@ REFERENCES = [
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, id, missing_id) of rows that refer to an absent parent. A NULL refers to none.
 
-    All references, a number for the kind of each, meet all parents in one anti-join, so each table is computed once as a child;
+    All references, a number for the kind of each, meet all parents in one join, so each table is computed once as a child;
     adaptive execution splits a parent that too many rows refer to.
     """
     known = [(child, column, parent) for child, column, parent in REFERENCES if child in tables and parent in tables]
@@ -231,7 +231,9 @@ def orphans(tables: dict[str, DataFrame]) -> DataFrame:
             rows.append(table.select("id", F.inline(F.array(*links))).where("missing_id is not null"))
     if not rows:
         return _stack(rows)
-    missing = _stack(rows).join(_stack(parents), ["parent", "missing_id"], "left_anti")
+    # An anti-join would be pushed into the union, and all parents computed for each child.
+    present = _stack(parents).withColumn("present", F.lit(True))
+    missing = _stack(rows).join(present, ["parent", "missing_id"], "left").where("present is null")
 
     def told(part: int) -> Column:
         return F.array(*(F.lit(link[part]) for link in known))[F.col("link")]
