@@ -1,5 +1,6 @@
 from datetime import timedelta
 from decimal import Decimal
+from pathlib import Path
 from random import Random
 
 import pytest
@@ -84,6 +85,31 @@ def test_what_comes_too_late_is_told(spark):
     assert got == [("late-bid", 2, 3), ("new-bid", 1, 2), ("new-bid", 3, 4), ("outbid", 3, 2)]
 
 
+def state_parts(spark, monkeypatch, run):
+    """Result of a run whose session has many shuffle partitions, and the partitions of its state."""
+    made, name, new = [], "spark.sql.shuffle.partitions", logs.fresh_folder
+    monkeypatch.setattr(logs, "fresh_folder", lambda *a: made.append(new(*a)) or made[-1])
+    before = spark.conf.get(name)
+    spark.conf.set(name, 40)
+    try:
+        got = run().collect()
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    return got, [p for p in Path(made[-1].removeprefix("file:"), "progress/state/0").iterdir() if p.name.isdigit()]
+
+
+def test_state_of_a_run_has_a_few_parts_for_each_core(spark, monkeypatch):
+    """However many partitions shuffles have: a part of the state costs the same in every batch, also without rows."""
+    lots, log, _ = random_world(5, auctions=6)
+    log.sort(key=lambda a: (a[4], a[0]))
+    auctions, given = spark.createDataFrame(lots, AUCTION), ended(log, timedelta(seconds=2))
+    run = lambda: in_batches(spark, given, ATTEMPT, 1, lambda s: desk.bid_events(s, auctions, "0 seconds"), lambda e: logs.append_run(e, "events"))
+    got, parts = state_parts(spark, monkeypatch, run)
+    assert 1 < len(parts) <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(got) == sorted(run().collect())
+
+
 def test_boards_over_batches(spark):
     _, log, _ = random_world(7, auctions=10)
     log.sort(key=lambda a: a[0])
