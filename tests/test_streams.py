@@ -110,6 +110,17 @@ def test_state_of_a_run_has_a_few_parts_for_each_core(spark, monkeypatch):
     assert sorted(got) == sorted(run().collect())
 
 
+def test_notices_keep_a_few_parts_of_state(spark, monkeypatch):
+    lots, log, _ = random_world(9, auctions=6)
+    log.sort(key=lambda a: (a[4], a[0]))
+    auctions, given = spark.createDataFrame(lots, AUCTION), ended(log, timedelta(days=400))
+    told = lambda s: desk.notices(desk.bid_events(s, auctions, "0 seconds", close_on_expiry=True), with_id=True)
+    run = lambda: in_batches(spark, given, ATTEMPT, 1, told, lambda e: logs.append_run(e, "notices"))
+    got, parts = state_parts(spark, monkeypatch, run)
+    assert 1 < len(parts) <= 2 * spark.sparkContext.defaultParallelism
+    assert got and sorted(got) == sorted(run().collect())
+
+
 def test_boards_over_batches(spark):
     _, log, _ = random_world(7, auctions=10)
     log.sort(key=lambda a: a[0])
