@@ -121,6 +121,14 @@ def test_notices_keep_a_few_parts_of_state(spark, monkeypatch):
     assert got and sorted(got) == sorted(run().collect())
 
 
+def test_unread_counts_keep_a_few_parts_of_state(spark, monkeypatch):
+    rows = [(k % 7, k % 3 == 0) for k in range(60)]
+    run = lambda: in_batches(spark, rows, "user_id long, is_read boolean", 3, boards.unread, lambda s: logs.update_run(s, ["user_id"], "unread"))
+    got, parts = state_parts(spark, monkeypatch, run)
+    assert 1 < len(parts) <= 2 * spark.sparkContext.defaultParallelism
+    assert {r.user_id: r.unread for r in got} == {u: sum(user == u and not read for user, read in rows) for u in range(7)}
+
+
 def test_boards_over_batches(spark):
     _, log, _ = random_world(7, auctions=10)
     log.sort(key=lambda a: a[0])
