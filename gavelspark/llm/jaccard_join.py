@@ -7,8 +7,9 @@ must meet under all of them, fit in size, and have few differing parity bits (ea
 it where pairs are formed. What is left is verified on whole sets.
 
 Sets that are equal are one class from the start. Of the classes that share a prefix token, the few most typical ones are compared
-with all others; who is in one component by then needs no more comparing. Rounds of that go on while they save work, then all
-pairs left between different components are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
+with all others; such pairs are told apart before bitmaps or sets travel. Who is in one component by then needs no more comparing.
+Rounds of that go on in the groups with several components while they save work, then all pairs left between different components
+are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
 
 The order's frequencies are counts over all documents in a table of hashed tokens of fixed size; they steer work, not results. A class is known by 60
 bits of its set's hash. Defined results: null, empty and wordless texts have an empty set and are components of their own; rows
@@ -254,9 +255,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
+def _members(postings: DataFrame) -> DataFrame:
+    """(token, node, place, leaders) of the groups, which are the classes with a token in common, two at least.
+
+    A class's place is its rank in the group, the most typical one first; places beyond LEADERS are not told apart. One shuffle of the postings does it all.
+    """
+    group = Window.partitionBy("token").orderBy("node")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = postings.withColumn("before", F.lag("node").over(group)).where("before is null or before != node")
+    leaders = F.array(*(F.nth_value("node", k + 1).over(whole) for k in range(LEADERS)))
+    placed = each.select("token", "node", F.least(F.row_number().over(group), F.lit(LEADERS + 1)).alias("place"), leaders.alias("leaders"))
+    return placed.where(F.col("leaders")[1].isNotNull())
+
+
+def _led(members: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, of the leaders of each group and its other classes. Traits meet each pair once, however many tokens it has in common."""
+    pairs = members.select(F.explode("leaders").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
+    return (
+        pairs.alias("p").join(traits.alias("a"), F.col("p.a") == F.col("a.node"))
+        .join(traits.alias("b"), (F.col("p.b") == F.col("b.node")) & _may_link(percent)).select("p.a", "p.b"))
+
+
 def _labelled(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float]:
-    """Groups with more than one component left; their rows, and the pairs of different components for each row."""
-    rows = groups.where(F.col("place") > LEADERS).drop("place", "label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Groups without their leaders, with more than one component left; their rows, and the pairs of different components for each row."""
+    label = groups.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    group = Window.partitionBy("token")
+    mixed = label.withColumn("mixed", F.min("label").over(group) != F.max("label").over(group)).where(F.col("mixed") & (F.col("place") > LEADERS))
+    rows = written(mixed.select("token", "node", "label"))
     parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     whole = parts.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.sum("n").alias("members"))
     whole = written(whole.where("cross > 0"))
@@ -267,40 +292,32 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, flo
 
 def _placed(groups: DataFrame) -> DataFrame:
     """With the place of each class in its groups, the most typical one first; places beyond LEADERS are not told apart."""
-    first = groups.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).where(F.col("place") <= LEADERS)
-    return groups.join(first.select("token", "node", "place"), ["token", "node"], "left").withColumn("place", F.coalesce("place", F.lit(LEADERS + 1)))
-
-
-def _labels(docs: DataFrame, groups: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of every class with a link. Groups have token, node and traits; ids have doc_id by node."""
-    links = labels = sets = None
-    groups = groups.withColumn("label", F.col("node"))
-    for turn in range(MAX_ROUNDS + 2):
-        last = turn == MAX_ROUNDS + 1
-        if labels is not None:
-            groups, rows, cross = _labelled(groups, labels)
-            if not rows:
-                break
-            last |= cross <= CROSS * rows
-        if last:
-            groups = groups.withColumn("place", F.lit(1))
-        groups = written(_placed(groups) if not last else groups)
+    place = F.row_number().over(Window.partitionBy("token").orderBy("node"))
+    return groups.withColumn("place", F.least(place, F.lit(LEADERS + 1)))
+
+
+def _labels(docs: DataFrame, members: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of every class with a link. Members are those of the groups; the profile has doc_id and traits by node."""
+    traits = profile.drop("doc_id")
+    sets = written(_token_sets(docs, profile.select("doc_id", "node")).dropDuplicates(["node"]))
+    links = written(_verified(written(_led(members, traits, percent)), sets, percent))
+    labels = components(links)
+    groups = members.drop("leaders")
+    for turn in range(MAX_ROUNDS + 1):
+        groups, rows, cross = _labelled(groups, labels)
+        if not rows:
+            break
+        last = turn == MAX_ROUNDS or cross <= CROSS * rows
+        groups = written(_placed(groups))
+        wide = groups.join(traits, "node")
         found = (
-            groups.where(F.col("place") <= LEADERS).alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
-            & (F.col("a.label") != F.col("b.label")) & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-        pairs = written(found)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        more = written(_token_sets(docs, wanted.join(ids, "node").select("doc_id", "node")).dropDuplicates(["node"]))
-        sets = more if sets is None else sets.union(more)
-        new = written(_verified(pairs, sets, percent))
-        if new.isEmpty() and labels is not None:
-            if last:
-                break
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
+            (wide if last else wide.where(F.col("place") <= LEADERS)).alias("a").join(wide.alias("b"), (F.col("a.token") == F.col("b.token"))
+            & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent))
+            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+        new = written(_verified(written(found), sets, percent))
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
         if last:
             break
     return labels
@@ -315,13 +332,11 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.max(t).alias(t) for t in _TRAITS))
 
     postings = _postings(docs.where("doc_id is not null"), Frequencies.of(profiles), percent)
-    shared = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least != last").select("token")
-    members = written(postings.join(shared, "token").distinct())
+    members = written(_members(postings))
     bare = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     of_member = members.select("node").distinct().withColumn("bare", bare).join(classes.withColumnRenamed("node", "bare"), "bare").drop("bare")
     profile = written(of_member)
-    groups = members.join(profile.drop("doc_id"), "node")
-    labels = _labels(docs, groups, profile.select("node", "doc_id"), percent)
+    labels = _labels(docs, members, profile, percent)
 
     linked = labels.join(profile.select("node", "doc_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -83,3 +83,16 @@ def test_keep_one(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in ids if x) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10] and ids.count(None) == 1
     assert join.keep_one(nothing(spark)).count() == 0
+
+
+def test_groups_come_from_one_shuffle_and_copies_count_once(spark):
+    """Groups of 1, 2 and many; equal postings come from several tasks."""
+    rows = [(1, 5), (2, 7), (2, 6), (2, 7)] + [(3, k) for k in range(20) for _ in range(3)]
+    members = join._members(spark.createDataFrame(rows, "token long, node long").repartition(3))
+    first = list(range(join.LEADERS))
+    want = [(2, 6, 1, [6, 7, None, None]), (2, 7, 2, [6, 7, None, None])] + [(3, k, min(k + 1, join.LEADERS + 1), first) for k in range(20)]
+    assert sorted((r.token, r.node, r.place, r.leaders) for r in members.collect()) == want
+    postings = spark.createDataFrame(rows, "token long, node long")
+    plan = join._members(postings)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert join._members(postings)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
