@@ -26,14 +26,18 @@ def _stored(d: AuctionData) -> DataFrame:
     return d.spark.read.schema(d.attempts.schema).parquet(logs.stage(d.attempts, "log"))
 
 
-def _attempts(d: AuctionData, log: DataFrame | None = None) -> DataFrame:
-    """The log as a stream of a few batches in order of time, and after it a row that only moves the time past all of them."""
-    log = _stored(d) if log is None else log
-    folder = logs.stage_in_order(log, "created_at", "attempts")
+def _end(log: DataFrame, like: DataFrame) -> DataFrame:
+    """A row of the columns of `like` that only moves the time past the whole log; none for an empty log."""
     last = log.agg(F.max("created_at").alias("last"))
     after = F.col("last") + F.expr("interval 2 seconds")
-    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema]
-    last.where("last is not null").select(*row).write.mode("append").parquet(folder)
+    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema]
+    return last.where("last is not null").select(*row)
+
+
+def _attempts(d: AuctionData, log: DataFrame | None = None) -> DataFrame:
+    """The log as a stream of a few batches in order of time, ended by a row that only moves the time past all of them."""
+    log = _stored(d) if log is None else log
+    folder = logs.stage_in_order(log, "created_at", "attempts", end=_end(log, log))
     return logs.read_log(d.spark, folder, log.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
 
 
@@ -42,11 +46,7 @@ def _changes(d: AuctionData, log: DataFrame) -> DataFrame:
     from gavelspark.sources.samples import sample
 
     rows = sample(d, "auction_changes")
-    folder = logs.stage_in_order(rows, "created_at", "changes")
-    last = log.agg(F.max("created_at").alias("last"))
-    after = F.col("last") + F.expr("interval 2 seconds")
-    row = [after.alias(f.name) if f.name == "created_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
-    last.where("last is not null").select(*row).write.mode("append").parquet(folder)
+    folder = logs.stage_in_order(rows, "created_at", "changes", end=_end(log, rows))
     return logs.read_log(d.attempts.sparkSession, folder, rows.schema, files_per_trigger=logs.FILES_PER_TRIGGER)
 
 
@@ -68,10 +68,14 @@ def expiry_events(d: AuctionData) -> DataFrame:
     ).select("event_type", "auction_id", "user_id", "amount", "at", "auction_title", "message")
 
 
+def _notices(d: AuctionData, log: DataFrame | None = None, with_id: bool = False) -> DataFrame:
+    events = desk.bid_events(_attempts(d, log), d.opening, LATENESS, close_on_expiry=True)
+    return desk.notices(events, with_id)
+
+
 def notices(d: AuctionData) -> DataFrame:
     """Notices to displaced leaders, and to the winners of auctions that time closes."""
-    events = desk.bid_events(_attempts(d), d.opening, LATENESS, close_on_expiry=True)
-    return logs.append_run(desk.notices(events), "notices")
+    return logs.append_run(_notices(d), "notices")
 
 
 def unread(d: AuctionData) -> DataFrame:
@@ -84,8 +88,7 @@ def unread_after_reads(d: AuctionData) -> DataFrame:
     from gavelspark.sources.samples import sample
 
     log = _stored(d)
-    events = desk.bid_events(_attempts(d, log), d.opening, LATENESS, close_on_expiry=True)
-    told = _streamed(logs.append_run(desk.notices(events, with_id=True), "notices"), "notices")
+    told = _streamed(logs.append_run(_notices(d, log, with_id=True), "notices"), "notices")
     last = log.agg(F.max("created_at")).first()[0]
     acks = sample(d, "acks").select(
         "user_id", "notification_id", (F.lit(last).cast("timestamp_ntz") + F.expr("interval 1 day")).alias("created_at"),

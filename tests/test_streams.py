@@ -121,6 +121,33 @@ def test_notices_keep_a_few_parts_of_state(spark, monkeypatch):
     assert got and sorted(got) == sorted(run().collect())
 
 
+def test_commits_store_changes_only(spark, monkeypatch):
+    """One part of the state for each core, and a commit that writes what a batch changed, not the part anew; the session's settings stay."""
+    lots, log, _ = random_world(9, auctions=6)
+    log.sort(key=lambda a: (a[4], a[0]))
+    auctions, given = spark.createDataFrame(lots, AUCTION), ended(log, timedelta(days=400))
+    told = lambda s: desk.notices(desk.bid_events(s, auctions, "0 seconds", close_on_expiry=True), with_id=True)
+    run = lambda: in_batches(spark, given, ATTEMPT, 3, told, lambda e: logs.append_run(e, "notices"))
+    before = spark.conf.get(logs.CHANGELOG, None)
+    got, parts = state_parts(spark, monkeypatch, run)
+    assert 1 < len(parts) <= spark.sparkContext.defaultParallelism
+    assert all(any(f.name.endswith(".changelog") for f in part.iterdir()) for part in parts)
+    assert spark.conf.get(logs.CHANGELOG, None) == before
+    assert got and sorted(got) == sorted(run().collect())
+
+
+def test_last_row_shares_the_batch_of_the_last_slice(spark):
+    rows = spark.range(3000).repartition(24).select("id", F.timestamp_seconds("id").alias("at"))
+    end = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.timestamp_seconds(F.lit(5000)).alias("at"))
+    folder = logs.stage_in_order(rows, "at", "log", end=end)
+    seen = []
+    logs.read_log(spark, folder, rows.schema, files_per_trigger=logs.FILES_PER_TRIGGER).writeStream.foreachBatch(
+        lambda batch, _: seen.append(sorted((r.at.timestamp(), r.id) for r in batch.collect()))
+    ).option("checkpointLocation", logs.fresh_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == logs.SLICES
+    assert [i for batch in seen for _, i in batch] == [*range(3000), None]  # slices keep the order of time
+
+
 def test_unread_counts_keep_a_few_parts_of_state(spark, monkeypatch):
     rows = [(k % 7, k % 3 == 0) for k in range(60)]
     run = lambda: in_batches(spark, rows, "user_id long, is_read boolean", 3, boards.unread, lambda s: logs.update_run(s, ["user_id"], "unread"))
