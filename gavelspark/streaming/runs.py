@@ -78,9 +78,14 @@ def notices(d: AuctionData) -> DataFrame:
     return logs.append_run(_notices(d), "notices")
 
 
+def _told(notices: DataFrame) -> DataFrame:
+    """The stored output of a notice stream, as a stream."""
+    return logs.read_log(notices.sparkSession, logs.appended(notices, "notices"), notices.schema)
+
+
 def unread(d: AuctionData) -> DataFrame:
     """Unread notices per user, counted from the stored output of the notice stream."""
-    return logs.update_run(boards.unread(_streamed(notices(d), "notices")), ["user_id"], "unread")
+    return logs.update_run(boards.unread(_told(_notices(d))), ["user_id"], "unread")
 
 
 def unread_after_reads(d: AuctionData) -> DataFrame:
@@ -88,7 +93,7 @@ def unread_after_reads(d: AuctionData) -> DataFrame:
     from gavelspark.sources.samples import sample
 
     log = _stored(d)
-    told = _streamed(logs.append_run(_notices(d, log, with_id=True), "notices"), "notices")
+    told = _told(_notices(d, log, with_id=True))
     last = log.agg(F.max("created_at")).first()[0]
     acks = sample(d, "acks").select(
         "user_id", "notification_id", (F.lit(last).cast("timestamp_ntz") + F.expr("interval 1 day")).alias("created_at"),

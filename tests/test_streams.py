@@ -156,6 +156,21 @@ def test_unread_counts_keep_a_few_parts_of_state(spark, monkeypatch):
     assert {r.user_id: r.unread for r in got} == {u: sum(user == u and not read for user, read in rows) for u in range(7)}
 
 
+def test_unread_is_counted_from_the_notices_as_they_were_written(spark):
+    """The folder that a notice stream wrote is the next stream; nothing is written twice."""
+    rows = [(k % 7, k % 3 == 0) for k in range(60)]
+    seen = []
+
+    def count(notices):
+        folder = logs.appended(notices, "notices")
+        seen.append(spark.read.parquet(folder).count())
+        return logs.update_run(boards.unread(logs.read_log(spark, folder, notices.schema)), ["user_id"], "unread")
+
+    got = in_batches(spark, rows, "user_id long, is_read boolean", 3, lambda s: s, count).collect()
+    assert seen == [60]
+    assert {r.user_id: r.unread for r in got} == {u: sum(user == u and not read for user, read in rows) for u in range(7)}
+
+
 def test_boards_over_batches(spark):
     _, log, _ = random_world(7, auctions=10)
     log.sort(key=lambda a: a[0])
