@@ -8,6 +8,7 @@ it where pairs are formed. What is left is verified on whole sets.
 
 Sets that are equal are one class from the start. Of the classes that share a prefix token, the few most typical ones are compared
 with all others; such pairs are told apart before bitmaps or sets travel. Who is in one component by then needs no more comparing.
+Groups of the same classes count as one, and a pair is formed in the first group that it has in common, not in each.
 Rounds of that go on in the groups with several components while they save work, then all pairs left between different components
 are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
 
@@ -37,6 +38,7 @@ LEADERS = 4  # classes of a group that are compared with all others in a round
 MAX_ROUNDS = 3
 CROSS = 16  # pairs of different components for each row of the groups, up to which they are compared at once
 NODE_BITS = 60
+LISTED = 256  # groups of a class up to which its rows carry them all
 _MAP_BITS = 128
 _PARITY_BITS = 512
 _SEEDS = [np.uint64(0x51ED270B1), np.uint64(0xA24BAED4963)]
@@ -268,6 +270,12 @@ def _members(postings: DataFrame) -> DataFrame:
     return placed.where(F.col("leaders")[1].isNotNull())
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """Groups of the same classes as one group, as each would give the same pairs. Its token is a hash of the classes."""
+    same = F.bit_xor(F.xxhash64("node")).over(Window.partitionBy("token"))
+    return groups.withColumn("token", same).dropDuplicates(["token", "node"])
+
+
 def _led(members: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may link, of the leaders of each group and its other classes. Traits meet each pair once, however many tokens it has in common."""
     pairs = members.select(F.explode("leaders").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
@@ -281,7 +289,7 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, flo
     label = groups.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = Window.partitionBy("token")
     mixed = label.withColumn("mixed", F.min("label").over(group) != F.max("label").over(group)).where(F.col("mixed") & (F.col("place") > LEADERS))
-    rows = written(mixed.select("token", "node", "label"))
+    rows = written(_merged(mixed.select("token", "node", "label")))
     parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     whole = parts.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.sum("n").alias("members"))
     whole = written(whole.where("cross > 0"))
@@ -296,6 +304,23 @@ def _placed(groups: DataFrame) -> DataFrame:
     return groups.withColumn("place", F.least(place, F.lit(LEADERS + 1)))
 
 
+def _met(groups: DataFrame, traits: DataFrame, percent: int, leaders: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a group and may link; with `leaders`, a is one of the group's.
+
+    A pair is formed in the first of its common groups only. A class of more than LISTED groups does without: its pairs come from each of them.
+    """
+    def side(rows: DataFrame) -> DataFrame:
+        of_node = rows.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        listed = of_node.withColumn("tokens", F.when(F.size("tokens") <= LISTED, F.col("tokens")))
+        return rows.join(traits.join(listed, "node"), "node")
+
+    a, b = side(groups.where(F.col("place") <= LEADERS) if leaders else groups).alias("a"), side(groups).alias("b")
+    first = F.array_min(F.array_intersect("a.tokens", "b.tokens")) == F.col("a.token")
+    may = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent)
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & may & F.coalesce(first, F.lit(True)))
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def _labels(docs: DataFrame, members: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every class with a link. Members are those of the groups; the profile has doc_id and traits by node."""
     traits = profile.drop("doc_id")
@@ -309,11 +334,7 @@ def _labels(docs: DataFrame, members: DataFrame, profile: DataFrame, percent: in
             break
         last = turn == MAX_ROUNDS or cross <= CROSS * rows
         groups = written(_placed(groups))
-        wide = groups.join(traits, "node")
-        found = (
-            (wide if last else wide.where(F.col("place") <= LEADERS)).alias("a").join(wide.alias("b"), (F.col("a.token") == F.col("b.token"))
-            & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent))
-            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+        found = _met(groups, traits, percent, leaders=not last)
         new = written(_verified(written(found), sets, percent))
         if not new.isEmpty():
             links = links.union(new)
@@ -332,7 +353,7 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.max(t).alias(t) for t in _TRAITS))
 
     postings = _postings(docs.where("doc_id is not null"), Frequencies.of(profiles), percent)
-    members = written(_members(postings))
+    members = written(_merged(_members(postings)))
     bare = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
     of_member = members.select("node").distinct().withColumn("bare", bare).join(classes.withColumnRenamed("node", "bare"), "bare").drop("bare")
     profile = written(of_member)

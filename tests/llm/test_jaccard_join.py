@@ -96,3 +96,29 @@ def test_groups_come_from_one_shuffle_and_copies_count_once(spark):
     plan = join._members(postings)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert join._members(postings)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_groups_of_the_same_classes_are_one(spark):
+    rows = [(t, n) for t in range(12) for n in (5, 6)] + [(20, n) for n in (5, 6, 7)]
+    merged = join._merged(join._members(spark.createDataFrame(rows, "token long, node long").repartition(3))).collect()
+    assert sorted((r.node, r.place) for r in merged) == [(5, 1), (5, 1), (6, 2), (6, 2), (7, 3)]
+    assert len({r.token for r in merged}) == 2 and len({(r.token, r.node) for r in merged}) == 5
+
+
+def test_a_pair_is_formed_in_one_of_its_groups(spark, monkeypatch):
+    """All pairs of different components, and those of the groups' leaders, leave the join once, however many groups they share."""
+    rows = [(t, n, n % 3, k + 1) for t in range(9) for k, n in enumerate(n for n in range(8) if n != t)]
+    groups = spark.createDataFrame(rows, "token long, node long, label long, place int")
+    traits = spark.createDataFrame([(n, 50, *[1] * 4, *[0] * 8) for n in range(8)], ["node", *join._TRAITS])
+    monkeypatch.setattr(join, "LEADERS", 2)
+    listed = join.LISTED
+    for leaders in (False, True):
+        want = {(a, b) for t, a, x, k in rows for u, b, y, _ in rows if t == u and a < b and x != y and (k <= 2 or not leaders)}
+        for limit in (listed, 3):
+            monkeypatch.setattr(join, "LISTED", limit)
+            met = join._met(groups, traits, 80, leaders)
+            assert sorted(map(tuple, met.collect())) == sorted(want)
+        monkeypatch.setattr(join, "LISTED", listed)
+        with monkeypatch.context() as patched:
+            patched.setattr(type(met), "distinct", lambda df: df)
+            assert sorted(map(tuple, join._met(groups, traits, 80, leaders).collect())) == sorted(want)
