@@ -9,6 +9,8 @@ often each occurs, must have 80 % of their sum of maxima in their sum of minima.
 With any_length, items that no such window matches are also compared with windows of all other lengths: where enough of their shingles lie close
 together, an index from shingles to items names the candidates, and only windows that begin and end with a shingle of the item are tried.
 
+The windows of one length in a piece of text go through each step together; they share running counts of their shingles' bits.
+
 Words are lower-cased (A-Z). Items shorter than a shingle are one shingle of their own length. Documents are judged each by
 itself, nothing is shuffled. The benchmark is taken in blocks of a fixed number of items, one pass over the documents for each.
 
@@ -37,6 +39,9 @@ BLOCK_ITEMS = 20_000  # items held by each task at once
 _BLOCKS = 8
 _NEAR = [[x ^ d for d in range(256) if d.bit_count() <= RADIUS // _BLOCKS] for x in range(256)]
 _CHUNK = 4096  # windows fingerprinted at once
+_ENTRIES = 1 << 20  # entries of the index looked at at once, beyond those of one window
+_TOKENS = 1 << 15  # tokens of windows whose bits are counted at once, beyond those of one window
+_COMPARED = 1 << 20  # shingles of windows and items compared at once, beyond those of one pair
 MATCHES = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
@@ -52,6 +57,32 @@ def fingerprints(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_fingerprints(tokens: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The same for the windows of `size` tokens at each start (ascending): what a window has of a bit is the difference of two running counts."""
+    out = np.empty(len(starts), np.uint64)
+    new = np.minimum(np.diff(starts, prepend=starts[:1] - size), size)  # tokens that no window before has
+    ends = np.cumsum(new)
+    for lo, hi in _turns(ends, _TOKENS):
+        at = np.concatenate([[0], np.cumsum(new[lo + 1:hi])])  # where windows begin among the tokens that they cover
+        first = np.concatenate([[starts[lo]], starts[lo + 1:hi] + size - new[lo + 1:hi]])
+        covered = _ranges(first, np.concatenate([[starts[lo] + size], starts[lo + 1:hi] + size]))
+        ones = np.zeros((len(covered) + 1, 64), np.int32)
+        np.cumsum(np.unpackbits(mix(tokens[covered]).view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=ones[1:])
+        out[lo:hi] = np.packbits(2 * (ones[at + size] - ones[at]) > size, axis=1).view(np.uint64).ravel()
+    return out
+
+
+def _turns(sums: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that add up to about `limit` each, one row at least, by the running sums."""
+    return itertools.pairwise([0, *(np.flatnonzero(np.diff(sums // limit)) + 1).tolist(), len(sums)]) if len(sums) else iter(())
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places from each begin up to its end, one range behind the other."""
+    sizes = end - begin
+    return np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class Length:
     """The items of one length: ids, shingles (one row each), fingerprints, and the index from block values to items."""
@@ -59,7 +90,7 @@ class Length:
     ids: np.ndarray
     shingles: np.ndarray
     marks: np.ndarray
-    index: list[list[np.ndarray]] = field(default_factory=list)
+    index: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # for each block: where each value begins, and the items
     holders: tuple[np.ndarray, np.ndarray] = ()
 
     def __post_init__(self) -> None:
@@ -71,20 +102,31 @@ class Length:
             for item, value in enumerate(values[:, block].tolist()):
                 for near in _NEAR[value]:
                     at[near].append(item)
-            self.index.append([np.array(at[value], np.int64) for value in range(256)])
+            cuts = np.cumsum([0, *(len(at[value]) for value in range(256))])
+            self.index.append((cuts, np.array([item for value in range(256) for item in at[value]], np.int64)))
 
     def within_radius(self, mark: np.uint64) -> np.ndarray:
-        bytes_ = np.frombuffer(mark.tobytes(), np.uint8)
-        met = np.unique(np.concatenate([self.index[block][bytes_[block]] for block in range(_BLOCKS)]))
-        return met[np.bitwise_count(self.marks[met] ^ mark) <= RADIUS]
+        return np.array([item for _, items in self.near(np.array([mark], np.uint64)) for item in items.tolist()], np.int64)
+
+    def near(self, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(mark, item) of all within the radius in that order, a bounded number of index entries at once."""
+        values = marks.view(np.uint8).reshape(-1, _BLOCKS)
+        entries = sum(np.diff(cuts)[values[:, block]] for block, (cuts, _) in enumerate(self.index))
+        for lo, hi in _turns(np.cumsum(entries), _ENTRIES):
+            met = []
+            for block, (cuts, items) in enumerate(self.index):
+                value = values[lo:hi, block].astype(np.int64)
+                item = items[_ranges(cuts[value], cuts[value + 1])]
+                mark = np.repeat(np.arange(lo, hi), cuts[value + 1] - cuts[value])
+                close = np.bitwise_count(self.marks[item] ^ marks[mark]) <= RADIUS
+                met.append(mark[close] * len(self.ids) + item[close])
+            yield np.divmod(np.unique(np.concatenate(met)), len(self.ids))
 
     def sharing(self, shingles: np.ndarray, least: int) -> list[int]:
         """The items that hold at least so many of these shingles, repeats counted."""
         values, times = np.unique(shingles, return_counts=True)
         begin, end = (np.searchsorted(self.holders[0], values, side) for side in ("left", "right"))
-        shared = np.zeros(len(self.ids), np.int64)
-        for first, last, n in zip(begin.tolist(), end.tolist(), times.tolist(), strict=True):
-            shared[self.holders[1][first:last]] += n
+        shared = np.bincount(self.holders[1][_ranges(begin, end)], np.repeat(times, end - begin), len(self.ids))
         return np.flatnonzero(shared >= least).tolist()
 
 
@@ -113,11 +155,15 @@ class Benchmark:
         return cls(lengths, {width: np.unique(np.concatenate(parts)) for width, parts in known.items()})
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of minima over sum of maxima of how often each value occurs in a and in b."""
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = np.bincount(at[:len(a)], minlength=len(values)), np.bincount(at[len(a):], minlength=len(values))
-    return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a and b, the sum of minima over the sum of maxima of how often each number occurs in it. Numbers below 0 are equal to no other."""
+    values = max(a.max(initial=0), b.max(initial=0)) + 1
+    rows = np.arange(len(a))[:, None] * values
+    x, n_x = np.unique((rows + a)[a >= 0], return_counts=True)
+    y, n_y = np.unique((rows + b)[b >= 0], return_counts=True)
+    both, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    common = np.bincount(both // values, np.minimum(n_x[at_x], n_y[at_y]), len(a))
+    return common / (a.shape[1] + b.shape[1] - common)
 
 
 def find(column: pa.Array, benchmark: Benchmark, percent: int, any_length: bool = False) -> list[tuple[int, int, float, int, int]]:
@@ -130,43 +176,45 @@ def find(column: pa.Array, benchmark: Benchmark, percent: int, any_length: bool
         at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
         hit = np.zeros(len(words.hashes) + 1, np.int64)
         token = np.zeros(len(words.hashes), np.uint64)
+        number = np.full(len(words.hashes), -1)  # of the shingle among the known ones
         hit[first + 1] = known[at] == shingles
+        number[first] = np.where(hit[first + 1], at, -1)
         token[first] = shingles
         np.cumsum(hit, out=hit)
-        rows = np.flatnonzero(hit[begin[1:]] > hit[begin[:-1]])
+        n_words, n_hits = begin[1:] - begin[:-1], hit[begin[1:]] - hit[begin[:-1]]
+
+        def match(starts: np.ndarray, n: int, size: int, items: Length) -> None:
+            """The windows of n words and `size` shingles at these places (ascending)."""
+            for windows, met in items.near(window_fingerprints(token, starts, size)):
+                most = max(1, _COMPARED // (size + items.shingles.shape[1]))
+                for k in range(0, len(met), most):
+                    at, item = starts[windows[k:k + most]], met[k:k + most]
+                    found = similarities(number[at[:, None] + np.arange(size)], np.searchsorted(known, items.shingles[item]))
+                    good = 100 * found >= percent - 1e-9
+                    at, row = at[good], words.rows[at[good]]
+                    for i, j, similarity, place in zip(row.tolist(), items.ids[item[good]].tolist(), found[good].tolist(), (at - begin[row]).tolist(), strict=True):
+                        if similarity > best.get((i, j), (0.0,))[0]:
+                            best[i, j] = (similarity, place, n)
+
         for n, items in benchmark.lengths.items():
             if min(n, SHINGLE) != width:
                 continue
             size = n - width + 1
             least = -(-2 * percent * size // (100 + percent))  # shared shingles that the similarity takes
-            for row in rows:
-                lo, hi = begin[row], begin[row + 1]
-                if 100 * (hit[hi] - hit[lo]) < percent * size:
-                    continue
-                if hi - lo < n:
-                    whole = int(hi - lo) - width + 1
-                    if (100 + percent) * (hit[hi] - hit[lo]) >= percent * (size + whole):
-                        _match(best, token, np.array([lo]), int(row), int(lo), int(hi - lo), whole, items, percent)
-                elif hit[hi] - hit[lo] >= least:
-                    starts = np.arange(lo, hi - n + 1)
-                    starts = starts[hit[starts + size] - hit[starts] >= least]
-                    for k in range(0, len(starts), _CHUNK):
-                        _match(best, token, starts[k:k + _CHUNK], int(row), int(lo), n, size, items, percent)
-                if any_length:
-                    _match_others(best, token, hit, int(row), int(lo), int(hi), width, size, items, percent)
+            rows = np.flatnonzero((n_hits > 0) & (100 * n_hits >= percent * size))
+            for row in rows[n_words[rows] < n].tolist():
+                whole = int(n_words[row]) - width + 1
+                if (100 + percent) * n_hits[row] >= percent * (size + whole):
+                    match(begin[row:row + 1], whole + width - 1, whole, items)
+            long = rows[(n_words[rows] >= n) & (n_hits[rows] >= least)]
+            starts = _ranges(begin[long], begin[long + 1] - n + 1)
+            match(starts[hit[starts + size] - hit[starts] >= least], n, size, items)
+            if any_length:
+                for row in rows.tolist():
+                    _match_others(best, token, hit, row, int(begin[row]), int(begin[row + 1]), width, size, items, percent)
     return [(row, item, *rest) for (row, item), rest in sorted(best.items())]
 
 
-def _match(best: dict, token: np.ndarray, starts: np.ndarray, row: int, lo: int, n: int, size: int, items: Length, percent: int) -> None:
-    windows = token[starts[:, None] + np.arange(size)]
-    for start, window, mark in zip(starts.tolist(), windows, fingerprints(windows), strict=True):
-        for k in items.within_radius(mark):
-            similarity = weighted_similarity(window, items.shingles[k])
-            key = (row, int(items.ids[k]))
-            if 100 * similarity >= percent - 1e-9 and similarity > best.get(key, (0.0,))[0]:
-                best[key] = (similarity, start - lo, n)
-
-
 def _match_others(
     best: dict, token: np.ndarray, hit: np.ndarray, row: int, lo: int, hi: int, width: int, size: int, items: Length, percent: int,
 ) -> None:

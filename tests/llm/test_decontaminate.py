@@ -137,3 +137,46 @@ def test_windows_of_all_lengths(spark):
     assert (92, 1) in want and len(want) > len(found(dec.matches(df, table)))
     assert set(found(dec.matches(df, table, any_length=True))) == want
     assert {r.doc_id for r in dec.clean(df, table, any_length=True).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_similarities_match_counters():
+    random = np.random.default_rng(7)
+    a, b = random.integers(-1, 9, (50, 12)), random.integers(0, 9, (50, 15))
+    want = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = Counter(v if v >= 0 else ("other", k) for k, v in enumerate(x)), Counter(y)
+        want.append((p & q).total() / (p | q).total())
+    assert dec.similarities(a, b).tolist() == want
+    assert dec.similarities(a[:0], b[:0]).tolist() == []
+
+
+def test_windows_share_their_counts(monkeypatch):
+    """Fingerprints are those of each window by itself, in few pieces or many, and a text's shingles are mixed once for each length, not once for each window and shingle."""
+    random = np.random.default_rng(3)
+    tokens = random.integers(0, 2 ** 63, 900, np.uint64)
+    for size in (1, 7, 64):
+        starts = np.flatnonzero(random.random(900 - size + 1) < 0.3)
+        for limit in (1 << 15, 50):
+            monkeypatch.setattr(dec, "_TOKENS", limit)
+            assert dec.window_fingerprints(tokens, starts, size).tolist() == dec.fingerprints(tokens[starts[:, None] + np.arange(size)]).tolist()
+        assert dec.window_fingerprints(tokens, starts[:0], size).tolist() == []
+    monkeypatch.undo()
+    texts = [prose(1, 60), prose(2, 50)]
+    benchmark = dec.Benchmark.of([1, 2], texts)
+    calls, mix = [], dec.mix
+    monkeypatch.setattr(dec, "mix", lambda x: calls.append(x.size) or mix(x))
+    docs = [prose(k + 9, 30) + " " + texts[k % 2] + " " + prose(k + 70, 30) for k in range(50)]
+    assert {(row, item) for row, item, *_ in dec.find(dec.pa.array(docs), benchmark, 80)} == {(k, 1 + k % 2) for k in range(50)}
+    assert sum(calls) <= 50 * 2 * 120 and len(calls) <= 2
+
+
+def test_entries_in_turns(monkeypatch):
+    """Windows meet the same items when index entries and pairs are looked at a few at a time."""
+    items = [prose(1, 45), prose(1, 45) + " more", "x y " * 12, prose(1, 44) + " end"]
+    docs = dec.pa.array([prose(5, 20) + " " + prose(1, 45) + " x y" * 30, None, "x y " * 11, prose(1, 40)])
+    benchmark = dec.Benchmark.of([1, 2, 3, 4], items)
+    want = dec.find(docs, benchmark, 80, True)
+    assert {(r[0], r[1]) for r in want} >= {(0, 1), (0, 2), (0, 3), (0, 4), (2, 3)}
+    for name in ("_ENTRIES", "_TOKENS", "_COMPARED"):
+        monkeypatch.setattr(dec, name, 1)
+    assert dec.find(docs, benchmark, 80, True) == want
