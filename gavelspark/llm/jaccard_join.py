@@ -9,8 +9,11 @@ it where pairs are formed. What is left is verified on whole sets.
 Sets that are equal are one class from the start. Of the classes that share a prefix token, the few most typical ones are compared
 with all others; such pairs are told apart before bitmaps or sets travel. Who is in one component by then needs no more comparing.
 Groups of the same classes count as one, and a pair is formed in the first group that it has in common, not in each.
-Rounds of that go on in the groups with several components while they save work, then all pairs left between different components
-are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
+Rounds of that go on in the groups with several components while each halves the pairs left and these are many, then all pairs left between
+different components are compared. So thousands of copies cost thousands of comparisons, and no link is lost.
+
+Only the sets of classes in such pairs travel. A table of bits of fixed size, set for their documents, tells each task which texts to make sets of;
+the few others that fall on the same bits meet no pair.
 
 The order's frequencies are counts over all documents in a table of hashed tokens of fixed size; they steer work, not results. A class is known by 60
 bits of its set's hash. Defined results: null, empty and wordless texts have an empty set and are components of their own; rows
@@ -26,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelspark.llm.components import components
-from gavelspark.llm.shared import by_batches, written
+from gavelspark.llm.components import components, merged
+from gavelspark.llm.shared import written
 from gavelspark.llm.words import SHINGLE, find_words, mix, pieces, sequence_hashes
 
 PERCENT = 80
@@ -37,6 +40,8 @@ FLUSH_TOKENS = 1 << 22  # tokens that a task holds while it counts
 LEADERS = 4  # classes of a group that are compared with all others in a round
 MAX_ROUNDS = 3
 CROSS = 16  # pairs of different components for each row of the groups, up to which they are compared at once
+FEW = 1 << 24  # pairs of different components that cost less than another round
+SLOTS = 1 << 27  # bits of the table of documents whose sets are made
 NODE_BITS = 60
 LISTED = 256  # groups of a class up to which its rows carry them all
 _MAP_BITS = 128
@@ -223,16 +228,42 @@ def _postings(docs: DataFrame, frequencies: Frequencies, percent: int) -> DataFr
     return docs.mapInArrow(run, "token long, node long")
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) for the wanted (doc_id, node)."""
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+
+
+def _bits(pairs: DataFrame, profile: DataFrame) -> np.ndarray:
+    """The table of bits, set for one document of each class in the pairs."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    slots = profile.select("node", "doc_id").join(nodes, "node", "left_semi").select(_slot().alias("slot"))
+    parts = slots.select("slot", F.bitmap_bucket_number("slot").alias("part")).repartition("part")
+    found = parts.groupBy("part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for part, data in zip(found.column("part").to_pylist(), found.column("bits"), strict=True):
+        of_part = np.frombuffer(data.as_py(), np.uint8)
+        bits[(part - 1) * len(of_part):part * len(of_part)] = of_part
+    return bits
+
 
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(piece.column("text"))
-        lists = pa.ListArray.from_arrays(pa.array(sets.cuts, pa.int32()), pa.array(sets.tokens.view(np.int64)))
-        same = sets.nodes == (piece.column("node").to_numpy() & ((1 << NODE_BITS) - 1))
-        return pa.RecordBatch.from_arrays([piece.column("node"), lists], ["node", "tokens"]).filter(pa.array(same))
+def _token_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(node, tokens) of the classes whose documents have their bit set, and of few others; each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    return by_batches(docs.join(wanted, "doc_id").select("text", "node"), run, "node long, tokens array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy() - 1
+            batch = batch.filter(pa.array((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            seen = set()
+            for piece in pieces(batch) if len(batch) else ():
+                sets = Sets(piece.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(sets.cuts, pa.int32()), pa.array(sets.tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.nodes), lists], ["node", "tokens"]).filter(pa.array(_unseen(sets, seen)))
+
+    return docs.select("text", _slot().alias("slot")).mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+
+
+def _bare(node: str) -> Column:
+    return F.col(node).bitwiseAND(F.lit((1 << NODE_BITS) - 1))
 
 
 def _may_link(percent: int) -> Column:
@@ -248,15 +279,22 @@ def _may_link(percent: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    a, b = (sets.select(F.col("node").alias(side), F.col("tokens").alias(f"of_{side}")) for side in ("a", "b"))
+    a, b = (sets.select(F.col("node").alias(f"bare_{side}"), F.col("tokens").alias(f"of_{side}")) for side in ("a", "b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     # The many partners of one leader lie apart by b; the join on a can be split where one leader has most pairs.
     return (
-        pairs.join(b, "b").join(a.join(pairs.select("a"), "a", "left_semi"), "a")
+        pairs.select("a", "b", _bare("a").alias("bare_a"), _bare("b").alias("bare_b")).join(b, "bare_b").join(a, "bare_a")
         .select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("sum"))
         .where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
+def _links(docs: DataFrame, pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, written; of the documents, only sets of the pairs' classes travel."""
+    pairs = written(pairs)
+    sets = written(_token_sets(docs, _bits(pairs, profile)))
+    return written(_verified(pairs, sets, percent))
+
+
 def _members(postings: DataFrame) -> DataFrame:
     """(token, node, place, leaders) of the groups, which are the classes with a token in common, two at least.
 
@@ -285,23 +323,16 @@ def _led(members: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
 
 
 def _labelled(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float]:
-    """Groups without their leaders, with more than one component left; their rows, and the pairs of different components for each row."""
-    label = groups.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """Groups without their leaders, with more than one component left and new places; their rows, and the pairs of different components."""
+    rest = groups.where(F.col("place") > LEADERS).select("token", "node").join(labels, "node", "left")
+    rest = rest.select("token", "node", F.coalesce("label", "node").alias("label"))
     group = Window.partitionBy("token")
-    mixed = label.withColumn("mixed", F.min("label").over(group) != F.max("label").over(group)).where(F.col("mixed") & (F.col("place") > LEADERS))
-    rows = written(_merged(mixed.select("token", "node", "label")))
-    parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.sum("n").alias("members"))
-    whole = written(whole.where("cross > 0"))
-    total = whole.agg(F.sum("cross").alias("cross"), F.sum("members").alias("rows")).first()
-    left = rows.join(whole.select("token"), "token")
-    return left, total.rows or 0, float(total.cross or 0) / 2
-
-
-def _placed(groups: DataFrame) -> DataFrame:
-    """With the place of each class in its groups, the most typical one first; places beyond LEADERS are not told apart."""
-    place = F.row_number().over(Window.partitionBy("token").orderBy("node"))
-    return groups.withColumn("place", F.least(place, F.lit(LEADERS + 1)))
+    others = F.count("*").over(group) - F.count("*").over(Window.partitionBy("token", "label"))
+    place = F.least(F.row_number().over(group.orderBy("node")), F.lit(LEADERS + 1))
+    mixed = rest.withColumn("others", others).withColumn("place", place).where("others > 0")
+    rows = written(_merged(mixed))
+    total = rows.agg(F.sum("others").alias("cross"), F.count("*").alias("rows")).first()
+    return rows.drop("others"), total.rows, float(total.cross or 0) / 2
 
 
 def _met(groups: DataFrame, traits: DataFrame, percent: int, leaders: bool) -> DataFrame:
@@ -324,21 +355,17 @@ def _met(groups: DataFrame, traits: DataFrame, percent: int, leaders: bool) -> D
 def _labels(docs: DataFrame, members: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every class with a link. Members are those of the groups; the profile has doc_id and traits by node."""
     traits = profile.drop("doc_id")
-    sets = written(_token_sets(docs, profile.select("doc_id", "node")).dropDuplicates(["node"]))
-    links = written(_verified(written(_led(members, traits, percent)), sets, percent))
-    labels = components(links)
-    groups = members.drop("leaders")
+    labels = components(_links(docs, _led(members, traits, percent), profile, percent))
+    groups, before = members.drop("leaders"), float("inf")
     for turn in range(MAX_ROUNDS + 1):
         groups, rows, cross = _labelled(groups, labels)
         if not rows:
             break
-        last = turn == MAX_ROUNDS or cross <= CROSS * rows
-        groups = written(_placed(groups))
-        found = _met(groups, traits, percent, leaders=not last)
-        new = written(_verified(written(found), sets, percent))
+        last = turn == MAX_ROUNDS or cross <= max(CROSS * rows, FEW) or 2 * cross > before
+        before = cross
+        new = _links(docs, _met(groups, traits, percent, leaders=not last), profile, percent)
         if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
+            labels = merged(labels, new)
         if last:
             break
     return labels
@@ -354,14 +381,13 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     postings = _postings(docs.where("doc_id is not null"), Frequencies.of(profiles), percent)
     members = written(_merged(_members(postings)))
-    bare = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
-    of_member = members.select("node").distinct().withColumn("bare", bare).join(classes.withColumnRenamed("node", "bare"), "bare").drop("bare")
+    of_member = members.select("node").distinct().withColumn("bare", _bare("node")).join(classes.withColumnRenamed("node", "bare"), "bare").drop("bare")
     profile = written(of_member)
     labels = _labels(docs, members, profile, percent)
 
     linked = labels.join(profile.select("node", "doc_id"), "node")
     smallest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(smallest, "label").select(bare.alias("node"), "component_id")
+    linked = linked.join(smallest, "label").select(_bare("node").alias("node"), "component_id")
     of_class = classes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     with_class = found.select("doc_id", "n", "node").join(of_class, "node")
     alone = each.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

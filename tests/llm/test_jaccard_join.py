@@ -1,6 +1,9 @@
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from gavelspark.llm import jaccard_join as join
+from gavelspark.llm.components import components, merged
 from tests.llm.cases import WORD, edge_rows, edges, nothing, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +125,56 @@ def test_a_pair_is_formed_in_one_of_its_groups(spark, monkeypatch):
         with monkeypatch.context() as patched:
             patched.setattr(type(met), "distinct", lambda df: df)
             assert sorted(map(tuple, join._met(groups, traits, 80, leaders).collect())) == sorted(want)
+
+
+def family(edits):
+    """Copies of one text with a few words changed each, and texts that share a passage only."""
+    rows = []
+    for k in range(60):
+        words = prose(1, 150).split()
+        for j in range(k % 5):
+            words[(k * 37 + j * 53) % 150] = f"edit{k}and{j}"
+        rows.append((1000 - k, " ".join(words)))
+    return rows + [(2000 + k, prose(k + 50, 100) + " " + prose(3, 9)) for k in range(edits)]
+
+
+def test_few_pairs_are_compared_at_once(spark, monkeypatch):
+    """A round costs more than it saves while pairs are few or it halves them not; results are the same with any number of rounds."""
+    rows = family(30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rounds, met = [], join._met
+    monkeypatch.setattr(join, "_met", lambda groups, traits, percent, leaders: rounds.append(leaders) or met(groups, traits, percent, leaders))
+    monkeypatch.setattr(join, "CROSS", 0)
+    monkeypatch.setattr(join, "LEADERS", 2)
+    assert found(join.near_copies(docs)) == brute_force(rows)
+    assert rounds == [False]
+    rounds.clear()
+    monkeypatch.setattr(join, "FEW", 0)
+    assert found(join.near_copies(docs)) == brute_force(rows)
+    assert rounds[0] and not rounds[-1]
+
+
+def test_only_sets_of_candidates_are_made(spark, monkeypatch):
+    """Texts that share a passage but are in no pair after the filters stay where they are."""
+    rows = [(k, prose(k + 50, 100) + " " + prose(3, 9)) for k in range(40)] + [(100, prose(1, 90)), (101, prose(1, 90) + " end"), (101, prose(1, 90) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, token_sets = [], join._token_sets
+
+    def counted(*args):
+        made.append(token_sets(*args).count())
+        return token_sets(*args)
+
+    monkeypatch.setattr(join, "_token_sets", counted)
+    assert {r.component_id for r in join.near_copies(docs).where("doc_id >= 100").collect()} == {100}
+    assert made[0] == 2
+
+
+def test_labels_take_further_links(spark):
+    random = np.random.default_rng(2)
+    schema = "a long, b long"
+    for n in (40, 90):
+        old, new = (random.integers(0, 100, (n // 2, 2)).tolist() for _ in range(2))
+        first = components(spark.createDataFrame(old, schema))
+        want = {tuple(r) for r in components(spark.createDataFrame(old + new, schema)).collect()}
+        got = [tuple(r) for r in merged(first, spark.createDataFrame(new, schema)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
