@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,50 @@ def test_labels_of_any_number_type_or_text(spark):
         assert again.threshold == forest.threshold and np.array_equal(again.cut, forest.cut)
     text = spark.createDataFrame([(k, str(q) if k % 5 else "x", t) for k, q, t in rows], "doc_id long, quality string, toxic int")
     assert rules.fit(docs, text) is not None
+
+
+def symbol_rows(n):
+    """Documents with a share of symbols that few others have, and labels: bad ones have more of them, but not always."""
+    texts = [" ".join(f"wo{k}rd{j}" + "%" * (j < k % 5 + 6 * (k % 9 == 0) * (k % 11 > 0)) for j in range(12)) + f" {'x' * (k % 17)}" for k in range(n)]
+    return [(k, text) for k, text in enumerate(texts)], [(k, int(k % 9 > 0), 0) for k in range(n)]
+
+
+def brute_threshold(forest, rows, labels):
+    x = rules.statistics(pa.array([text for _, text in rows]))[1]
+    good = np.array([quality for _, quality, _ in labels]) == 1
+    scores = forest.scores(x)
+    steps, most, threshold = [*sorted(set(scores), reverse=True), 0.0], 0, 1.0
+    for s, below in zip(steps, steps[1:], strict=False):
+        gain = (scores[~good] >= s).sum() - 10 * (scores[good] >= s).sum()
+        if gain > most:
+            most, threshold = gain, (s + below) / 2
+    return threshold
+
+
+def test_all_labelled_rows_are_fitted(spark):
+    rows, labels = symbol_rows(24_000)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    assert rules.points(docs, marks).agg(F.sum("good"), F.sum("bad")).first()[:] == (21_333, 2_667)
+    forest = rules.fit(docs, marks)
+    x = rules.statistics(pa.array([text for _, text in rows]))[1]
+    good = x[np.array([quality for _, quality, _ in labels]) == 1]
+    good = good[np.lexsort(good.T)]
+    whole = rules.grow(lambda t, random: good[random.choice(len(good), 256, replace=False)], x.min(0), x.max(0))
+    assert np.array_equal(forest.cut, whole.cut) and np.array_equal(forest.path, whole.path)
+    assert forest.threshold == brute_threshold(forest, rows, labels) < 1
+
+
+def test_trees_draw_from_more_rows_than_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TREES", 6)
+    rows, labels = symbol_rows(4_000)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    forest = rules.fit(docs, marks)
+    assert forest.threshold == brute_threshold(forest, rows, labels) < 1
+    again = rules.fit(docs.repartition(7), marks.repartition(3))
+    assert again.threshold == forest.threshold and np.array_equal(again.cut, forest.cut) and np.array_equal(again.path, forest.path)
+    few = [(float(k), *[0.5] * 6) for k in range(700)]
+    found = spark.createDataFrame([([*x], 1 + 3000 * (x[0] == 5), 1) for x in few] + [([-1.0] * 7, 0, 4)], "features array<double>, good long, bad long")
+    drawn = [[tuple(x) for x in rules.tree_rows(found, 3_700)(t, None)] for t in range(6)]
+    assert all(len(x) == 256 and set(x) <= set(few) for x in drawn) and len({tuple(x) for x in drawn}) == 6
+    assert all(150 < x.count(few[5]) < 256 and max(n for row, n in Counter(x).items() if row != few[5]) == 1 for x in drawn)
+    assert len(set().union(*drawn)) > 200
